@@ -7,6 +7,9 @@ tokens of each domain meet its target. Per round the driver sees one number a do
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +42,6 @@ def word_weights(docs: DataFrame, labelled: DataFrame, domains: list[str], per_d
     spread = F.greatest(*[F.abs(f"w{k}") for k in range(len(domains))]) if len(domains) > 1 else F.abs("w0")
     per = per.where("n >= 4").orderBy((spread * F.sqrt("n")).desc(), "word").limit(vocabulary).drop("n")
     priors = [(total.get(d, 0) + 1.0) / (sum(total.values()) + len(domains)) for d in domains]
-    import math
-
     return materialise(per, "words"), [math.log(p) for p in priors]
 
 
@@ -62,7 +63,8 @@ def fit_rates(members: DataFrame, targets: list[float], least: float = 0.0, budg
     """Adds ``rate`` >= least: expected tokens sum(rate * tokens * p_k) come to budget * target_k.
 
     Without a budget: all tokens, or for least > 0 the smallest total that needs no rate below it. Each round
-    moves a rate against the gradient of the squared misfit, scaled by each domain's tokens, and projects it.
+    moves every rate against the gradient of the squared misfit and projects it to its bound; the gradient is
+    preconditioned by the domains' Gram matrix over the rates above their bound (domains x domains numbers).
     """
     k = range(len(targets))
     have = members.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * F.col(f"p{i}")) for i in k]).first()
@@ -82,12 +84,24 @@ def fit_rates(members: DataFrame, targets: list[float], least: float = 0.0, budg
         steps = F.array(*[F.array(*map(F.lit, s)) for s in history])
         return F.aggregate(steps, F.col("rate"), lambda r, s: F.greatest(F.lit(float(least)), r - sum((F.col(f"p{i}") * s[i] for i in k[1:]), F.col("p0") * s[0])))
 
+    def at_work() -> Column:
+        return F.when(F.col("rate") > least, F.col("tokens")).otherwise(0)
+
+    pairs = [(i, j) for i in k for j in range(i, len(targets))]
+    step, before = 1.0, float("inf")
     for _ in range(rounds):
-        got = now.select("tokens", *[f"p{i}" for i in k], moved().alias("rate")).agg(*[F.sum(F.col("rate") * F.col("tokens") * F.col(f"p{i}")) for i in k]).first()
-        off = [float(x or 0) - g for x, g in zip(got, goal, strict=True)]
-        if max(map(abs, off)) <= tolerance * budget:
+        sums = [F.sum(F.col("rate") * F.col("tokens") * F.col(f"p{i}")) for i in k] + [F.sum(at_work() * F.col(f"p{i}") * F.col(f"p{j}")) for i, j in pairs]
+        got = [float(x or 0) for x in now.select("tokens", *[f"p{i}" for i in k], moved().alias("rate")).agg(*sums).first()]
+        off = [x - g for x, g in zip(got, goal, strict=False)]
+        misfit = max(map(abs, off))
+        if misfit <= tolerance * budget:
             break
-        history.append([x / m if m > 0 else 0.0 for x, m in zip(off, mass, strict=True)])
+        step, before = (step / 2 if misfit > before else min(1.0, step * 1.5)), misfit
+        gram = np.zeros((len(targets), len(targets)))
+        for (i, j), x in zip(pairs, got[len(targets) :], strict=True):
+            gram[i, j] = gram[j, i] = x
+        gram += np.diag([1e-6 * total + 1e-3 * m for m in mass])
+        history.append([float(step * x) for x in np.linalg.solve(gram, off)])
         if len(history) == 12:
             now = materialise(now.withColumn("rate", moved()), "rates")
             history = []
