@@ -24,8 +24,11 @@ def sheet_priority(kind: Column) -> Column:
 def categories(name: Column) -> Column:
     """All categories of which a token of the name starts with a keyword, in table order."""
     tokens = F.split(F.upper(F.coalesce(name, F.lit(""))), r"[-_\s./\\|:]+")
-    hits = [F.when(F.exists(tokens, lambda t, k=keys: t.rlike("^(" + "|".join(k.split()) + ")")), F.lit(c)) for c, keys in CATEGORIES.items()]
-    return F.array_compact(F.array(*hits))
+
+    def starts(keys: str):
+        return lambda t: t.rlike("^(" + "|".join(keys.split()) + ")")
+
+    return F.array_compact(F.array(*[F.when(F.exists(tokens, starts(keys)), F.lit(c)) for c, keys in CATEGORIES.items()]))
 
 
 def category_discipline(category: Column) -> Column:

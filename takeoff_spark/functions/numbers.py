@@ -6,6 +6,11 @@ from pyspark.sql import functions as F
 from ..rules import COUNT_WORDS, FIXED_UNITS, LINEAR_WORDS, PRICE_LEAST, PRICE_SHEET, SURFACE_WORDS, UNIT_MISMATCHES, UNIT_PRIORITY, UNIT_RANGES
 
 
+def rounded(c: Column, n: int) -> Column:
+    """Half up at n places of the value at n + 6 places, so that neither the order of a sum nor a binary tail decides."""
+    return F.round(F.round(c, n + 6), n)
+
+
 def has_word(c: Column, words: str) -> Column:
     """Whether one of the words stands free; letters and digits of any script count as word characters."""
     return c.rlike(f"(?iu)(^|[^\\p{{L}}\\p{{N}}_])({words})($|[^\\p{{L}}\\p{{N}}_])")

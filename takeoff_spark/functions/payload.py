@@ -12,7 +12,7 @@ FENCE = "```"
 def json_block(text: Column) -> Column:
     """First fenced block (marked as JSON or not), else the widest object, else the widest array, else the text."""
     t = F.coalesce(text, F.lit(""))
-    fenced = F.regexp_extract(t, "(?s)```(?:json)?\\s*(.*?)```", 1)
+    fenced = F.regexp_extract(t, "(?s)```(?:json)?\\s*(.*?)\\s*```", 1)
     whole = F.regexp_extract(t, "(?s)(\\{.*\\})", 1)
     array = F.regexp_extract(t, "(?s)(\\[.*\\])", 1)
     pick = lambda c: F.nullif(F.trim(c), F.lit(""))

@@ -7,9 +7,10 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
-from ..functions.numbers import density_ratio
+from ..functions.numbers import density_ratio, rounded
 from ..functions.text import item_type_key
 from ..rules import BDI, CONTINGENCY
 from .catalog import small
@@ -28,7 +29,7 @@ def benchmarks(raw: DataFrame, catalog: DataFrame, levels: tuple = LEVELS) -> Da
     rows = raw.where("familia_id is not null and density > 0").join(small(catalog.select("familia_id", "grupo_id", "capitulo_id")), "familia_id", "left")
     ids = F.explode(F.array(*[F.struct(F.lit(x).alias("level"), F.col(f"{x}_id").alias("level_id")) for x in levels]))
     sums = rows.select("typology", F.trim("unit").alias("unit"), F.coalesce("project_label", F.lit("")).alias("project"), "density", ids.alias("k")).where("k.level_id is not null").groupBy("typology", "k.level", "k.level_id", "unit", "project").agg(F.sum("density").alias("d"))
-    stats = sums.groupBy("typology", "level", "level_id", "unit").agg(F.round(F.avg("d"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("d"), F.lit(0.0)), 6).alias("stddev"), F.round(F.min("d"), 6).alias("min_value"), F.round(F.max("d"), 6).alias("max_value"), F.count("*").alias("n_projects"))
+    stats = sums.groupBy("typology", "level", "level_id", "unit").agg(rounded(F.avg("d"), 6).alias("mean"), rounded(F.coalesce(F.stddev_samp("d"), F.lit(0.0)), 6).alias("stddev"), rounded(F.min("d"), 6).alias("min_value"), rounded(F.max("d"), 6).alias("max_value"), F.count("*").alias("n_projects"))
     return stats.withColumn("item_type", F.concat_ws(":", "level", "level_id"))
 
 
@@ -70,7 +71,7 @@ def calibration(matched: DataFrame) -> DataFrame:
     """Deviation and factor of matched pairs with differing quantities above 0."""
     ai, real = F.col("quantity"), F.col("m.quantity")
     rows = matched.where((ai != real) & (ai > 0) & (real > 0))
-    return rows.select("job_id", "seq", "item_type", F.coalesce(F.nullif("discipline", F.lit("")), F.col("m.discipline")).alias("discipline"), F.coalesce(F.nullif("unit", F.lit("")), F.col("m.unit")).alias("unit"), F.round(ai, 4).alias("ai_quantity"), F.round(real, 4).alias("real_quantity"), F.round((ai - real) / real * 100, 2).alias("deviation_pct"), F.round(real / ai, 4).alias("correction_factor"), "stage")
+    return rows.select("job_id", "seq", "item_type", F.coalesce(F.nullif("discipline", F.lit("")), F.col("m.discipline")).alias("discipline"), F.coalesce(F.nullif("unit", F.lit("")), F.col("m.unit")).alias("unit"), F.round(ai, 4).alias("ai_quantity"), F.round(real, 4).alias("real_quantity"), rounded((ai - real) / real * 100, 2).alias("deviation_pct"), rounded(real / ai, 4).alias("correction_factor"), "stage")
 
 
 def _fuzzy(original: pd.DataFrame, revised: pd.DataFrame) -> pd.DataFrame:
@@ -101,14 +102,14 @@ def fuzzy_match(original: DataFrame, revised: DataFrame) -> DataFrame:
     return left.groupBy("job_id").cogroup(right.groupBy("job_id")).applyInPandas(_fuzzy, "job_id long, seq long, revised_num string, revised_quantity double, ratio double")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Gestalt similarity of two lower-cased texts, a batch at a time."""
     return pd.Series([difflib.SequenceMatcher(None, (x or "").lower(), (y or "").lower()).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def calibration_factors(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("item_type", "discipline", "unit").agg(F.round(F.avg("correction_factor"), 6).alias("avg_factor"), F.count("*").alias("data_points"), F.round(F.avg("deviation_pct"), 6).alias("avg_deviation"), F.round(F.coalesce(F.stddev_samp("correction_factor"), F.lit(0.0)), 6).alias("stddev_factor"), F.min("correction_factor").alias("min_factor"), F.max("correction_factor").alias("max_factor"))
+    return rows.groupBy("item_type", "discipline", "unit").agg(rounded(F.avg("correction_factor"), 6).alias("avg_factor"), F.count("*").alias("data_points"), rounded(F.avg("deviation_pct"), 6).alias("avg_deviation"), rounded(F.coalesce(F.stddev_samp("correction_factor"), F.lit(0.0)), 6).alias("stddev_factor"), F.min("correction_factor").alias("min_factor"), F.max("correction_factor").alias("max_factor"))
 
 
 def apply_factors(items: DataFrame, factors: DataFrame) -> DataFrame:
@@ -116,7 +117,7 @@ def apply_factors(items: DataFrame, factors: DataFrame) -> DataFrame:
     f = factors.where("data_points >= 2 and not avg_factor between 0.98 and 1.02").groupBy("item_type").agg(F.max_by("avg_factor", F.struct("data_points", "avg_factor")).alias("factor"))
     rows = items.withColumn("item_type", item_type_key(F.col("description"))).join(f, "item_type", "left")
     note = F.concat(F.lit("Fator "), F.round("factor", 2).cast("string"))
-    return rows.withColumns({"observations": F.when(F.col("factor").isNotNull(), F.concat_ws(" | ", F.nullif("observations", F.lit("")), note)).otherwise(F.col("observations")), "quantity": F.when(F.col("factor").isNotNull(), F.round(F.col("quantity") * F.col("factor"), 2)).otherwise(F.col("quantity"))})
+    return rows.withColumns({"observations": F.when(F.col("factor").isNotNull(), F.concat_ws(" | ", F.nullif("observations", F.lit("")), note)).otherwise(F.col("observations")), "quantity": F.when(F.col("factor").isNotNull(), rounded(F.col("quantity") * F.col("factor"), 2)).otherwise(F.col("quantity"))})
 
 
 def budget_totals(items: DataFrame, price: str = "price") -> DataFrame:
@@ -126,7 +127,7 @@ def budget_totals(items: DataFrame, price: str = "price") -> DataFrame:
     job = F.col("discipline").isNull()
     contingency = F.when(job, F.col("direct") * CONTINGENCY)
     bdi = F.when(job, F.col("direct") * (1 + CONTINGENCY) * BDI)
-    return sums.select("job_id", "discipline", F.round("direct", 2).alias("direct"), F.round(contingency, 2).alias("contingency"), F.round(bdi, 2).alias("bdi"), F.round(F.col("direct") + contingency + bdi, 2).alias("total"))
+    return sums.select("job_id", "discipline", rounded(F.col("direct"), 2).alias("direct"), rounded(contingency, 2).alias("contingency"), rounded(bdi, 2).alias("bdi"), rounded(F.col("direct") + contingency + bdi, 2).alias("total"))
 
 
 def fill_section(cells: DataFrame) -> DataFrame:

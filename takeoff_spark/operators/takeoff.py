@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import classify, geometry
+from ..functions.numbers import rounded
 from ..functions.text import layer_base_name
 from ..rules import CATEGORIES
 
@@ -37,13 +38,13 @@ def dimension_rows(dims: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def sum_by_layer(rows: DataFrame, value: str) -> DataFrame:
-    return rows.groupBy("file_id", "layer").agg(F.round(F.sum(value), 4).alias(value), F.count("*").alias("n"))
+    return rows.groupBy("file_id", "layer").agg(rounded(F.sum(value), 3).alias(value), F.count("*").alias("n"))
 
 
 def block_counts(blocks: DataFrame) -> DataFrame:
     """Per file and countable block: number, first layer, smallest and largest position."""
     rows = blocks.where(classify.is_countable(F.col("name"), F.col("layer")))
-    return rows.groupBy("file_id", "name").agg(F.count("*").alias("n"), F.min_by("layer", "seq").alias("layer"), F.round(F.min("x"), 2).alias("min_x"), F.round(F.max("x"), 2).alias("max_x"), F.round(F.median("xscale"), 2).alias("median_scale"), F.first(classify.is_opening(F.col("name"))).alias("opening"))
+    return rows.groupBy("file_id", "name").agg(F.count("*").alias("n"), F.min_by("layer", "seq").alias("layer"), rounded(F.min("x"), 2).alias("min_x"), rounded(F.max("x"), 2).alias("max_x"), rounded(F.median("xscale"), 2).alias("median_scale"), F.first(classify.is_opening(F.col("name"))).alias("opening"))
 
 
 def block_bbox(points: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ def takeoff_items(blocks: DataFrame, lines: DataFrame, files: DataFrame) -> Data
     ok = blocks.where(classify.is_countable(F.col("name"), F.col("layer")))
     counted = categorize(ok).groupBy("file_id", "category", "name").agg(F.count("*").cast("double").alias("quantity")).withColumn("unit", F.lit("un")).withColumnRenamed("name", "description")
     lengths = line_lengths(lines, files).select("file_id", "layer", "length", F.explode(classify.categories(F.col("layer"))).alias("category"))
-    summed = lengths.groupBy("file_id", "category").agg(F.round(F.sum("length"), 2).alias("quantity")).select("file_id", "category", F.concat(F.lit("Comprimento "), "category").alias("description"), "quantity", F.lit("m").alias("unit"))
+    summed = lengths.groupBy("file_id", "category").agg(rounded(F.sum("length"), 2).alias("quantity")).select("file_id", "category", F.concat(F.lit("Comprimento "), "category").alias("description"), "quantity", F.lit("m").alias("unit"))
     rest = uncategorized(blocks).groupBy("file_id", F.col("name").alias("description")).agg(F.count("*").cast("double").alias("quantity")).withColumns({"unit": F.lit("un"), "category": F.lit(None).cast("string")})
     out = counted.unionByName(summed).unionByName(rest)
     return out.withColumns({"discipline": F.when(F.col("category").isNotNull(), classify.category_discipline(F.col("category"))), "confidence": F.when(F.col("category").isNull(), "verificar").otherwise("confirmado")})
