@@ -95,8 +95,8 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 
 
 def least_estimate(threshold: float, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Below this no pair of the threshold is lost in practice: six standard deviations of the sketch."""
-    return threshold - 6 * np.sqrt(threshold * (1 - threshold) / np.minimum(REGISTERS, np.minimum(na, nb)))
+    """Below this no pair of the threshold is lost in practice: five standard deviations of the sketch."""
+    return threshold - 5 * np.sqrt(threshold * (1 - threshold) / np.minimum(REGISTERS, np.minimum(na, nb)))
 
 
 def bands(threshold: float, miss: float = 1e-6) -> tuple[int, int]:
@@ -168,20 +168,21 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
-def _blocks(keys: DataFrame, reps: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
+def _blocks(keys: DataFrame, reps: DataFrame, comps: DataFrame, threshold: float, n_bands: int, n_rows: int) -> DataFrame:
     """Within each band key, documents outside its largest component against all its documents, in blocks.
 
-    Pairs leave a block only if their components differ and their estimate is in reach.
+    Pairs leave a block only if their components differ, their estimate is in reach and no earlier band has
+    them together (there they are compared too), so each pair leaves once.
     """
-    member = keys.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    member = keys.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("c"))
     of_key = member.groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c")).alias("top"), F.sum("count").alias("total"), F.count("*").alias("parts")).where("parts > 1")
     of_key = of_key.select("key", F.col("top.c").alias("top"), F.ceil(F.col("total") / BLOCK).cast("int").alias("nb"), F.ceil((F.col("total") - F.col("top.count")) / BLOCK).cast("int").alias("nq"))
     rows = member.join(of_key, "key")
     at = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
-    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), at(1, "nb").alias("bb"), F.lit(False).alias("q"), "rep", "c")
-    left = rows.where("c != top").select("key", at(2, "nq").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bb"), F.lit(True).alias("q"), "rep", "c")
+    right = rows.select("key", "band", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), at(1, "nb").alias("bb"), F.lit(False).alias("q"), "rep", "c")
+    left = rows.where("c != top").select("key", "band", at(2, "nq").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bb"), F.lit(True).alias("q"), "rep", "c")
     dealt = left.union(right).join(reps.select("rep", "n", "regs"), "rep")
-    groups = dealt.groupBy("key", "qb", "bb").agg(F.collect_list(F.struct("q", "rep", "c", "n", "regs")).alias("m")).where("exists(m, x -> x.q)").select("m")
+    groups = dealt.groupBy("key", "band", "qb", "bb").agg(F.collect_list(F.struct("q", "rep", "c", "n", "regs")).alias("m")).where("exists(m, x -> x.q)").select("m", "band")
 
     def run(batches):
         for t in batches:
@@ -193,13 +194,15 @@ def _blocks(keys: DataFrame, reps: DataFrame, comps: DataFrame, threshold: float
             q = flat.field("q").to_numpy(zero_copy_only=False)
             rep, c, n = (flat.field(x).to_numpy() for x in ("rep", "c", "n"))
             regs = np.frombuffer(b"".join(flat.field("regs").to_pylist()), "<u2").reshape(-1, REGISTERS)
-            for i, j in zip(offsets[:-1], offsets[1:], strict=True):
+            for i, j, band in zip(offsets[:-1], offsets[1:], t.column(1).to_pylist(), strict=True):
                 left, right = i + np.flatnonzero(q[i:j]), i + np.flatnonzero(~q[i:j])
                 for x in left:
                     y = right[(c[right] != c[x]) & (np.minimum(n[right], n[x]) >= (threshold - 1e-9) * np.maximum(n[right], n[x]))]
                     if len(y):
                         est = estimate(regs[y], regs[x], n[y], n[x])
                         keep = est >= least_estimate(threshold, n[y], n[x])
+                        earlier = (regs[y, : band * n_rows] == regs[x, : band * n_rows]).reshape(len(y), band, n_rows).all(axis=2).any(axis=1)
+                        keep &= ~earlier
                         a += [int(rep[x])] * int(keep.sum())
                         b += rep[y[keep]].tolist()
                         e += est[keep].tolist()
@@ -216,14 +219,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     documents that are their component's. Null or empty texts and texts of white space have an empty set
     and are linked with nothing. Rows with a null doc_id are left out (they have no name to report);
     rows that repeat a doc_id are one document. No caps: every pair that shares a band is settled by a
-    full comparison unless its ends are in one component already or its estimate is six deviations low.
+    full comparison unless its ends are in one component already or its estimate is five deviations low.
     """
     threshold = percent / 100
     n_bands, n_rows = bands(threshold)
     rows = materialise(sketches(docs, width), "sketches")
     reps = materialise(rows.where("n > 0").groupBy("digest", "n", "regs").agg(F.min("doc_id").alias("rep")), "reps")
     key = lambda b: F.xxhash64(F.lit(b), F.substring("regs", 1 + 2 * n_rows * b, 2 * n_rows))
-    keys = reps.select("rep", F.explode(F.array(*map(key, range(n_bands)))).alias("key"))
+    keys = reps.select("rep", F.posexplode(F.array(*map(key, range(n_bands)))).alias("band", "key"))
     hubs = keys.groupBy("key").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("key", "rep").alias("o"), "rep")).alias("hub")).where("k > 1").select("key", F.col("hub.rep").alias("hub"))
     keys = materialise(keys.join(hubs, "key"), "keys")  # those of more than one document
     pairs = keys.where("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"), "rep").distinct()
@@ -234,7 +237,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     best = pairs.select(F.explode(F.array("a", "b")).alias("x"), "a", "b", "est").groupBy("x").agg(F.max(F.struct("est", "a", "b")).alias("t")).select("t.a", "t.b").distinct()
     links = materialise(_verified(materialise(best, "best"), docs, width, percent), "links")
     comps = materialise(components(links), "components")
-    for more in (lambda: pairs.join(best, ["a", "b"], "left_anti"), lambda: _blocks(keys.select("key", "rep"), reps, comps, threshold)):
+    for more in (lambda: pairs.join(best, ["a", "b"], "left_anti"), lambda: _blocks(keys.select("key", "band", "rep"), reps, comps, threshold, n_bands, n_rows)):
         rest = materialise(_apart(more(), comps).select("a", "b"), "rest")
         if rest.isEmpty():
             continue
