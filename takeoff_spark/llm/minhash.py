@@ -5,7 +5,7 @@ bucket's smallest hash only the number of leading zeros and a few mantissa bits
 Bands of registers propose pairs, the collision-corrected estimate drops the hopeless ones, full sets
 decide. Copies of one set collapse first. Inside a band key documents are compared with hubs before
 all others, so groups of copies need links in proportion to their size; what the hubs leave apart is
-compared in blocks of bounded size.
+compared in blocks of bounded size, which hold the shingles that others share and give links only, no candidates.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from .components import components
 REGISTERS = 128
 MANTISSA = 10
 BLOCK = 256
+#: Shingles that a side of a block holds, about, where sets are compared (16 MB of longs).
+BLOCK_HASHES = 2_000_000
 #: Odd multipliers of the hash (fixed values, any odd numbers do).
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -168,48 +170,112 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
-def _blocks(keys: DataFrame, reps: DataFrame, comps: DataFrame, threshold: float, n_bands: int, n_rows: int) -> DataFrame:
-    """Within each band key, documents outside its largest component against all its documents, in blocks.
-
-    Pairs leave a block only if their components differ, their estimate is in reach and no earlier band has
-    them together (there they are compared too), so each pair leaves once.
-    """
-    member = keys.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("c"))
-    of_key = member.groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c")).alias("top"), F.sum("count").alias("total"), F.count("*").alias("parts")).where("parts > 1")
-    of_key = of_key.select("key", F.col("top.c").alias("top"), F.ceil(F.col("total") / BLOCK).cast("int").alias("nb"), F.ceil((F.col("total") - F.col("top.count")) / BLOCK).cast("int").alias("nq"))
+def _dealt(keys: DataFrame, members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Blocks (band, m) of the keys with several components: documents outside the key's largest component (q)
+    against all its documents, up to BLOCK of each, fewer where their sets are long. members: rep, weight, further columns."""
+    cols = [x for x in members.columns if x not in ("rep", "weight")]
+    member = keys.join(members.select("rep", "weight"), "rep").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "band", "rep", "weight", F.coalesce("component", "rep").alias("c"))
+    of_key = member.groupBy("key", "c").agg(F.count("*").alias("count"), F.sum("weight").alias("weight")).groupBy("key").agg(F.max(F.struct("count", "c", "weight")).alias("top"), F.sum("count").alias("total"), F.sum("weight").alias("weight"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda n, weight: F.ceil(F.greatest(n / BLOCK, weight / BLOCK_HASHES)).cast("int")
+    of_key = of_key.select("key", F.col("top.c").alias("top"), blocks(F.col("total"), F.col("weight")).alias("nb"), blocks(F.col("total") - F.col("top.count"), F.col("weight") - F.col("top.weight")).alias("nq"))
     rows = member.join(of_key, "key")
     at = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
     right = rows.select("key", "band", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), at(1, "nb").alias("bb"), F.lit(False).alias("q"), "rep", "c")
     left = rows.where("c != top").select("key", "band", at(2, "nq").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bb"), F.lit(True).alias("q"), "rep", "c")
-    dealt = left.union(right).join(reps.select("rep", "n", "regs"), "rep")
-    groups = dealt.groupBy("key", "band", "qb", "bb").agg(F.collect_list(F.struct("q", "rep", "c", "n", "regs")).alias("m")).where("exists(m, x -> x.q)").select("m", "band")
+    dealt = left.union(right).join(members.drop("weight"), "rep")
+    return dealt.groupBy("key", "band", "qb", "bb").agg(F.collect_list(F.struct("q", "rep", "c", *cols)).alias("m")).where("exists(m, x -> x.q)").select("m", "band")
+
+
+def _block_arrays(t: pa.RecordBatch):
+    """Of a batch of blocks: members as arrays, and (first, end, band) of each block."""
+    m = t.column(0)
+    flat, offsets = m.flatten(), m.offsets.to_numpy() - m.offsets[0].as_py()
+    cols = {x: flat.field(x).to_numpy(zero_copy_only=False) for x in ("q", "rep", "c", "n")}
+    regs = np.frombuffer(b"".join(flat.field("regs").to_pylist()), "<u2").reshape(-1, REGISTERS)
+    return flat, cols["q"], cols["rep"], cols["c"], cols["n"], regs, zip(offsets[:-1], offsets[1:], t.column(1).to_pylist(), strict=True)
+
+
+def _not_earlier(regs: np.ndarray, y: np.ndarray, x: int, band: int, n_rows: int) -> np.ndarray:
+    """Which of ``y`` share no earlier band with ``x``: a pair is looked at in its first shared band."""
+    same = (regs[y, : band * n_rows] == regs[x, : band * n_rows]).reshape(len(y), band, n_rows)
+    return ~same.all(axis=2).any(axis=1)
+
+
+def _undecided(keys: DataFrame, reps: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
+    """doc_id of the documents that share a key with one of another component whose estimate is in reach."""
 
     def run(batches):
         for t in batches:
-            a, b, e = [], [], []
-            m = t.column(0)
-            flat, offsets = m.flatten(), m.offsets.to_numpy() - m.offsets[0].as_py()
-            if not len(flat):
-                continue
-            q = flat.field("q").to_numpy(zero_copy_only=False)
-            rep, c, n = (flat.field(x).to_numpy() for x in ("rep", "c", "n"))
-            regs = np.frombuffer(b"".join(flat.field("regs").to_pylist()), "<u2").reshape(-1, REGISTERS)
-            for i, j, band in zip(offsets[:-1], offsets[1:], t.column(1).to_pylist(), strict=True):
-                left, right = i + np.flatnonzero(q[i:j]), i + np.flatnonzero(~q[i:j])
-                for x in left:
+            flat, q, rep, c, n, regs, blocks = _block_arrays(t)
+            seen = np.zeros(len(flat), bool)
+            for i, j, _ in blocks:
+                right = i + np.flatnonzero(~q[i:j])
+                for x in i + np.flatnonzero(q[i:j]):
                     y = right[(c[right] != c[x]) & (np.minimum(n[right], n[x]) >= (threshold - 1e-9) * np.maximum(n[right], n[x]))]
                     if len(y):
-                        est = estimate(regs[y], regs[x], n[y], n[x])
-                        keep = est >= least_estimate(threshold, n[y], n[x])
-                        earlier = (regs[y, : band * n_rows] == regs[x, : band * n_rows]).reshape(len(y), band, n_rows).all(axis=2).any(axis=1)
-                        keep &= ~earlier
-                        a += [int(rep[x])] * int(keep.sum())
-                        b += rep[y[keep]].tolist()
-                        e += est[keep].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(e, pa.float64())], names=["a", "b", "est"])
+                        y = y[estimate(regs[y], regs[x], n[y], n[x]) >= least_estimate(threshold, n[y], n[x])]
+                        seen[y], seen[x] = True, seen[x] or len(y) > 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(rep[seen]).astype(np.int64))], names=["doc_id"])
+
+    groups = _dealt(keys, reps.select("rep", F.lit(REGISTERS // 4).alias("weight"), "n", "regs"), comps)
+    return groups.mapInArrow(run, "doc_id long").distinct()
 
-    found = groups.mapInArrow(run, "a long, b long, est double")
-    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("est").alias("est"))
+
+def _sharable(ids: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """rep, n (size of the set), s (its shingles that another of ``ids`` has too), for those that may have a link.
+
+    An intersection within ``ids`` lies inside both s, so s decides as the full set does; and a document whose
+    s is less than the threshold's part of its own set can't have a link.
+    """
+
+    def make():
+        return lambda b: {"doc_id": b.column(0), "s": [shingles(t, width).view(np.int64) for t in b.column(1).to_pylist()]}
+
+    sets = materialise(map_rows(keep_ids(clean_text(docs), ids, "doc_id"), make, "doc_id long, s array<long>"), "sets")
+    lone = sets.select("doc_id", F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("k"), F.min("doc_id").alias("doc_id")).where("k = 1")
+    lone = lone.groupBy("doc_id").agg(F.collect_list("h").alias("lone"))
+    shared = F.array_except("s", F.coalesce("lone", F.array().cast("array<long>")))
+    out = sets.join(lone, "doc_id", "left").select(F.col("doc_id").alias("rep"), F.size("s").cast("long").alias("n"), shared.alias("s"))
+    return out.where(100 * F.size("s") >= percent * F.col("n"))
+
+
+def _block_links(keys: DataFrame, members: DataFrame, comps: DataFrame, percent: int, n_rows: int) -> DataFrame:
+    """(a, b): components that a link joins. Full sets decide inside the blocks; a block gives a spanning forest of its links."""
+
+    def run(batches):
+        for t in batches:
+            flat, q, _, c, n, regs, blocks = _block_arrays(t)
+            s = flat.field("s")
+            at, hashes = s.offsets.to_numpy() - s.offsets[0].as_py(), s.flatten().to_numpy()
+            size, found = np.diff(at), []
+            for i, j, band in blocks:
+                codes = np.unique(hashes[at[i] : at[j]], return_inverse=True)[1].ravel()
+                mark, start = np.zeros(len(codes) + 1, bool), at[i]
+                root = {x: x for x in c[i:j].tolist()}
+
+                def find(x, root=root):
+                    while root[x] != x:
+                        root[x] = x = root[root[x]]
+                    return x
+
+                right = i + np.flatnonzero(~q[i:j])
+                for x in i + np.flatnonzero(q[i:j]):
+                    # what can be shared at most, against what the threshold asks of these sizes
+                    y = right[(c[right] != c[x]) & ((100 + percent) * np.minimum(size[right], size[x]) >= percent * (n[right] + n[x]))]
+                    if not len(y):
+                        continue
+                    y = y[_not_earlier(regs, y, x, band, n_rows)]
+                    own = codes[at[x] - start : at[x + 1] - start]
+                    mark[own] = True
+                    for z in y.tolist():
+                        a, b = find(int(c[x])), find(int(c[z]))
+                        if a != b and (100 + percent) * int(np.count_nonzero(mark[codes[at[z] - start : at[z + 1] - start]])) >= percent * int(n[x] + n[z]):
+                            root[max(a, b)] = min(a, b)
+                            found.append((int(c[x]), int(c[z])))
+                    mark[own] = False
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
+
+    return _dealt(keys, members, comps).mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -237,15 +303,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     best = pairs.select(F.explode(F.array("a", "b")).alias("x"), "a", "b", "est").groupBy("x").agg(F.max(F.struct("est", "a", "b")).alias("t")).select("t.a", "t.b").distinct()
     links = materialise(_verified(materialise(best, "best"), docs, width, percent), "links")
     comps = materialise(components(links), "components")
-    for more in (lambda: pairs.join(best, ["a", "b"], "left_anti"), lambda: _blocks(keys.select("key", "band", "rep"), reps, comps, threshold, n_bands, n_rows)):
-        rest = materialise(_apart(more(), comps).select("a", "b"), "rest")
-        if rest.isEmpty():
-            continue
-        found = materialise(_verified(rest, docs, width, percent), "links")
+
+    def joined(found: DataFrame) -> DataFrame:
         if found.isEmpty():
-            continue
+            return comps
         stars = comps.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a < b")
-        comps = materialise(components(stars.union(found)), "components")
+        return materialise(components(stars.union(found.select("a", "b"))), "components")
+
+    rest = materialise(_apart(pairs.join(best, ["a", "b"], "left_anti"), comps).select("a", "b"), "rest")
+    if not rest.isEmpty():
+        comps = joined(materialise(_verified(rest, docs, width, percent), "links"))
+    # what hubs didn't settle: keys with several components
+    keys = keys.select("key", "band", "rep")
+    ids = materialise(_undecided(keys, reps, comps, threshold), "undecided")
+    if not ids.isEmpty():
+        members = materialise(_sharable(ids, docs, width, percent).join(reps.select("rep", "regs"), "rep").withColumn("weight", F.size("s")), "members")
+        comps = joined(materialise(_block_links(keys, members, comps, percent, n_rows), "links"))
 
     classes = reps.select("digest", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", "n", "digest").join(classes, "digest", "left")
