@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from takeoff_spark.llm import html_text, line_dedup, media, minhash, mixing, piece_codec, topk, toxicity
 from takeoff_spark.llm.bpe_count import token_counts
@@ -105,6 +106,46 @@ def test_near_duplicates(spark):
     assert got == {i: (find(i), len(s)) for i, s in sets.items()}
 
 
+def test_blocks_find_every_link(spark, monkeypatch):
+    """Without any link from hubs, the blocks alone give the components of one group of near copies."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for _ in range(90):
+        t = list(base)
+        for _ in range(rng.randrange(12)):
+            t[rng.randrange(len(t))] = f"w{rng.randrange(50)}"
+        texts.append(" ".join(t))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n_bands, n_rows = minhash.bands(0.85)
+    reps = minhash.sketches(docs, 3).groupBy("digest", "n", "regs").agg(F.min("doc_id").alias("rep"))
+    key = lambda b: F.xxhash64(F.lit(b), F.substring("regs", 1 + 2 * n_rows * b, 2 * n_rows))
+    keys = reps.select("rep", F.posexplode(F.array(*map(key, range(n_bands)))).alias("band", "key"))
+    none = spark.createDataFrame([], "node long, component long")
+    ids = minhash._undecided(keys, reps, none, 0.85)
+    members = minhash._sharable(ids, docs, 3, 85).join(reps.select("rep", "regs"), "rep").withColumn("weight", F.size("s"))
+    got = {r.node: r.component for r in components(minhash._block_links(keys, members, none, 85, n_rows)).collect()}
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(frozenset(minhash.shingles(t, 3).tolist()), i)
+    sets, par = {i: s for s, i in first.items()}, {i: i for i in first.values()}
+
+    def find(x):
+        while par[x] != x:
+            x = par[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                par[max(x, y)] = min(x, y)
+    want = {i: find(i) for i in sets}
+    assert 1 < len(set(want.values())) < len(want)
+    assert {i: got.get(i, i) for i in sets} == want
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40) if i % 7], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
