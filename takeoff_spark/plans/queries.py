@@ -382,12 +382,23 @@ SUGGEST = "+ words AS (SELECT DISTINCT description, unit, unnest(" + KEYWORDS.fo
     SELECT description, unit, codigo, descricao, CAST(sum(1 + CASE WHEN contains(lower(unidade), lower(unit)) THEN 0.5 ELSE 0 END) AS DOUBLE) AS score FROM words JOIN hits USING (word) GROUP BY ALL)) WHERE rank <= 3"""
 
 
+MASTER_SQL = """+ master AS (SELECT codigo, substring(descricao, 1, 400) AS descricao, substring(unidade, 1, 20) AS unidade, familia_id FROM price_catalog
+    WHERE coalesce(tipo_item, '-') IN ('', '-') AND codigo <> '0' QUALIFY row_number() OVER (PARTITION BY codigo ORDER BY seq) = 1)"""
+
+
+def long_words(c: str) -> str:
+    return f"list_filter(list_distinct(string_split_regex(lower({c}), '[^\\p{{L}}\\p{{N}}_]+')), lambda t: length(t) >= 4)"
+
+
 @query("j08_suggest_codes", "budget_items price_catalog", SUGGEST)
 def j08(s, d):
     return cat.suggest_codes(items(s, d), io.read_price_catalog(fixture(s, d, "price_catalog")), 3)
 
 
-@query("j09_codes_for_family")
+@query("j09_codes_for_family", "price_catalog catalog_familia", MASTER_SQL + f""" SELECT familia_id, query, codigo, score, rank FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY familia_id, query ORDER BY score DESC, codigo) AS INTEGER) AS rank FROM (
+    SELECT m.familia_id, words AS query, codigo, CAST(len(list_intersect({long_words('descricao')}, {long_words('words')})) AS INTEGER) AS score
+    FROM (SELECT * FROM master WHERE familia_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY familia_id ORDER BY codigo) <= 50) m JOIN catalog_familia f ON m.familia_id = f.id)) WHERE rank <= 5""")
 def j09(s, d):
     c = io.read_price_catalog(fixture(s, d, "price_catalog"))
     return cat.codes_for_family(c, fixture(s, d, "catalog_familia").select(F.col("id").alias("familia_id"), F.col("words").alias("query")))
@@ -647,12 +658,27 @@ def u04(s, d):
     return items(s, d).join(r, ["job_id", "seq"]).select("job_id", "seq", text.token_overlap(text.description_tokens(F.col("description")), text.description_tokens(F.col("other"))).alias("shared"))
 
 
-@query("x01_classify_items")
+def class_tokens(c: str) -> str:
+    return f"list_filter(list_distinct(string_split_regex(regexp_replace(regexp_replace(strip_accents(lower({c})), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9 ]', ' ', 'g'), ' +')), lambda t: length(t) >= 4)"
+
+
+def classified_sql(rows: str) -> str:
+    """CTEs up to ``found``: the best familia of each distinct (description, unit) of ``rows``."""
+    return f""", described AS (SELECT description, unit, {class_tokens('description')} AS tokens FROM (SELECT DISTINCT description, unit FROM {rows}) WHERE length(trim(description)) >= 3),
+    known AS (SELECT DISTINCT familia_code, familia_id, typical_unit, unnest(list_concat({class_tokens("array_to_string(keywords, ' ')")}, {class_tokens('familia_name')})) AS token FROM catalog),
+    hits AS (SELECT description, unit, len(tokens) AS n, familia_code, familia_id, typical_unit, count(*) AS hits FROM (SELECT *, unnest(tokens) AS token FROM described) JOIN known USING (token) GROUP BY ALL),
+    found AS (SELECT description, unit, familia_code, round(hits / n, 4) * CASE WHEN unit = typical_unit THEN 1.0 ELSE 0.5 END AS confidence_score FROM hits QUALIFY row_number() OVER (PARTITION BY description, unit ORDER BY hits DESC, familia_id) = 1)"""
+
+
+@query("x01_classify_items", "budget_items " + CATALOG, CATALOG_SQL + classified_sql("budget_items") + " SELECT job_id, seq, familia_code, CAST(coalesce(confidence_score, 0) AS DOUBLE) AS confidence_score FROM budget_items LEFT JOIN found USING (description, unit)")
 def x01(s, d):
     return cat.classify_items(items(s, d), full_catalog(s, d)).select("job_id", "seq", "familia_code", "confidence_score")
 
 
-@query("x02_classify_in_batches")
+PRICED_SQL = ", priced AS (SELECT codigo, descricao AS description, coalesce(unidade, '') AS unit FROM master)"
+
+
+@query("x02_classify_in_batches", "price_catalog " + CATALOG, MASTER_SQL + "," + CATALOG_SQL.removeprefix("+") + PRICED_SQL + classified_sql("priced") + " SELECT codigo, familia_code, CAST(coalesce(confidence_score, 0) AS DOUBLE) AS confidence_score FROM priced LEFT JOIN found USING (description, unit)")
 def x02(s, d):
     rows = io.read_price_catalog(fixture(s, d, "price_catalog")).select("codigo", F.col("descricao").alias("description"), F.coalesce("unidade", F.lit("")).alias("unit"))
     return cat.classify_items(rows, full_catalog(s, d)).select("codigo", "familia_code", "confidence_score")

@@ -11,7 +11,7 @@ from takeoff_spark.sources.fixtures import TABLES
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 #: A part of the list keeps the run short; the driver compares all.
-PICK = [n for n in QUERIES if n.startswith(("j0", "a0", "w0", "p1", "st0", "s0"))]
+PICK = [n for n in QUERIES if n.startswith(("j0", "a0", "w0", "p1", "st0", "s0", "x01", "x02"))]
 
 
 def norm(v):
