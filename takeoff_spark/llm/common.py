@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,10 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which every executor can reach.
 
-    Only where that setting is unset (tests, a laptop) a temporary folder stands in for it.
+    Only where that setting is unset in local mode (tests, a laptop) a temporary folder stands in for it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_dirs:
             _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="takeoff-")
@@ -70,8 +77,40 @@ def clean_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+#: Bytes of text that a task turns into Python objects at once, about.
+SLICE = 8 << 20
+
+
+def slices(batch: pa.RecordBatch, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about ``most`` bytes of strings; a longer row is a run of its own."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type):
+            size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    run = (np.cumsum(size) - size) // most
+    cuts = [*(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+    at = 0
+    for end in cuts:
+        if end > at:
+            yield batch.slice(at, end - at)
+        at = end
+
+
+def in_slices(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """For mapInArrow: ``f`` gets slices of bounded size, and what a task kept in caches is freed at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(x for b in batches for x in slices(b))
+        finally:
+            for memo in list(_memos):
+                memo.clear()
+
+    return run
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
-    """mapInArrow: ``make`` runs once a task, what it returns once a batch."""
+    """mapInArrow: ``make`` runs once a task, what it returns once a slice of bounded size."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -80,13 +119,11 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
             f = f or make()
             cols = f(batch)
             yield pa.RecordBatch.from_arrays([pa.array(cols[x.name], x.type) if not isinstance(cols[x.name], (pa.Array, pa.ChunkedArray)) else cols[x.name].cast(x.type) for x in out], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(in_slices(run), schema)
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, on: str, limit: int = BROADCAST_IDS) -> DataFrame:
@@ -95,21 +132,44 @@ def keep_ids(df: DataFrame, ids: DataFrame, on: str, limit: int = BROADCAST_IDS)
     return df.join(F.broadcast(ids) if few else ids, on, "left_semi")
 
 
+_SPACE = re.compile(r"[ \t-\r]")
+
+
+def parts_of(text: str, most: int = 1 << 20) -> Iterator[str]:
+    """A long text in parts that end at white space, so that the words of one part at a time are in memory."""
+    at = 0
+    while len(text) - at > most:
+        m = _SPACE.search(text, at + most)
+        if not m:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
+
+
 class Memo(dict):
-    """A dict that computes what it lacks and starts afresh at ``most`` entries, so memory stays bounded."""
+    """A dict that computes what it lacks; of ``most`` entries the older half goes, and all do when the task ends."""
+
+    __hash__ = object.__hash__
 
-    def __init__(self, compute: Callable, most: int = 300_000, longest: int = 64):
+    def __init__(self, compute: Callable, most: int = 100_000, longest: int = 64):
         super().__init__()
         self.compute, self.most, self.longest = compute, most, longest
+        _memos.add(self)
 
     def __missing__(self, key):
         value = self.compute(key)
         if len(key) <= self.longest:
             if len(self) >= self.most:
-                self.clear()
+                for old in list(islice(self, self.most // 2)):
+                    del self[old]
             self[key] = value
         return value
 
 
+#: The caches of this process.
+_memos: weakref.WeakSet = weakref.WeakSet()
+
+
 def hash64(b: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little")
