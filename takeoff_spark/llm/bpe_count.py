@@ -9,10 +9,11 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
+from tokenizers import Tokenizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, clean_text, map_rows, tokenizer_path
+from .common import Memo, clean_text, map_rows, parts_of, tokenizer_path
 
 #: White space as the vocabulary's patterns mean it (fixed values of the Unicode property).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -69,7 +70,8 @@ class WordCounter:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.specials = regex.compile("|".join(map(regex.escape, self.special)))
         self.spaces = regex.compile(f"[{SPACE}]+")
-        self.piece_counts, self.word_counts = Memo(self.of_piece, 400_000), Memo(self.of_word, 700_000)
+        self.piece_counts, self.word_counts = Memo(self.of_piece, 100_000), Memo(self.of_word, 300_000)
+        self.normaliser = Tokenizer.from_file(path).normalizer
 
     def of_piece(self, piece: str) -> int:
         data = piece.encode()
@@ -80,9 +82,12 @@ class WordCounter:
         return sum(map(self.piece_counts.__getitem__, self.pieces.findall(word)))
 
     def plain(self, text: str) -> int:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case by character: no final sigma
-        text = text.lower()
+        if text.isascii():
+            text = text.lower()
+        elif any(unicodedata.category(c) == "Cn" for c in set(text)):
+            text = self.normaliser.normalize_str(text)  # the library's tables may have letters that Python's lack
+        else:
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # by character: no final sigma
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")  # white space for str.split only
         words = [w for w in self.spaces.split(text) if w] if odd else text.split()
         return sum(map(self.word_counts.__getitem__, words))
@@ -91,7 +96,7 @@ class WordCounter:
         if any(s in text for s in self.special):
             parts = self.specials.split(text)
             return len(parts) - 1 + sum(map(self.plain, parts))
-        return self.plain(text)
+        return sum(map(self.plain, parts_of(text)))
 
 
 @lru_cache(2)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, clean_text, hash64, keep_ids, map_rows, materialise
+from .common import Memo, clean_text, hash64, keep_ids, map_rows, materialise, parts_of
 from .components import components
 
 REGISTERS = 128
@@ -38,7 +38,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_words = Memo(hash64, 700_000)
+_words = Memo(hash64, 200_000)
 
 
 def shingles(text: str, width: int) -> np.ndarray:
@@ -46,10 +46,10 @@ def shingles(text: str, width: int) -> np.ndarray:
 
     Fewer words than ``width``: the whole sequence is one shingle. No words: an empty set.
     """
-    words = text.encode().lower().split()
-    if not words:
+    look = _words.__getitem__
+    h = np.concatenate([np.fromiter(map(look, part.encode().lower().split()), np.uint64) for part in parts_of(text)])
+    if not len(h):
         return np.zeros(0, np.uint64)
-    h = np.array(list(map(_words.__getitem__, words)), np.uint64)
     n = min(width, len(h))
     total = np.full(len(h) - n + 1, n, np.uint64)
     for i in range(n):
@@ -328,6 +328,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents that stay, all columns as they came: one of each group, that of the smallest doc_id."""
-    gone = materialise(near_duplicates(docs, width, percent).where("not kept").select("doc_id").distinct(), "gone")
-    few = gone.count() <= 1_000_000
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    gone = materialise(near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    few = gone.count() <= 1_000_000  # 8 MB of ids, a shuffle beyond
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == F.col("gone"), "left_anti")

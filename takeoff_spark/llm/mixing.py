@@ -8,6 +8,7 @@ tokens of each domain meet its target. Per round the driver sees one number a do
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,8 @@ from .common import materialise
 
 
 def words_of(text: Column) -> Column:
-    return F.split(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("\n"), F.lit(" ")), " ")
+    """Words between ASCII white space (and empty strings where several follow each other)."""
+    return F.split(F.translate(F.coalesce(text.cast("string"), F.lit("")), "\n\t\r\x0b\x0c", "     "), " ")
 
 
 def word_weights(docs: DataFrame, labelled: DataFrame, domains: list[str], per_domain: int = 1500, vocabulary: int = 4000) -> tuple[DataFrame, list[float]]:
@@ -60,9 +62,14 @@ def memberships(docs: DataFrame, weights: DataFrame, priors: list[float]) -> Dat
 
 
 def fit_rates(members: DataFrame, targets: list[float], least: float = 0.0, budget: float | None = None, rounds: int = 120, tolerance: float = 1e-4) -> DataFrame:
-    """Adds ``rate`` >= least: expected tokens sum(rate * tokens * p_k) come to budget * target_k.
+    """Adds ``rate`` >= least: expected tokens sum(rate * tokens * p_k) come to budget * target_k; and ``misfit``.
 
-    Without a budget: all tokens, or for least > 0 the smallest total that needs no rate below it. Each round
+    ``misfit`` is the largest deviation of a domain from its target when the fit ended, as a part of the budget. It
+    stays above ``tolerance`` where targets can't be met (no tokens, memberships that are all alike, or more than
+    ``rounds`` rounds needed); the fit warns of that.
+
+    Without a budget: all tokens, or for least > 0 a twentieth more than the smallest total that needs no rate below
+    it (at that total itself, documents of several domains leave a domain above its target). Each round
     moves every rate against the gradient of the squared misfit and projects it to its bound; the gradient is
     preconditioned by the domains' Gram matrix over the rates above their bound (domains x domains numbers).
     """
@@ -70,10 +77,10 @@ def fit_rates(members: DataFrame, targets: list[float], least: float = 0.0, budg
     have = members.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * F.col(f"p{i}")) for i in k]).first()
     total, mass = float(have[0] or 0), [float(x or 0) for x in have[1:]]
     if not total:
-        return members.withColumn("rate", F.lit(max(1.0, least)))
+        return members.withColumn("rate", F.lit(max(1.0, least))).withColumn("misfit", F.lit(1.0))
     share = [t / sum(targets) for t in targets]
     if budget is None:
-        budget = total if not least else max(total, *(least * m / s for m, s in zip(mass, share, strict=True) if s > 0))
+        budget = total if not least else 1.05 * max(total, *(least * m / s for m, s in zip(mass, share, strict=True) if s > 0))
     goal = [budget * s for s in share]
     now = members.withColumn("rate", F.lit(max(1.0, least)))
     history: list[list[float]] = []
@@ -88,14 +95,15 @@ def fit_rates(members: DataFrame, targets: list[float], least: float = 0.0, budg
         return F.when(F.col("rate") > least, F.col("tokens")).otherwise(0)
 
     pairs = [(i, j) for i in k for j in range(i, len(targets))]
-    step, before = 1.0, float("inf")
+    step, before, best = 1.0, float("inf"), []
     for _ in range(rounds):
         sums = [F.sum(F.col("rate") * F.col("tokens") * F.col(f"p{i}")) for i in k] + [F.sum(at_work() * F.col(f"p{i}") * F.col(f"p{j}")) for i, j in pairs]
         got = [float(x or 0) for x in now.select("tokens", *[f"p{i}" for i in k], moved().alias("rate")).agg(*sums).first()]
         off = [x - g for x, g in zip(got, goal, strict=False)]
         misfit = max(map(abs, off))
-        if misfit <= tolerance * budget:
-            break
+        best.append(min([misfit, *best[-1:]]))
+        if misfit <= tolerance * budget or (len(best) > 12 and best[-1] > 0.98 * best[-13]):
+            break  # met, or twelve rounds without progress: the targets are out of reach
         step, before = (step / 2 if misfit > before else min(1.0, step * 1.5)), misfit
         gram = np.zeros((len(targets), len(targets)))
         for (i, j), x in zip(pairs, got[len(targets) :], strict=True):
@@ -105,11 +113,13 @@ def fit_rates(members: DataFrame, targets: list[float], least: float = 0.0, budg
         if len(history) == 12:
             now = materialise(now.withColumn("rate", moved()), "rates")
             history = []
-    return now.withColumn("rate", moved())
+    if misfit > tolerance * budget:
+        warnings.warn(f"the mixture misses its targets by {misfit / budget:.4f} of the tokens", stacklevel=2)
+    return now.withColumn("rate", moved()).withColumn("misfit", F.lit(misfit / budget))
 
 
 def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0, budget: float | None = None) -> DataFrame:
-    """doc_id, tokens, p_<domain> for each target, rate and copies (whole numbers whose mean is the rate).
+    """doc_id, tokens, p_<domain> for each target, rate, copies (whole numbers whose mean is the rate) and misfit (see ``fit_rates``).
 
     ``labelled``: doc_id and domain of some documents. A null or empty text has no tokens and the prior as its
     memberships; rows with a null doc_id are left out; rows that repeat a doc_id are one document (tokens add
@@ -121,15 +131,16 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     members = materialise(memberships(docs, weights, priors), "members")
     rates = fit_rates(members, [targets[d] for d in domains], least, budget)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    return rates.select("doc_id", "tokens", *[F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(domains)], "rate", F.floor(F.col("rate") + draw).cast("int").alias("copies"))
+    return rates.select("doc_id", "tokens", *[F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(domains)], "rate", F.floor(F.col("rate") + draw).cast("int").alias("copies"), "misfit")
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0, budget: float | None = None) -> DataFrame:
-    """The documents, each as often as its rate says (``copies`` of ``mixing_rates``), all columns as they came."""
-    rates = materialise(mixing_rates(docs, labelled, targets, least, budget).select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies")), "copies")
+    """The documents, each as often as its rate says (``copies`` of ``mixing_rates``), all columns as they came; rows with a null doc_id stay once."""
+    rates = materialise(mixing_rates(docs, labelled, targets, least, budget).select(F.col("doc_id").alias("id"), "copies"), "copies")
     few = rates.count() <= 1_000_000  # at most 16 MB; joined by a shuffle beyond
-    joined = docs.join(F.broadcast(rates) if few else rates, F.col("doc_id") == F.col("__id")).where("__copies > 0")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("all"), F.col("doc_id").cast("long").alias("id"))
+    joined = rows.join(F.broadcast(rates) if few else rates, "id", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    return joined.where("copies > 0").select("all", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"all.`{c}`") for c in docs.columns])
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

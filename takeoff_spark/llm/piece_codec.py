@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding that keeps every piece's source bytes.
 
 Text is normalised by longest-prefix matches in the model's compiled character map; an alignment
-records for each normalised character how many source bytes it stands for. Pieces are then
-projected to byte spans of the original text. Piece merging is the sentencepiece library's, run once
-for each distinct chunk; decoding rebuilds the text from the identifiers.
+records for each normalised character the source byte where it starts. Pieces are laid along the
+normalised text and so projected to byte spans of the original one. That and the piece merging, which is the
+sentencepiece library's, run once for each distinct chunk (a word with its blanks, where words don't
+depend on each other; else the whole text); decoding rebuilds the text from the identifiers.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -79,7 +82,7 @@ class CharMap:
 class Codec:
     """One model: encoding with begin and end identifiers, spans, decoding."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str):
         import sentencepiece
 
         self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -96,24 +99,25 @@ class Codec:
         self.map = CharMap(norm.get(2, b""))
         self.prefix, self.squeeze, self.escape = norm.get(3, 1), norm.get(4, 1), norm.get(5, 1)
         self.bos, self.eos, self.blank = self.lib.bos_id(), self.lib.eos_id(), self.lib.piece_to_id(SPACE)
-        texts = [p[1].decode() for p in pieces]
+        self.texts = texts = [p[1].decode() for p in pieces]
         self.kind = [p.get(3, 1) for p in pieces]
         surface = [bytes([int(t[3:-1], 16)]) if k == BYTE else b"" if k == CONTROL else t.replace(SPACE, " ").encode() for t, k in zip(texts, self.kind, strict=True)]
         self.sizes = np.array([len(x) for x in surface], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(surface), np.uint8)
-        self.dtype = "<u2" if len(pieces) <= 1 << 16 else "<u4"
-        #: Without an own map, and where no piece holds a line end or goes on into a new word, words are encoded one by one.
+        #: Without an own map, and where no piece holds a line end or goes on into a new word, words don't depend on each other.
         self.by_word = not self.map.units and self.prefix and not self.squeeze and self.escape and not any(SPACE in t.lstrip(SPACE) or "\n" in t for t in texts)
-        self.words = Memo(lambda w: self.pack(self.lib.encode(w) if w else [self.blank]), most)
-        self.lines = Memo(lambda w: self.pack(self.lib.encode("\n" + w)[1:]), most // 5)
+        self.words = Memo(lambda w: self.chunk(" " + w, self.lib.encode(w) if w else [self.blank]), 200_000)
+        self.lines = Memo(lambda w: self.chunk("\n" + w, self.lib.encode("\n" + w)[1:]), 50_000)
 
-    def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+    def chunk(self, source: str, ids: list[int]) -> bytes:
+        """Pairs of identifier and source bytes of the pieces of a chunk inside a text, as unsigned 32-bit integers."""
+        ends = self.laid(ids, source, False)
+        return array("I", chain.from_iterable(zip(ids, map(int.__sub__, ends, [0, *ends]), strict=False))).tobytes()
 
     # Normalisation and alignment
 
-    def normalise(self, text: str) -> tuple[str, np.ndarray]:
+    def normalise(self, text: str, prefix: bool = True) -> tuple[str, list[int]]:
         """Normalised text and, for each of its characters and the end, the source byte where it starts."""
         data, out, at, i = text.encode(), [], [], 0
         while i < len(data):
@@ -132,10 +136,23 @@ class Codec:
             while keep and out[keep[-1]] == " ":
                 keep.pop()
             out, at = [out[j] for j in keep], [at[j] for j in keep]
-        if out and self.prefix:
+        if out and prefix and self.prefix:
             out, at = [" ", *out], [at[0], *at]
         s = "".join(out)
-        return s.replace(" ", SPACE) if self.escape else s, np.array([*at, len(data)], np.int64)
+        return s.replace(" ", SPACE) if self.escape else s, [*at, len(data)]
+
+    def laid(self, ids: list[int], text: str, prefix: bool = True) -> list[int]:
+        """For each piece the source byte where its span ends: pieces are laid along the normalised text, a byte piece ends with its character."""
+        norm, at = self.normalise(text, prefix)
+        ends, j, left = [], 0, 0
+        for i in ids:
+            if self.kind[i] == BYTE:
+                left = (left or len(norm[j].encode())) - 1
+                j += not left
+            else:
+                j += len(self.texts[i])
+            ends.append(at[j])
+        return ends
 
     # Words
 
@@ -164,25 +181,13 @@ class Codec:
                 parts.append(self.lines[head])
                 if words:
                     parts.append(self.joined(words))
-            ids = np.frombuffer(b"".join(parts), self.dtype)
-            ends = np.cumsum(self.sizes[ids]) - 1  # the first blank has no source
+            pairs = np.frombuffer(b"".join(parts), "<u4").reshape(-1, 2)
+            ids, ends = pairs[:, 0], np.cumsum(pairs[:, 1], dtype=np.int64) - 1  # the first blank has no source
         else:
-            ids, ends = self.encode_whole(text)
+            ids = np.array(found := self.lib.encode(text), "<u4")
+            ends = np.array(self.laid(found, text), np.int64)
         return np.concatenate([[self.bos], ids, [self.eos]]).astype("<u4"), np.concatenate([[0], ends, [len(text.encode())]])
 
-    def encode_whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """As the library encodes the whole text; pieces are laid along the aligned normalised text."""
-        norm, at = self.normalise(text)
-        ids, ends, j, left = self.lib.encode(text), [], 0, 0
-        for i in ids:  # a byte piece ends with its character
-            if self.kind[i] == BYTE:
-                left = (left or len(norm[j].encode())) - 1
-                j += not left
-            else:
-                j += len(self.lib.id_to_piece(i))
-            ends.append(at[j])
-        return np.array(ids, "<u4"), np.array(ends, np.int64)
-
     def decode(self, ids: np.ndarray) -> str:
         """The text of identifiers: control pieces vanish, the added blank goes, broken bytes become replacement characters."""
         sizes = self.sizes[ids]

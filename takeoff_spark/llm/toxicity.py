@@ -15,13 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, hash64, map_rows
+from .common import Memo, hash64, in_slices, map_rows, materialise, parts_of
 
 BUCKETS = 1 << 24
 WIDTHS = (1, 2, 3)
 GAP = max(WIDTHS) - 1
 STRIP = string.punctuation + "¡¿«»“”„’‘…–—"
 FOLDS = 5
+#: Steps of the scores among which thresholds are chosen.
+STEPS = 1000
+#: Positions of a text that are pooled at once.
+CHUNK = 200_000
 
 
 def bucket(word: str) -> int:
@@ -44,11 +48,12 @@ class Model:
 
     def lookup(self) -> Memo:
         if self._memo is None:
-            self._memo = Memo(lambda w: self.rows.get(bucket(w), 0), 700_000)
+            self._memo = Memo(lambda w: self.rows.get(bucket(w), 0), 200_000)
         return self._memo
 
-    def ids(self, text: str) -> list[int]:
-        return list(map(self.lookup().__getitem__, text.lower().split()))
+    def ids(self, text: str) -> np.ndarray:
+        look = self.lookup().__getitem__
+        return np.concatenate([np.fromiter(map(look, part.lower().split()), np.int32) for part in parts_of(text)])
 
     def tables(self) -> list[np.ndarray]:
         """Per offset, each embedding row's part in the responses of the filters that reach so far (widest first)."""
@@ -56,36 +61,36 @@ class Model:
             self._tables = [np.concatenate([self.emb @ f[o] for f in reversed(self.filters) if len(f) > o], axis=1) for o in range(GAP + 1)]
         return self._tables
 
-    def pooled(self, docs: list[list[int]]) -> np.ndarray:
-        """Largest response of each filter in each document (columns widest first)."""
-        starts, n = [], 0
-        for d in docs:
-            starts.append(n)
-            n += len(d) + GAP + 1
+    def pooled(self, docs: list[np.ndarray]) -> np.ndarray:
+        """Largest response of each filter in each document (columns widest first); CHUNK positions at a time."""
+        sizes = np.array([len(d) + GAP + 1 for d in docs])
+        starts = np.cumsum(sizes) - sizes
+        n = int(sizes.sum())
         ids = np.zeros(n + GAP, np.int32)
         for s, d in zip(starts, docs, strict=True):
             ids[s : s + len(d)] = d
         tables = self.tables()
-        act = tables[0][ids[:n]]
-        for o, t in enumerate(tables[1:], 1):
-            act[:, : t.shape[1]] += t[ids[o : o + n]]
-        return np.maximum.reduceat(act, starts, axis=0)
-
-    def scores(self, docs: list[list[int]]) -> np.ndarray:
-        out = np.empty(len(docs))
-        i = 0
-        while i < len(docs):  # some 200,000 words at a time bound the memory
-            j, words = i + 1, len(docs[i])
-            while j < len(docs) and words + len(docs[j]) < 200_000:
-                words += len(docs[j])
-                j += 1
-            width = len(self.bias) // len(WIDTHS)
-            order = np.concatenate([np.arange(k * width, (k + 1) * width) for k in reversed(range(len(WIDTHS)))])
-            hidden = np.maximum(self.pooled(docs[i:j]) + self.bias[order], 0)
-            out[i:j] = 1 / (1 + np.exp(-np.clip(hidden @ self.out[order] + self.out_bias, -30, 30)))
-            i = j
+        out = np.full((len(docs), tables[0].shape[1]), -np.inf, np.float32)
+        for a in range(0, n, CHUNK):
+            b = min(n, a + CHUNK)
+            act = tables[0][ids[a:b]]
+            for o, t in enumerate(tables[1:], 1):
+                act[:, : t.shape[1]] += t[ids[a + o : b + o]]
+            first, last = np.searchsorted(starts, a, "right") - 1, np.searchsorted(starts, b)
+            out[first:last] = np.maximum(out[first:last], np.maximum.reduceat(act, np.maximum(starts[first:last] - a, 0), axis=0))
         return out
 
+    def scores(self, texts: list[str]) -> np.ndarray:
+        if not texts:
+            return np.zeros(0)
+        width = len(self.bias) // len(WIDTHS)
+        order = np.concatenate([np.arange(k * width, (k + 1) * width) for k in reversed(range(len(WIDTHS)))])
+        hidden = np.maximum(self.pooled([self.ids(t) for t in texts]) + self.bias[order], 0)
+        return 1 / (1 + np.exp(-np.clip(hidden @ self.out[order] + self.out_bias, -30, 30).astype(np.float64)))
+
+    def threshold(self, lang: str | None) -> float:
+        return self.thresholds.get(lang or "", self.thresholds.get("", 0.5))
+
     def __getstate__(self):
         return {**self.__dict__, "_tables": None, "_memo": None}
 
@@ -172,44 +177,84 @@ def train(texts: list[str], labels: list[int], dims: int = 8, filters: int = 8,
     return Model(buckets, emb.astype(np.float32), [f.astype(np.float32) for f in w], b.astype(np.float32), v.astype(np.float32), c)
 
 
-def calibrate(scores: np.ndarray, labels: np.ndarray, langs: list[str], least: int = 20) -> dict[str, float]:
-    """Per language the threshold of most right decisions on a fold kept from training; the middle of ties. '' is for all others."""
-    out = {}
-    for lang in {*langs, ""}:
-        pick = np.array([not lang or x == lang for x in langs], bool)
-        s, y = scores[pick], labels[pick]
-        if len(y) < least or y.min(initial=1) == y.max(initial=0):
-            continue
-        cuts = np.unique(np.concatenate([[0.05, 0.5, 0.95], (np.sort(s)[1:] + np.sort(s)[:-1]) / 2]))
-        right = np.array([((s >= t) == (y == 1)).sum() for t in cuts])
-        best = cuts[right == right.max()]
-        out[lang] = float(best[np.argmin(np.abs(best - 0.5))])
-    out.setdefault("", 0.5)
-    return out
+def calibrate(clean: np.ndarray, toxic: np.ndarray) -> float:
+    """The threshold of most right decisions, from the counts of clean and toxic documents by step of the score; the nearest to 0.5 of ties."""
+    below = np.concatenate([[0], np.cumsum(clean)])
+    above = toxic.sum() - np.concatenate([[0], np.cumsum(toxic)])
+    right = (below + above)[1:-1]  # neither all nor none are rejected
+    best = np.flatnonzero(right == right.max()) + 1
+    return float(best[np.argmin(np.abs(best - STEPS / 2))]) / STEPS
 
 
 def fold() -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, clean: int, toxic: int) -> DataFrame:
-    """At most so many labelled documents of each class outside fold 0, those of the smallest id hash: doc_id, toxic, lang, text, kept."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold() != 0)
+def _texts(docs: DataFrame) -> DataFrame:
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), lang.alias("lang"))
+
+
+def known_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic (1 wins where labels of an id differ) outside fold 0, which no part of the fit sees."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
+    return known.where(fold() != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def training_texts(docs: DataFrame, known: DataFrame, clean: int, toxic: int, most_chars: int) -> tuple[list[str], list[int]]:
+    """Whole texts and labels of at most so many documents of each class in folds 2 to 4, of ``most_chars`` characters together.
+
+    Ids of the smallest hashes come first; a text that doesn't fit into what is left of ``most_chars`` is passed
+    over. Of rows that repeat an id the smallest text stands, so the driver gets a bounded number of rows.
+    """
+    known = known.where(fold() > 1)
     pick = lambda x, n: known.where(F.col("toxic") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     ids = pick(0, clean).unionByName(pick(1, toxic))  # at most clean + toxic rows, so it may be broadcast
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").withColumn("kept", fold() == 1)
-
-
-def fit(docs: DataFrame, labels: DataFrame, clean: int = 4400, toxic: int = 2200, train_words: int = 3000) -> Model:
-    """Train on a bounded sample (``clean`` and ``toxic`` documents, ``train_words`` words of each) and calibrate on its fold 1."""
-    words = F.array_join(F.slice(F.split("text", " "), 1, train_words), " ")
-    sample = labelled_sample(docs, labels, clean, toxic).select("doc_id", "toxic", "lang", "kept", words.alias("text")).orderBy("doc_id").toPandas()
-    fitted = sample[~sample.kept.astype(bool)] if len(sample) else sample
-    model = train(fitted.text.tolist(), fitted.toxic.tolist())
-    rest = sample[sample.kept.astype(bool)] if len(sample) else sample
-    if len(rest):
-        model.thresholds = calibrate(model.scores([model.ids(t) for t in rest.text]), rest.toxic.to_numpy(), rest.lang.tolist())
+    sample = materialise(_texts(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "sample")
+    left, some = most_chars, []
+    for doc, n in sample.select("doc_id", F.length("text")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if n <= left:
+            left -= n
+            some.append((doc,))
+    chosen = sample.sparkSession.createDataFrame(some, "doc_id long")
+    rows = sample.join(F.broadcast(chosen), "doc_id").orderBy("doc_id").select("text", "toxic").collect()
+    return [r.text for r in rows], [r.toxic for r in rows]
+
+
+def thresholds(docs: DataFrame, known: DataFrame, model: Model, least: int = 20, languages: int = 1000) -> dict[str, float]:
+    """Per language the threshold of most right decisions over all labelled documents of fold 1, scored whole; '' is for all others.
+
+    Languages with fewer than ``least`` such rows or only one label take the common threshold, as do those after the
+    ``languages`` most frequent. The driver sees counts by language and step of the score only.
+    """
+    ids = known.where(fold() == 1)
+    few = ids.count() <= 1_000_000  # 12 MB at most, a shuffle beyond
+    rows = _texts(docs).join(F.broadcast(ids) if few else ids, "doc_id")
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        return lambda b: {"lang": b.column("lang"), "toxic": b.column("toxic"), "step": np.floor(shipped.value.scores(b.column("text").to_pylist()) * STEPS).astype(np.int32)}
+
+    steps = map_rows(rows.select("text", "lang", "toxic"), make, "lang string, toxic int, step int")
+    counts = materialise(steps.groupBy("lang", "step").agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("toxic")), "counts")
+    some = counts.groupBy("lang").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where(F.expr(f"lang != '' and c > 0 and t > 0 and c + t >= {least}")).orderBy(F.expr("c + t").desc(), "lang").limit(languages)
+    every = counts.groupBy(F.lit("").alias("lang"), "step").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    got = counts.join(F.broadcast(some.select("lang")), "lang").select("lang", "step", "clean", "toxic").union(every).collect()
+    table: dict[str, np.ndarray] = {}
+    for lang, step, c, t in got:
+        table.setdefault(lang, np.zeros((2, STEPS + 1), np.int64))[:, step] = c, t
+    return {lang: calibrate(*x) for lang, x in table.items() if x.any(axis=1).all() and x.sum() >= least}
+
+
+def fit(docs: DataFrame, labels: DataFrame, clean: int = 3300, toxic: int = 1650, most_chars: int = 30_000_000) -> Model:
+    """Train on a bounded sample of whole texts (see ``training_texts``), then choose thresholds on all labelled documents of fold 1.
+
+    Without labelled documents, or with one label only, every score is the same.
+    """
+    known = materialise(known_labels(labels), "known")
+    model = train(*training_texts(docs, known, clean, toxic, most_chars))
+    if model.rows:
+        model.thresholds = thresholds(docs, known, model)
     return model
 
 
@@ -220,23 +265,17 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     rows; a null or unknown language takes the common threshold. No shuffle.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), lang.alias("lang"))
 
     def make():
         m = shipped.value
+        return lambda b: {"doc_id": b.column("doc_id"), "score": m.scores(b.column("text").to_pylist()), "threshold": list(map(m.threshold, b.column("lang").to_pylist()))}
 
-        def batch(b: pa.RecordBatch) -> dict:
-            return {"doc_id": b.column(0), "score": m.scores([m.ids(t) for t in b.column(1).to_pylist()]), "threshold": [m.thresholds.get(x, m.thresholds.get("", 0.5)) for x in b.column(2).to_pylist()]}
-
-        return batch
-
-    out = map_rows(rows, make, "doc_id long, score double, threshold double")
+    out = map_rows(_texts(docs), make, "doc_id long, score double, threshold double")
     return out.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", (F.col("score") >= F.col("threshold")).alias("rejected"))
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that are not rejected, all columns as they came: scored in place, without a join."""
+    """The documents that are not rejected, all columns as they came: scored in place, without a join. Rows with a null doc_id are scored, too."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
@@ -245,7 +284,6 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             texts = [t or "" for t in b.column(names.index("text")).to_pylist()]
             langs = b.column(names.index("lang")).to_pylist() if "lang" in names else [""] * len(texts)
-            keep = [s < m.thresholds.get(x or "", m.thresholds.get("", 0.5)) for s, x in zip(m.scores([m.ids(t) for t in texts]) if texts else [], langs, strict=True)]
-            yield b.filter(pa.array(keep, pa.bool_()))
+            yield b.filter(pa.array(m.scores(texts) < np.array(list(map(m.threshold, langs))), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(in_slices(run), docs.schema)

@@ -69,7 +69,7 @@ def test_lines(spark, edits):
                 seen.append(x)
         want[d] = "\n".join(keep)
     df = spark.createDataFrame([*rows, (70, None, "k"), (None, "abc", "k")], "doc_id long, text string, key string")
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, edits).collect()}
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, edits, repeats=False, reach=None).collect()}
     assert got == {**want, 70: None, None: "abc"}
 
 
