@@ -2,28 +2,33 @@
 
 Text is normalised by longest-prefix matches in the model's compiled character map; an alignment
 records for each normalised character the source byte where it starts. Pieces are laid along the
-normalised text and so projected to byte spans of the original one. That and the piece merging, which is the
-sentencepiece library's, run once for each distinct chunk (a word with its blanks, where words don't
-depend on each other; else the whole text); decoding rebuilds the text from the identifiers.
+normalised text and so projected to byte spans of the original one. The piece merging is the sentencepiece
+library's; very long texts are cut before words that don't depend on what is before them. Decoding rebuilds the text
+from the identifiers. A model whose map is empty, or has no entry that a text's bytes could start, maps every
+character to itself.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
-from array import array
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Memo, clean_text, map_rows, tokenizer_path
+from .common import clean_text, map_rows, tokenizer_path
 
 SPACE = "▁"  # stands for a blank in pieces
 CONTROL, BYTE = 3, 6  # piece types of the model format
+#: Characters that are merged at once, about, where a text can be cut.
+CHUNK = 32_768
+#: A single blank or line end between two words.
+CUT = re.compile(r"(?<=[^ \n])[ \n](?=[^ \n])")
 
 
 def fields(data: bytes):
@@ -59,20 +64,25 @@ class CharMap:
         size = struct.unpack("<I", blob[:4])[0] if blob else 0
         self.units = np.frombuffer(blob[4 : 4 + size], "<u4").tolist() if blob else []
         self.texts = blob[4 + size :] if blob else b""
+        #: Bytes that start an entry.
+        self.firsts = {c for c in range(256) if self.units and (at := self._offset(self.units[0]) ^ c) < len(self.units) and self.units[at] & 0x800000FF == c}
+
+    @staticmethod
+    def _offset(unit: int) -> int:
+        return (unit >> 10) << ((unit & 512) >> 6)
 
     def longest(self, data: bytes, at: int) -> tuple[int, bytes | None]:
         """(source bytes, replacement) of the longest entry that starts at ``at``; (0, None) without one."""
         found, units = (0, None), self.units
         if not units:
             return found
-        offset = lambda u: (u >> 10) << ((u & 512) >> 6)
-        node = offset(units[0])
+        node = self._offset(units[0])
         for i in range(at, len(data)):
             node ^= data[i]
             if node >= len(units) or (units[node] & 0x800000FF) != data[i]:
                 break
             unit = units[node]
-            node ^= offset(unit)
+            node ^= self._offset(unit)
             if unit >> 8 & 1:
                 start = units[node] & 0x7FFFFFFF
                 found = (i + 1 - at, self.texts[start : self.texts.index(b"\0", start)])
@@ -99,94 +109,77 @@ class Codec:
         self.map = CharMap(norm.get(2, b""))
         self.prefix, self.squeeze, self.escape = norm.get(3, 1), norm.get(4, 1), norm.get(5, 1)
         self.bos, self.eos, self.blank = self.lib.bos_id(), self.lib.eos_id(), self.lib.piece_to_id(SPACE)
-        self.texts = texts = [p[1].decode() for p in pieces]
-        self.kind = [p.get(3, 1) for p in pieces]
-        surface = [bytes([int(t[3:-1], 16)]) if k == BYTE else b"" if k == CONTROL else t.replace(SPACE, " ").encode() for t, k in zip(texts, self.kind, strict=True)]
+        texts, kind = [p[1].decode() for p in pieces], [p.get(3, 1) for p in pieces]
+        self.chars = np.array([1 if k == BYTE else len(t) for t, k in zip(texts, kind, strict=True)])  # of the normalised text
+        self.byte = np.array([int(t[3:-1], 16) if k == BYTE else -1 for t, k in zip(texts, kind, strict=True)])
+        surface = [bytes([int(t[3:-1], 16)]) if k == BYTE else b"" if k == CONTROL else t.replace(SPACE, " ").encode() for t, k in zip(texts, kind, strict=True)]
         self.sizes = np.array([len(x) for x in surface], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(surface), np.uint8)
         #: Without an own map, and where no piece holds a line end or goes on into a new word, words don't depend on each other.
         self.by_word = not self.map.units and self.prefix and not self.squeeze and self.escape and not any(SPACE in t.lstrip(SPACE) or "\n" in t for t in texts)
-        self.words = Memo(lambda w: self.chunk(" " + w, self.lib.encode(w) if w else [self.blank]), 200_000)
-        self.lines = Memo(lambda w: self.chunk("\n" + w, self.lib.encode("\n" + w)[1:]), 50_000)
-
-    def chunk(self, source: str, ids: list[int]) -> bytes:
-        """Pairs of identifier and source bytes of the pieces of a chunk inside a text, as unsigned 32-bit integers."""
-        ends = self.laid(ids, source, False)
-        return array("I", chain.from_iterable(zip(ids, map(int.__sub__, ends, [0, *ends]), strict=False))).tobytes()
 
     # Normalisation and alignment
 
-    def normalise(self, text: str, prefix: bool = True) -> tuple[str, list[int]]:
+    def normalise(self, text: str, prefix: bool = True) -> tuple[str, np.ndarray]:
         """Normalised text and, for each of its characters and the end, the source byte where it starts."""
-        data, out, at, i = text.encode(), [], [], 0
-        while i < len(data):
-            n, to = self.map.longest(data, i)
-            if not n:
-                n = 1
-                while i + n < len(data) and data[i + n] & 0xC0 == 0x80:
-                    n += 1
-                to = data[i : i + n]
-            for c in to.decode():
-                out.append(c)
-                at.append(i)
-            i += n
+        data = text.encode()
+        if self.map.firsts.isdisjoint(data):  # no entry can match: every character stands for itself
+            out, at = list(text) if self.squeeze else text, np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+        else:
+            out, places, i = [], [], 0
+            while i < len(data):
+                n, to = self.map.longest(data, i)
+                if not n:
+                    n = 1
+                    while i + n < len(data) and data[i + n] & 0xC0 == 0x80:
+                        n += 1
+                    to = data[i : i + n]
+                out += to.decode()
+                places += [i] * (len(out) - len(places))
+                i += n
+            at = np.array(places, np.int64)
+        end = len(data)
         if self.squeeze:
             keep = [j for j, c in enumerate(out) if c != " " or (j and out[j - 1] != " ")]
             while keep and out[keep[-1]] == " ":
-                keep.pop()
-            out, at = [out[j] for j in keep], [at[j] for j in keep]
-        if out and prefix and self.prefix:
-            out, at = [" ", *out], [at[0], *at]
+                end = at[keep.pop()]
+            out, at = [out[j] for j in keep], at[keep]
         s = "".join(out)
-        return s.replace(" ", SPACE) if self.escape else s, [*at, len(data)]
-
-    def laid(self, ids: list[int], text: str, prefix: bool = True) -> list[int]:
-        """For each piece the source byte where its span ends: pieces are laid along the normalised text, a byte piece ends with its character."""
-        norm, at = self.normalise(text, prefix)
-        ends, j, left = [], 0, 0
-        for i in ids:
-            if self.kind[i] == BYTE:
-                left = (left or len(norm[j].encode())) - 1
-                j += not left
-            else:
-                j += len(self.texts[i])
-            ends.append(at[j])
-        return ends
-
-    # Words
-
-    def joined(self, words: list[str]) -> bytes:
-        """Identifiers of words that each follow a blank; an empty one adds its blank to the next, or ends the line."""
-        if "" in words:
-            merged, blanks = [], 0
-            for k, w in enumerate(words):
-                if w or k == len(words) - 1:
-                    merged.append(" " * blanks + w)
-                    blanks = 0
-                else:
-                    blanks += 1
-            words = merged
-        return b"".join(map(self.words.__getitem__, words))
+        if s and prefix and self.prefix:
+            s, at = " " + s, np.concatenate([at[:1], at])
+        return s.replace(" ", SPACE) if self.escape else s, np.append(at, end)
+
+    def laid(self, ids: np.ndarray, text: str, prefix: bool = True) -> np.ndarray:
+        """For each piece the source byte where its span ends: pieces are laid along the normalised text, byte pieces end with the last of their character."""
+        _, at = self.normalise(text, prefix)
+        byte, size = self.byte[ids], self.chars[ids]
+        goes_on = np.zeros(len(ids), bool)
+        goes_on[:-1] = (byte[:-1] >= 0) & (byte[1:] & 0xC0 == 0x80) & (byte[1:] >= 0)
+        return at[np.cumsum(np.where(goes_on, 0, size))]
+
+    def chunks(self, text: str) -> Iterator[str]:
+        """The text, cut before words where that makes no difference."""
+        at = 0
+        while self.by_word and len(text) - at > CHUNK and (m := CUT.search(text, at + CHUNK)) and SPACE not in text:
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:] if at else text
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Identifiers with begin and end, and for each the source byte where its span ends."""
-        if not text:
-            ids, ends = np.zeros(0, "<u4"), np.zeros(0, np.int64)
-        elif self.by_word and SPACE not in text:
-            first, *rest = text.split("\n")
-            parts = [self.joined(first.split(" "))]
-            for line in rest:
-                head, *words = line.split(" ")
-                parts.append(self.lines[head])
-                if words:
-                    parts.append(self.joined(words))
-            pairs = np.frombuffer(b"".join(parts), "<u4").reshape(-1, 2)
-            ids, ends = pairs[:, 0], np.cumsum(pairs[:, 1], dtype=np.int64) - 1  # the first blank has no source
-        else:
-            ids = np.array(found := self.lib.encode(text), "<u4")
-            ends = np.array(self.laid(found, text), np.int64)
-        return np.concatenate([[self.bos], ids, [self.eos]]).astype("<u4"), np.concatenate([[0], ends, [len(text.encode())]])
+        ids, ends, before = [np.array([self.bos])], [np.array([0])], 0
+        for k, chunk in enumerate(self.chunks(text)):
+            if not k:
+                found = self.lib.encode(chunk)
+            elif chunk[0] == "\n":
+                found = self.lib.encode(chunk)[1:]  # without the blank that the library puts first
+            else:
+                found = self.lib.encode(chunk[1:])  # the blank that it puts first is the chunk's own
+            ids.append(np.array(found, np.int64))
+            ends.append(self.laid(ids[-1], chunk, not k) + before)
+            before += len(chunk.encode())
+        return np.concatenate([*ids, [self.eos]]).astype("<u4"), np.concatenate([*ends, [before]])
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of identifiers: control pieces vanish, the added blank goes, broken bytes become replacement characters."""
