@@ -78,7 +78,7 @@ def clean_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 #: Bytes of text that a task turns into Python objects at once, about.
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 
 def slices(batch: pa.RecordBatch, most: int = SLICE) -> Iterator[pa.RecordBatch]:
@@ -105,6 +105,7 @@ def in_slices(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
         finally:
             for memo in list(_memos):
                 memo.clear()
+            pa.default_memory_pool().release_unused()
 
     return run
 

@@ -38,7 +38,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_words = Memo(hash64, 200_000)
+_words = Memo(hash64, 100_000)
 
 
 def shingles(text: str, width: int) -> np.ndarray:

@@ -25,7 +25,7 @@ FOLDS = 5
 #: Steps of the scores among which thresholds are chosen.
 STEPS = 1000
 #: Positions of a text that are pooled at once.
-CHUNK = 200_000
+CHUNK = 50_000
 
 
 def bucket(word: str) -> int:
@@ -34,7 +34,7 @@ def bucket(word: str) -> int:
 
 @dataclass
 class Model:
-    """Embeddings of the hash buckets seen in training (row 0: all others), filters, output layer."""
+    """Embeddings of the hash buckets that two training documents have (row 0: all others), filters, output layer."""
 
     rows: dict[int, int]
     emb: np.ndarray
@@ -48,7 +48,7 @@ class Model:
 
     def lookup(self) -> Memo:
         if self._memo is None:
-            self._memo = Memo(lambda w: self.rows.get(bucket(w), 0), 200_000)
+            self._memo = Memo(lambda w: self.rows.get(bucket(w), 0), 100_000)
         return self._memo
 
     def ids(self, text: str) -> np.ndarray:
@@ -107,10 +107,11 @@ def train(texts: list[str], labels: list[int], dims: int = 8, filters: int = 8,
     if not len(y) or y.min() == y.max():
         return constant(float(y.mean()) if len(y) else 0.0)
     rng = np.random.default_rng(seed)
-    buckets: dict[int, int] = {}
-    docs = []
-    for t in texts:
-        docs.append(np.array([buckets.setdefault(bucket(w), len(buckets) + 1) for w in t.lower().split()], np.int64))
+    words = [np.array([bucket(w) for w in t.lower().split()], np.int64) for t in texts]
+    # buckets of one document only tell nothing about others: they share row 0
+    seen, count = np.unique(np.concatenate([np.unique(d) for d in words]), return_counts=True)
+    buckets = {b: i for i, b in enumerate(seen[count > 1].tolist(), 1)}
+    docs = [np.array([buckets.get(b, 0) for b in d.tolist()], np.int64) for d in words]
     n = len(buckets) + 1
     with_pos, with_any = np.zeros(n), np.zeros(n)
     for d, label in zip(docs, y, strict=True):
@@ -253,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, clean: int = 3300, toxic: int = 1650
     """
     known = materialise(known_labels(labels), "known")
     model = train(*training_texts(docs, known, clean, toxic, most_chars))
-    if model.rows:
+    if len(model.emb) > 1:
         model.thresholds = thresholds(docs, known, model)
     return model
 
