@@ -45,4 +45,4 @@ def is_opening(name: Column) -> Column:
 def is_countable(name: Column, layer: Column) -> Column:
     """Whether a block is an item: not anonymous, bound, on a utility layer, an annotation or a reference."""
     n = F.coalesce(name, F.lit(""))
-    return ~(n.startswith("*") | n.contains("$") | F.upper(layer).isin(*UTILITY_LAYERS) | n.rlike(f"(?i){ANNOTATION_PATTERN}") | n.rlike(f"(?i){XREF_PATTERN}") | F.upper(n).isin(*ANNOTATION_NAMES))
+    return ~(n.startswith("*") | n.contains("$") | F.upper(F.coalesce(layer, F.lit(""))).isin(*UTILITY_LAYERS) | n.rlike(f"(?i){ANNOTATION_PATTERN}") | n.rlike(f"(?i){XREF_PATTERN}") | F.upper(n).isin(*ANNOTATION_NAMES))

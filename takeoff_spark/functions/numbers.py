@@ -48,7 +48,7 @@ def normalize_unit(description: Column, unit: Column) -> Column:
 def count_quantity(unit: Column, q: Column) -> Column:
     """A count must be whole: nearly whole ones are rounded, others become 0. Other units stay."""
     near = F.abs(q - F.rint(q))
-    return F.when((unit != "un") | (near == 0), q).when(near < 0.01, F.rint(q)).otherwise(0.0)
+    return F.when((F.coalesce(unit, F.lit("")) != "un") | (near == 0), q).when(near < 0.01, F.rint(q)).otherwise(0.0)
 
 
 def implausible(unit: Column, q: Column, discipline: Column, area: Column) -> Column:

@@ -10,13 +10,21 @@ FENCE = "```"
 
 
 def json_block(text: Column) -> Column:
-    """First fenced block (marked as JSON or not), else the widest object, else the widest array, else the text."""
+    """The JSON of an answer: the last fence marked as JSON, else the last fence; unless that is an object, the last object that
+    names items or project_data (one object inside another is seen); else the fence as it is, else the text."""
     t = F.coalesce(text, F.lit(""))
-    fenced = F.regexp_extract(t, "(?s)```(?:json)?\\s*(.*?)\\s*```", 1)
-    whole = F.regexp_extract(t, "(?s)(\\{.*\\})", 1)
-    array = F.regexp_extract(t, "(?s)(\\[.*\\])", 1)
-    pick = lambda c: F.nullif(F.trim(c), F.lit(""))
-    return F.coalesce(pick(fenced), pick(whole), pick(array), F.trim(t))
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    marked = bare(F.substring_index(F.substring_index(t, FENCE + "json", -1), FENCE, 1))
+    parts = F.split(t, FENCE)
+    fenced = F.nullif(F.when(t.contains(FENCE + "json"), marked).when(F.size(parts) >= 3, bare(F.get(parts, F.size(parts) - 2))), F.lit(""))
+    objects = F.filter(F.regexp_extract_all(t, F.lit(r"(\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\})"), F.lit(1)), lambda x: x.contains('"items"') | x.contains('"project_data"'))
+    last = F.get(F.reverse(objects), F.lit(0))
+    return F.when(F.coalesce(fenced.startswith("{"), F.lit(False)), fenced).otherwise(F.coalesce(last, fenced, bare(t)))
+
+
+def json_array(text: Column) -> Column:
+    """The widest array of a text; null without one."""
+    return F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)(\[.*\])", 1), F.lit(""))
 
 
 def items(block: Column) -> Column:
@@ -27,3 +35,9 @@ def items(block: Column) -> Column:
 def classification(block: Column) -> Column:
     c = F.from_json(block, CLASSIFICATION)
     return F.struct(c["familia_code"].alias("familia_code"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c["confidence"], F.lit(0.0)))).alias("confidence"), c["attributes"].alias("attributes"), F.substring(c["reasoning"], 1, 200).alias("reasoning"))
+
+
+def classifications(array: Column) -> Column:
+    """Code, family and confidence (0 to 1) of each entry of an array of classified codes; null for broken JSON."""
+    entries = F.from_json(array, "array<struct<codigo:string,familia_code:string,confidence:double>>")
+    return F.transform(entries, lambda x: F.struct(F.trim(F.coalesce(x["codigo"], F.lit(""))).alias("codigo"), x["familia_code"].alias("familia_code"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(x["confidence"], F.lit(0.0)))).alias("confidence")))

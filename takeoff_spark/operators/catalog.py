@@ -8,45 +8,42 @@ from pyspark.sql.window import Window
 
 from ..functions.text import fold_accents, search_keywords
 
-#: A catalog is broadcast up to so many rows (counted), joined by a shuffle beyond.
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def denormalize_catalog(familia: DataFrame, grupo: DataFrame, capitulo: DataFrame) -> DataFrame:
     """One row per familia with its grupo and capitulo (left joins)."""
     g = grupo.select(F.col("id").alias("grupo_id"), F.col("code").alias("grupo_code"), F.col("name").alias("grupo_name"), "capitulo_id")
     c = capitulo.select(F.col("id").alias("capitulo_id"), F.col("code").alias("capitulo_code"), F.col("name").alias("capitulo_name"))
-    return familia.select(F.col("id").alias("familia_id"), F.col("code").alias("familia_code"), F.col("name").alias("familia_name"), "typical_unit", "keywords", "grupo_id").join(small(g), "grupo_id", "left").join(small(c), "capitulo_id", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+    return familia.select(F.col("id").alias("familia_id"), F.col("code").alias("familia_code"), F.col("name").alias("familia_name"), "typical_unit", "keywords", "grupo_id").join(g, "grupo_id", "left").join(c, "capitulo_id", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
 
 
 def resolve_classification(items: DataFrame, catalog: DataFrame) -> DataFrame:
     """Adds the ids of the three levels to rows with a familia_code; unknown codes keep null ids."""
-    return items.join(small(catalog.select("familia_code", "familia_id", "grupo_id", "capitulo_id")), "familia_code", "left")
+    return items.join(catalog.select("familia_code", "familia_id", "grupo_id", "capitulo_id"), "familia_code", "left")
 
 
 def ancestors(items: DataFrame, catalog: DataFrame) -> DataFrame:
     """Adds grupo_id and capitulo_id to rows with a familia_id; unknown ids keep null parents."""
-    return items.join(small(catalog.select("familia_id", "grupo_id", "capitulo_id")), "familia_id", "left")
+    return items.join(catalog.select("familia_id", "grupo_id", "capitulo_id"), "familia_id", "left")
 
 
 def suggest_codes(items: DataFrame, catalog: DataFrame, top_k: int = 1, per_keyword: int = 20) -> DataFrame:
     """The top_k catalog rows for each distinct (description, unit): rows whose text contains its search words.
 
     Each word takes its first ``per_keyword`` rows by codigo; a hit counts 1, and 0.5 more if the row's unit
-    contains the item's; ties go to the shorter text, then codigo. Words are matched against the distinct
-    tokens of the catalog, so no product of items and catalog rows arises.
+    contains the item's; ties go to the shorter text, then codigo. Distinct tokens of the catalog give their distinct
+    substrings, which meet the words in an equi-join: no product of words and tokens arises. A frequent word's rows
+    are cut to ``per_keyword`` by salt before they meet in one task.
     """
     wanted = items.select("description", "unit").distinct().select("description", "unit", F.explode(search_keywords(F.col("description"))).alias("word"))
     rows = catalog.select("codigo", "descricao", "unidade")
     tokens = rows.select("codigo", "descricao", "unidade", F.explode(F.array_distinct(F.split(F.lower("descricao"), "[^\\p{L}\\p{N}]+"))).alias("token"))
     words, known = wanted.select("word").distinct(), tokens.select("token").distinct()
-    pairs = known.join(small(words), F.contains(F.col("token"), F.col("word")))
-    hits = pairs.join(tokens, "token").select("word", "codigo", "descricao", "unidade").distinct()
-    first = hits.withColumn("r", F.row_number().over(Window.partitionBy("word").orderBy("codigo"))).where(F.col("r") <= per_keyword).drop("r")
+    n = F.length("token")
+    starts = F.sequence(F.lit(1), n)
+    inside = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(F.col("token"), i, k)))))
+    pairs = known.where(n > 0).select("token", F.explode(inside).alias("word")).join(words, "word")
+    hits = pairs.join(tokens, "token").select("word", "codigo", "descricao", "unidade").distinct().withColumn("salt", F.pmod(F.xxhash64("codigo", "descricao"), F.lit(32)))
+    least = lambda keys: F.row_number().over(Window.partitionBy(*keys).orderBy("codigo", "descricao", "unidade"))
+    first = hits.withColumn("r", least(["word", "salt"])).where(F.col("r") <= per_keyword).withColumn("r", least(["word"])).where(F.col("r") <= per_keyword).drop("r", "salt")
     scored = wanted.join(first, "word").groupBy("description", "unit", "codigo", "descricao").agg(F.sum(1 + F.when(F.contains(F.lower("unidade"), F.lower("unit")) & (F.col("unit") != ""), 0.5).otherwise(0.0)).alias("score"))
     w = Window.partitionBy("description", "unit").orderBy(F.desc("score"), F.length("descricao"), "codigo")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
@@ -79,7 +76,7 @@ def classify_items(items: DataFrame, catalog: DataFrame) -> DataFrame:
     keys = items.select("description", "unit").distinct().where(F.length(F.trim("description")) >= 3)
     keys = keys.withColumn("tokens", tokens(F.col("description"))).withColumn("n", F.size("tokens"))
     known = catalog.select("familia_code", "typical_unit", F.explode(F.array_distinct(F.concat(tokens(F.array_join("keywords", " ")), tokens(F.col("familia_name"))))).alias("token"))
-    hits = keys.select("description", "unit", "n", F.explode("tokens").alias("token")).join(small(known), "token").groupBy("description", "unit", "n", "familia_code", "typical_unit").agg(F.count("*").alias("hits"))
+    hits = keys.select("description", "unit", "n", F.explode("tokens").alias("token")).join(known, "token").groupBy("description", "unit", "n", "familia_code", "typical_unit").agg(F.count("*").alias("hits"))
     best = hits.groupBy("description", "unit").agg(F.max_by(F.struct("familia_code", "hits", "n", "typical_unit"), F.struct("hits", (-F.regexp_extract("familia_code", "([0-9]+)$", 1).try_cast("bigint")).alias("o"))).alias("b"))
     conf = F.round(F.col("b.hits") / F.col("b.n"), 4) * F.when(F.col("unit") == F.col("b.typical_unit"), 1.0).otherwise(0.5)
     found = best.select("description", "unit", F.col("b.familia_code").alias("familia_code"), conf.alias("confidence_score"))

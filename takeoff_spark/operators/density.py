@@ -13,7 +13,6 @@ from pyspark.sql.window import Window
 from ..functions.numbers import density_ratio, rounded
 from ..functions.text import item_type_key
 from ..rules import BDI, CONTINGENCY
-from .catalog import small
 
 LEVELS = ("familia", "grupo", "capitulo")
 
@@ -26,7 +25,7 @@ def raw_densities(item_areas: DataFrame) -> DataFrame:
 
 def benchmarks(raw: DataFrame, catalog: DataFrame, levels: tuple = LEVELS) -> DataFrame:
     """Per typology, level, id and unit over projects: mean, deviation, least, most and number of the projects' summed densities."""
-    rows = raw.where("familia_id is not null and density > 0").join(small(catalog.select("familia_id", "grupo_id", "capitulo_id")), "familia_id", "left")
+    rows = raw.where("familia_id is not null and density > 0").join(catalog.select("familia_id", "grupo_id", "capitulo_id"), "familia_id", "left")
     ids = F.explode(F.array(*[F.struct(F.lit(x).alias("level"), F.col(f"{x}_id").alias("level_id")) for x in levels]))
     sums = rows.select("typology", F.trim("unit").alias("unit"), F.coalesce("project_label", F.lit("")).alias("project"), "density", ids.alias("k")).where("k.level_id is not null").groupBy("typology", "k.level", "k.level_id", "unit", "project").agg(F.sum("density").alias("d"))
     stats = sums.groupBy("typology", "level", "level_id", "unit").agg(rounded(F.avg("d"), 6).alias("mean"), rounded(F.coalesce(F.stddev_samp("d"), F.lit(0.0)), 6).alias("stddev"), rounded(F.min("d"), 6).alias("min_value"), rounded(F.max("d"), 6).alias("max_value"), F.count("*").alias("n_projects"))
@@ -37,13 +36,13 @@ def density_alerts(items: DataFrame, bench: DataFrame, catalog: DataFrame, least
     """Adds level, mean, density and alert (high, low or null) from the most specific benchmark with enough projects.
 
     items: typology, familia_id, unit, quantity, ref_area. One join on exploded levels would multiply the items;
-    three joins with the small benchmark table don't.
+    three joins with the benchmark table don't; Spark broadcasts it where its measured size allows.
     """
-    rows = items.join(small(catalog.select("familia_id", "grupo_id", "capitulo_id")), "familia_id", "left").withColumn("u", F.trim("unit"))
+    rows = items.join(catalog.select("familia_id", "grupo_id", "capitulo_id"), "familia_id", "left").withColumn("u", F.trim("unit"))
     good = bench.where(F.col("n_projects") >= least_projects)
     for level in LEVELS:
         side = good.where(F.col("level") == level).select("typology", F.col("unit").alias("u"), F.col("level_id").alias(f"{level}_id"), F.struct("level", "mean", "stddev", "max_value", "n_projects").alias(f"b_{level}"))
-        rows = rows.join(small(side), ["typology", "u", f"{level}_id"], "left")
+        rows = rows.join(side, ["typology", "u", f"{level}_id"], "left")
     rows = rows.withColumn("b", F.coalesce(*[F.col(f"b_{x}") for x in LEVELS]))
     density = F.when((F.col("ref_area") > 0) & (F.col("quantity") > 0), F.col("quantity") / F.col("ref_area"))
     mean, sd, top = F.col("b.mean"), F.col("b.stddev"), F.col("b.max_value")
@@ -55,7 +54,7 @@ def density_alerts(items: DataFrame, bench: DataFrame, catalog: DataFrame, least
 
 def _last(rows: DataFrame, key: str, prefix: str) -> DataFrame:
     """The last row by order of each key."""
-    return rows.groupBy("job_id", key).agg(F.max_by(F.struct("quantity", "unit", "discipline", "seq"), "seq").alias(prefix))
+    return rows.groupBy("job_id", key).agg(F.max_by(F.struct("item_num", "quantity", "unit", "discipline", "seq"), "seq").alias(prefix))
 
 
 def compare_budgets(original: DataFrame, revised: DataFrame) -> DataFrame:
@@ -75,10 +74,13 @@ def calibration(matched: DataFrame) -> DataFrame:
 
 
 def _fuzzy(original: pd.DataFrame, revised: pd.DataFrame) -> pd.DataFrame:
-    """One project: rows left over, in order, take the best revised row whose number isn't taken yet."""
-    out, taken = [], set(original.loc[original.stage.notna(), "item_num"])
-    pool = [(r.item_num, r.description.lower(), r.quantity, r.unit, r.discipline) for r in revised.sort_values("seq").itertuples()]
-    for o in original[original.stage.isna()].sort_values("seq").itertuples():
+    """One project: rows in order; a matched row takes its revised row's number, a row left over the best one whose number isn't taken yet."""
+    out, taken = [], set()
+    pool = [(r.item_num, (r.description or "").lower(), r.quantity) for r in revised.sort_values("seq").itertuples()]
+    for o in original.sort_values("seq").itertuples():
+        if o.matched:
+            taken.add(o.matched_num)
+            continue
         a, best, ratio = (o.description or "").lower(), None, 0.7
         matcher = difflib.SequenceMatcher(None, "", "")
         matcher.set_seq1(a)
@@ -97,8 +99,8 @@ def _fuzzy(original: pd.DataFrame, revised: pd.DataFrame) -> pd.DataFrame:
 def fuzzy_match(original: DataFrame, revised: DataFrame) -> DataFrame:
     """Third stage, per project: leftovers by text similarity above 0.7, each revised number once. Order matters, so a project is one group."""
     matched = compare_budgets(original, revised)
-    left = matched.select("job_id", "seq", "item_num", "description", F.col("stage").cast("double").alias("stage"))
-    right = revised.select("job_id", "seq", "item_num", "description", "quantity", "unit", "discipline")
+    left = matched.select("job_id", "seq", "description", F.col("stage").isNotNull().alias("matched"), F.col("m.item_num").alias("matched_num"))
+    right = revised.select("job_id", "seq", "item_num", "description", "quantity")
     return left.groupBy("job_id").cogroup(right.groupBy("job_id")).applyInPandas(_fuzzy, "job_id long, seq long, revised_num string, revised_quantity double, ratio double")
 
 

@@ -70,32 +70,41 @@ def distinct_layers(entities: DataFrame) -> DataFrame:
     return entities.select("file_id", layer_base_name(F.col("layer")).alias("layer")).where("layer is not null").distinct()
 
 
-def categorize(entities: DataFrame) -> DataFrame:
-    """One row per entity and category of its layer; blocks take the categories of their name that the layer lacks.
+def categories_of(layer, name):
+    """Categories of the layer, then those of the name that the layer lacks; a null counts as an empty name."""
+    own, more = classify.categories(layer), classify.categories(name)
+    return F.array_union(own, F.array_except(more, own))
 
-    Categories are computed on distinct layers and names, then joined back.
-    """
-    layers = entities.select("layer").distinct().withColumn("c", classify.categories(F.col("layer")))
-    names = entities.select("name").distinct().withColumn("cn", classify.categories(F.col("name")))
-    both = entities.join(F.broadcast(layers) if layers.limit(100_001).count() <= 100_000 else layers, "layer").join(F.broadcast(names) if names.limit(100_001).count() <= 100_000 else names, "name")
-    return both.select(*entities.columns, F.explode(F.array_union("c", F.array_except("cn", "c"))).alias("category"))
+
+def categorize(entities: DataFrame) -> DataFrame:
+    """One row per entity and category of its layer or name."""
+    return entities.select(*entities.columns, F.explode(categories_of(F.col("layer"), F.col("name"))).alias("category"))
 
 
 def uncategorized(blocks: DataFrame) -> DataFrame:
     """Countable blocks in no category by layer or name."""
     rows = blocks.where(classify.is_countable(F.col("name"), F.col("layer")))
-    return rows.where((F.size(classify.categories(F.col("name"))) == 0) & (F.size(classify.categories(F.col("layer"))) == 0))
+    return rows.where(F.size(categories_of(F.col("layer"), F.col("name"))) == 0)
+
 
+def takeoff_items(blocks: DataFrame, lines: DataFrame, files: DataFrame, areas: DataFrame | None = None, dims: DataFrame | None = None) -> DataFrame:
+    """Budget rows of a file: blocks (un) by the categories of their name and first layer, lengths (m) and areas (m²) by
+    category of the layer, dimensions with quantity 0, blocks of no category to verify.
 
-def takeoff_items(blocks: DataFrame, lines: DataFrame, files: DataFrame) -> DataFrame:
-    """Budget rows of a file: blocks by category (un), lengths by category (m), the rest to verify."""
+    areas: file_id, layer, area in square metres; dims: file_id, label, metres.
+    """
     ok = blocks.where(classify.is_countable(F.col("name"), F.col("layer")))
-    counted = categorize(ok).groupBy("file_id", "category", "name").agg(F.count("*").cast("double").alias("quantity")).withColumn("unit", F.lit("un")).withColumnRenamed("name", "description")
-    lengths = line_lengths(lines, files).select("file_id", "layer", "length", F.explode(classify.categories(F.col("layer"))).alias("category"))
-    summed = lengths.groupBy("file_id", "category").agg(rounded(F.sum("length"), 2).alias("quantity")).select("file_id", "category", F.concat(F.lit("Comprimento "), "category").alias("description"), "quantity", F.lit("m").alias("unit"))
-    rest = uncategorized(blocks).groupBy("file_id", F.col("name").alias("description")).agg(F.count("*").cast("double").alias("quantity")).withColumns({"unit": F.lit("un"), "category": F.lit(None).cast("string")})
-    out = counted.unionByName(summed).unionByName(rest)
-    return out.withColumns({"discipline": F.when(F.col("category").isNotNull(), classify.category_discipline(F.col("category"))), "confidence": F.when(F.col("category").isNull(), "verificar").otherwise("confirmado")})
+    named = ok.groupBy("file_id", "name").agg(F.count("*").cast("double").alias("quantity"), F.min_by("layer", "seq").alias("layer"))
+    counted = named.select("file_id", F.explode_outer(categories_of(F.col("layer"), F.col("name"))).alias("category"), F.col("name").alias("description"), "quantity", F.lit("un").alias("unit"))
+    by_category = lambda rows, value, word, unit: rows.select("file_id", value, F.explode(classify.categories(F.col("layer"))).alias("category")).groupBy("file_id", "category").agg(rounded(F.sum(value), 2).alias("quantity")).select("file_id", "category", F.concat(F.lit(word + " "), "category").alias("description"), "quantity", F.lit(unit).alias("unit"))
+    out = counted.unionByName(by_category(line_lengths(lines, files), "length", "Comprimento", "m"))
+    if areas is not None:
+        out = out.unionByName(by_category(areas.where("area > 0"), "area", "Área", "m²"))
+    out = out.withColumn("confidence", F.when(F.col("category").isNull(), "verificar").otherwise("confirmado"))
+    if dims is not None:
+        text = F.concat(F.lit("Cota: "), "label", F.when(F.col("metres").isNotNull(), F.concat(F.lit(" = "), F.format_string("%.3f", "metres"), F.lit(" m"))).otherwise(""))
+        out = out.unionByName(dims.select("file_id", F.lit(None).cast("string").alias("category"), text.alias("description"), F.lit(0.0).alias("quantity"), F.lit("un").alias("unit"), F.lit("verificar").alias("confidence")))
+    return out.withColumn("discipline", F.when(F.col("category").isNotNull(), classify.category_discipline(F.col("category"))))
 
 
 def prefer_new_phase(layers: DataFrame) -> DataFrame:

@@ -112,8 +112,8 @@ scalar("p09_month_from_filename", "sheets", lambda: {"month": text.month_from_fi
 scalar("p12_parse_decimal", "budget_items", lambda: {"v": numbers.parse_decimal(F.concat(F.lit("R$ "), F.format_string("%.2f", "quantity"))), "w": numbers.parse_decimal(F.lit("1.234,56"))}, {"v": "round(quantity, 2)", "w": "CAST(0 AS DOUBLE)"})
 scalar("p13_clean_quantity", "budget_items", lambda: {"v": numbers.clean_quantity(F.concat(F.format_string("%.2f", "quantity"), F.lit(" m²"))), "w": numbers.clean_quantity(F.lit("1,5"))}, {"v": "round(quantity, 2)", "w": "CAST(15 AS DOUBLE)"})
 scalar("p14_clean_count", "budget_items", lambda: {"v": numbers.clean_count(F.concat(F.format_string("%.2f", "quantity"), F.lit(" un")))}, {"v": "CAST(trunc(round(quantity, 2)) AS INTEGER)"})
-scalar("p15_normalize_unit", "budget_items", lambda: {"new_unit": numbers.normalize_unit(F.col("description"), F.col("unit")), "corrected": numbers.normalize_unit(F.col("description"), F.col("unit")) != F.col("unit")}, {"new_unit": unit_sql("description", "unit"), "corrected": f"({unit_sql('description', 'unit')}) <> unit"})
-scalar("p16_validate_count_qty", "budget_items", lambda: {"q": numbers.count_quantity(F.col("unit"), F.col("quantity"))}, {"q": "CASE WHEN unit <> 'un' OR quantity = round(quantity) THEN quantity WHEN abs(quantity - round(quantity)) < 0.01 THEN round(quantity) ELSE 0.0 END"})
+scalar("p15_normalize_unit", "budget_items", lambda: {"new_unit": numbers.normalize_unit(F.col("description"), F.col("unit")), "corrected": ~numbers.normalize_unit(F.col("description"), F.nullif("unit", F.lit("vb"))).eqNullSafe(F.nullif("unit", F.lit("vb")))}, {"new_unit": unit_sql("description", "unit"), "corrected": f"({unit_sql('description', "nullif(unit, 'vb')")}) IS DISTINCT FROM nullif(unit, 'vb')"})
+scalar("p16_validate_count_qty", "budget_items", lambda: {"q": numbers.count_quantity(F.nullif("unit", F.lit("vb")), F.col("quantity"))}, {"q": "CASE WHEN coalesce(nullif(unit, 'vb'), '') <> 'un' OR quantity = round(quantity) THEN quantity WHEN abs(quantity - round(quantity)) < 0.01 THEN round(quantity) ELSE 0.0 END"})
 scalar("p17_check_plausibility", "item_areas", lambda: {"reason": numbers.implausible(F.col("unit"), F.col("quantity"), F.col("discipline"), F.col("total_area"))}, {"reason": implausible_sql("total_area")})
 scalar("p18_pick_best_unit", "budget_items", lambda: {"best": numbers.best_unit(F.array(F.col("unit"), F.lit("m²"), F.lit("ml")), F.col("description"))}, {"best": f"CASE WHEN ({unit_sql('description', 'unit')}) <> unit THEN {unit_sql('description', 'unit')} WHEN unit = 'un' THEN 'un' ELSE 'ml' END"})
 scalar("p20_clamp_confidence", "budget_items", lambda: {"c": numbers.clamp_confidence(F.when(F.col("seq") % 7 != 0, (F.col("quantity") - 10) / 20))}, {"c": "greatest(0.0, least(1.0, coalesce(CASE WHEN seq % 7 <> 0 THEN (quantity - 10) / 20 END, 0.0)))"})
@@ -215,18 +215,27 @@ def responses(s: SparkSession, d: str) -> DataFrame:
 OBJECT = """concat('{"items":[{"description":"Porta ', doc_id, '","unit":"un","quantity":', doc_id % 9, '},{"description":"Piso","unit":"m²","quantity":2.5}]}')"""
 
 
-@query("p38_extract_json_block", "", f"""SELECT doc_id % 50 AS job_id, doc_id AS sheet_seq, CASE WHEN doc_id % 5 < 3 THEN {OBJECT} WHEN doc_id % 5 = 3 THEN concat('{{"description":"Porta ', doc_id, '","unit":"un","quantity":', doc_id % 9, '}},{{"description":"Piso","unit":"m²","quantity":2.5}}') ELSE '{{"items":[{{"desc' END AS block FROM documents""")
+@query("p38_extract_json_block", "", f"""SELECT doc_id % 50 AS job_id, doc_id AS sheet_seq, CASE WHEN doc_id % 5 < 3 THEN {OBJECT} WHEN doc_id % 5 = 3 THEN concat('[{{"description":"Porta ', doc_id, '","unit":"un","quantity":', doc_id % 9, '}},{{"description":"Piso","unit":"m²","quantity":2.5}}]') ELSE '{{"items":[{{"desc' END AS block FROM documents""")
 def p38(s, d):
     return responses(s, d).select("job_id", "sheet_seq", payload.json_block(F.col("text")).alias("block"))
 
 
 @query("p39_parse_items_json", "", """SELECT doc_id % 50 AS job_id, doc_id AS sheet_seq, k.description AS description, k.quantity AS quantity, k.description IS NULL AS broken FROM documents LEFT JOIN LATERAL (
-    SELECT concat('Porta ', doc_id) AS description, CAST(doc_id % 9 AS DOUBLE) AS quantity UNION ALL SELECT 'Piso', 2.5) k ON doc_id % 5 < 3""")
+    SELECT concat('Porta ', doc_id) AS description, CAST(doc_id % 9 AS DOUBLE) AS quantity UNION ALL SELECT 'Piso', 2.5) k ON doc_id % 5 < 4""")
 def p39(s, d):
     rows = responses(s, d).withColumn("items", payload.items(payload.json_block(F.col("text"))))
     return rows.select("job_id", "sheet_seq", F.explode_outer("items").alias("x")).select("job_id", "sheet_seq", "x.description", "x.quantity", F.col("x.description").isNull().alias("broken"))
 
 
+@query("p40_parse_classification_array", "", """SELECT doc_id, k.codigo AS codigo, k.familia_code AS familia_code, k.confidence AS confidence FROM documents LEFT JOIN LATERAL (
+    SELECT concat('c', doc_id) AS codigo, concat('fam_', doc_id % 10) AS familia_code, least(1.0, (doc_id % 15) / 10) AS confidence UNION ALL SELECT 'd', NULL, 0.0) k ON doc_id % 3 <> 0""")
+def p40_array(s, d):
+    entry = F.concat(F.lit('[{"codigo":" c'), F.col("doc_id"), F.lit('","familia_code":"fam_'), F.col("doc_id") % 10, F.lit('","confidence":'), (F.col("doc_id") % 15) / 10, F.lit('},{"codigo":"d"}]'))
+    t = F.when(F.col("doc_id") % 3 == 0, F.lit("nada")).otherwise(F.concat(F.lit("segue: "), entry, F.lit(" fim")))
+    rows = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode_outer(payload.classifications(payload.json_array(t))).alias("x"))
+    return rows.select("doc_id", "x.codigo", "x.familia_code", "x.confidence")
+
+
 @query("p40_parse_classification_json", "", "SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN concat('fam_', doc_id % 10) END AS familia_code, CASE WHEN doc_id % 4 = 0 THEN 0.0 ELSE least(1.0, (doc_id % 15) / 10) END AS confidence FROM documents")
 def p40(s, d):
     t = F.when(F.col("doc_id") % 4 == 0, F.lit("nada")).otherwise(F.concat(F.lit('```json\n{"familia_code":"fam_'), F.col("doc_id") % 10, F.lit('","confidence":'), (F.col("doc_id") % 15) / 10, F.lit(',"attributes":{"a":"b"},"reasoning":"x"}\n```')))
@@ -255,11 +264,11 @@ def s02(s, d):
     return io.read_price_catalog(fixture(s, d, "price_catalog"))
 
 
-@query("s03_read_history_rows", "budget_items", " SELECT job_id, seq, description, unit, quantity FROM budget_items WHERE seq % 20 <> 0 AND quantity > 0")
+@query("s03_read_history_rows", "budget_items", " SELECT job_id, seq, description, CASE WHEN unit = 'm²' THEN unit WHEN seq % 7 = 0 THEN 'kg' ELSE unit END AS unit, quantity FROM budget_items WHERE seq % 20 <> 0 AND quantity > 0")
 def s03(s, d):
     cell = lambda t=None, v=None: F.struct((t if t is not None else F.lit(None).cast("string")).alias("s"), (v if v is not None else F.lit(None).cast("double")).alias("d"))
-    row = F.array(cell(F.substring("item_num", 1, 4)), cell(F.when(F.col("seq") % 20 == 0, "Subtotal").otherwise(F.col("description"))), cell(F.when(F.col("unit") == "m²", "m2").otherwise(F.col("unit"))), cell(v=F.col("quantity")))
-    return io.read_history_rows(items(s, d).select("job_id", "seq", row.alias("cells")), rules.UNIT_PRIORITY)
+    row = F.array(cell(F.substring("item_num", 1, 4)), cell(F.when(F.col("seq") % 20 == 0, "Subtotal").otherwise(F.col("description"))), cell(F.when(F.col("unit") == "m²", "m2").when(F.col("seq") % 7 == 0, " KG").otherwise(F.col("unit"))), cell(v=F.col("quantity")))
+    return io.read_history_rows(items(s, d).select("job_id", "seq", row.alias("cells")))
 
 
 @query("s04_upsert_by_key", "price_catalog", """ SELECT codigo, CASE WHEN max(seq) >= 100000000 THEN 'repetido' ELSE max_by(descricao, seq) END AS descricao, max_by(unidade, seq) AS unidade FROM price_catalog GROUP BY codigo""")
@@ -281,7 +290,12 @@ def s06(s, d):
 
 
 def work_folder(s: SparkSession) -> str:
-    root = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="takeoff-")
+    """A new folder below spark.checkpoint.dir; a temporary one stands in for it in local mode only."""
+    root = s.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not s.sparkContext.master.startswith("local") or s.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="takeoff-")
     return f"{root.rstrip('/')}/{tempfile.mktemp(dir='', prefix='takeoff-')}"
 
 
@@ -496,12 +510,20 @@ def a11(s, d):
     return take.unit_sanity(fixture(s, d, "cad_lines"), fixture(s, d, "cad_files"))
 
 
-@query("a12_takeoff_items", "cad_blocks cad_lines cad_files", f""", ok AS (SELECT * FROM cad_blocks WHERE {COUNTABLE}) SELECT *, {DISCIPLINE_SQL} AS discipline, CASE WHEN category IS NULL THEN 'verificar' ELSE 'confirmado' END AS confidence FROM (
-    SELECT file_id, category, name AS description, CAST(count(*) AS DOUBLE) AS quantity, 'un' AS unit FROM (SELECT file_id, name, unnest({CATEGORIZED}) AS category FROM ok) GROUP BY ALL
-    UNION ALL SELECT file_id, category, concat('Comprimento ', category), CAST(round(round(CAST(sum(length) AS DECIMAL(30, 8)), 8), 2) AS DOUBLE), 'm' FROM (SELECT file_id, {LENGTH_SQL} AS length, unnest({categories_sql('layer')}) AS category FROM cad_lines JOIN cad_files USING (file_id)) WHERE length > 0 GROUP BY file_id, category
-    UNION ALL SELECT file_id, NULL, name, CAST(count(*) AS DOUBLE), 'un' FROM ok WHERE len({CATEGORIZED}) = 0 GROUP BY file_id, name)""")
+def by_category_sql(rows: str, value: str, word: str, unit: str) -> str:
+    return f"""SELECT file_id, category, concat('{word} ', category), CAST(round(round(CAST(sum({value}) AS DECIMAL(30, 8)), 8), 2) AS DOUBLE), '{unit}', 'confirmado' FROM (SELECT file_id, {value}, unnest({categories_sql('layer')}) AS category FROM {rows}) WHERE {value} > 0 GROUP BY file_id, category"""
+
+
+@query("a12_takeoff_items", "cad_blocks cad_lines cad_dims cad_files", f""", {POINTS}, ok AS (SELECT * FROM cad_blocks WHERE {COUNTABLE}), named AS (SELECT file_id, name, arg_min(layer, seq) AS layer, CAST(count(*) AS DOUBLE) AS quantity FROM ok GROUP BY file_id, name),
+    measured AS (SELECT file_id, layer, {LENGTH_SQL} AS length FROM cad_lines JOIN cad_files USING (file_id)), hatched AS (SELECT p.file_id, CASE WHEN p.seq % 2 = 0 THEN 'A-PISO' ELSE 'FOR-GESSO' END AS layer, abs(sum(p.x * q.y - q.x * p.y)) / 2 AS area FROM poly p JOIN poly q ON p.seq = q.seq AND q.i = (p.i + 1) % 32 GROUP BY p.file_id, p.seq),
+    dims AS (SELECT file_id, CASE WHEN d.measurement IS NOT NULL THEN coalesce(nullif(label, ''), 'cota') ELSE label END AS label, round(d.measurement * factor, 3) AS metres FROM cad_dims d JOIN (SELECT file_id, {FACTOR} AS factor FROM cad_files) USING (file_id) WHERE CASE WHEN d.measurement IS NOT NULL THEN abs(d.measurement * factor) >= 0.001 ELSE coalesce(label, '') NOT IN ('', '0') END)
+    SELECT *, {DISCIPLINE_SQL} AS discipline FROM (
+    SELECT file_id, unnest({CATEGORIZED}) AS category, name AS description, quantity, 'un' AS unit, 'confirmado' AS confidence FROM named UNION ALL SELECT file_id, NULL, name, quantity, 'un', 'verificar' FROM named WHERE len({CATEGORIZED}) = 0
+    UNION ALL {by_category_sql('measured', 'length', 'Comprimento', 'm')} UNION ALL {by_category_sql('hatched', 'area', 'Área', 'm²')}
+    UNION ALL SELECT file_id, NULL, concat('Cota: ', label, coalesce(' = ' || printf('%.3f', metres) || ' m', '')), 0.0, 'un', 'verificar' FROM dims)""")
 def a12(s, d):
-    return take.takeoff_items(fixture(s, d, "cad_blocks"), fixture(s, d, "cad_lines"), fixture(s, d, "cad_files"))
+    areas = polylines(s, d).select("file_id", F.when(F.col("seq") % 2 == 0, "A-PISO").otherwise("FOR-GESSO").alias("layer"), geometry.polygon_area(F.array("points")).alias("area"))
+    return take.takeoff_items(fixture(s, d, "cad_blocks"), fixture(s, d, "cad_lines"), fixture(s, d, "cad_files"), areas, p37(s, d))
 
 
 PRIORITY_SQL = f"CASE {SHEET_SQL} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in rules.SHEET_PRIORITY.items()) + " ELSE 99 END"
@@ -563,9 +585,10 @@ def a22(s, d):
 # Windows, lists, sets
 
 
-@query("w01_fill_section", "budget_items", " SELECT job_id, seq * 2 AS seq, item_num AS a FROM budget_items")
+@query("w01_fill_section", "budget_items", """ SELECT b.job_id, b.seq * 2 AS seq, b.item_num AS a, array_to_string(list_transform(string_split(lower(h.discipline), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS discipline
+    FROM budget_items b JOIN budget_items h ON h.job_id = b.job_id AND h.seq = (b.seq - 1) // 10 * 10 + 1""")
 def w01(s, d):
-    return den.fill_section(cells(s, d)).where("discipline is not null").select("job_id", "seq", "a")
+    return den.fill_section(cells(s, d)).where("discipline is not null").select("job_id", "seq", "a", "discipline")
 
 
 @query("w02_first_description_wins", "budget_items", " SELECT job_id, seq, description, discipline FROM budget_items QUALIFY row_number() OVER (PARTITION BY job_id, substring(lower(trim(description)), 1, 50) ORDER BY seq) = 1")
@@ -611,7 +634,7 @@ def t02(s, d):
 @query("t03_item_details", "budget_items " + CATALOG, CATALOG_SQL + " SELECT job_id, item_num, seq, grupo_code FROM (SELECT * FROM budget_items QUALIFY row_number() OVER (PARTITION BY job_id, item_num ORDER BY seq) = 1) LEFT JOIN catalog ON familia_id = l_suppkey")
 def t03(s, d):
     first = rep.first_per(items(s, d), ["job_id", "item_num"], ["seq"], 1).withColumn("familia_id", F.col("l_suppkey"))
-    return first.join(cat.small(full_catalog(s, d).select("familia_id", "grupo_code")), "familia_id", "left").select("job_id", "item_num", "seq", "grupo_code")
+    return first.join(full_catalog(s, d).select("familia_id", "grupo_code"), "familia_id", "left").select("job_id", "item_num", "seq", "grupo_code")
 
 
 @query("t04_rank_benchmarks", BENCH, BENCH_SQL + " SELECT typology, item_type, unit, n_projects FROM bench ORDER BY n_projects DESC, item_type")

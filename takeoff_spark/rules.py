@@ -59,3 +59,7 @@ UNIT_METRES = {1: 0.0254, 2: 0.3048, 3: 1609.344, 4: 0.001, 5: 0.01, 6: 1.0, 7:
 
 CONTINGENCY, BDI = 0.10, 0.275
 PRICE_LEAST, PRICE_SHEET = 9700, 2000
+
+# Units that a history row may have, words of heading and total rows.
+HISTORY_UNITS = ("m", "m2", "m²", "un", "ml", "pc", "kg", "l", "h", "dia", "vb")
+HISTORY_HEADINGS = ("total geral", "subtotal", "soma", "resumo", "descrição", "descricao", "item", "discriminação")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-EVENT = "struct<entry:array<struct<messaging:array<struct<sender:struct<id:string>,message:struct<mid:string,text:string>>>>>>"
+from ..rules import HISTORY_HEADINGS, HISTORY_UNITS
 
+EVENT = "struct<entry:array<struct<messaging:array<struct<sender:struct<id:string>,message:struct<mid:string,text:string>>>>>>"
 
 def read_budget_rows(cells: DataFrame) -> DataFrame:
     """Grid rows whose first cell begins like 1.1, trimmed and typed (columns a to i)."""
@@ -23,8 +24,8 @@ def read_price_catalog(rows: DataFrame) -> DataFrame:
     return first.select("codigo", F.substring("descricao", 1, 400).alias("descricao"), F.substring("unidade", 1, 20).alias("unidade"), "familia_id")
 
 
-def read_history_rows(rows: DataFrame, units: tuple) -> DataFrame:
-    """Description, unit and quantity wherever they stand in a row of cells (array of struct s, d)."""
+def read_history_rows(rows: DataFrame, units: tuple = HISTORY_UNITS) -> DataFrame:
+    """Description, unit (the last of the cells after it) and quantity (the first) wherever they stand in a row of cells (array of struct s, d)."""
     cells = F.col("cells")
     is_text = lambda x: F.length(F.trim(x["s"])) >= 5
     first = F.array_position(F.transform(F.slice(cells, 1, 6), lambda x: F.coalesce(is_text(x), F.lit(False))), True)
@@ -32,7 +33,7 @@ def read_history_rows(rows: DataFrame, units: tuple) -> DataFrame:
     unit = F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter(after, lambda x: F.replace(F.lower(F.trim(x["s"])), F.lit("m2"), F.lit("m²")).isin(*units)), lambda x: F.replace(F.lower(F.trim(x["s"])), F.lit("m2"), F.lit("m²")))), -1)
     q = F.get(F.filter(F.transform(after, lambda x: x["d"]), lambda d: d > 0), F.lit(0))
     out = rows.withColumn("at", first).where("at > 0").withColumns({"description": F.trim(F.get(cells, F.col("at").cast("int") - 1)["s"]), "unit": unit, "quantity": q})
-    total = F.lower("description").rlike("total|descri|quantidade") & (F.length("description") < 25)
+    total = F.lower("description").rlike("|".join(HISTORY_HEADINGS)) & (F.length("description") < 25)
     return out.where("quantity > 0").where(~total).drop("at", "cells")
 
 
