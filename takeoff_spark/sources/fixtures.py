@@ -57,7 +57,7 @@ SQL = {
     "cad_blocks": f"""SELECT job_id AS file_id, seq, {pick('l_partkey % 16', BLOCKS)} AS name, {pick('l_suppkey % 10', LAYERS)} AS layer, l_extendedprice AS x, CAST(l_quantity AS DOUBLE) AS y, 1 + l_discount AS xscale FROM items_raw""",
     "cad_dims": f"""SELECT job_id AS file_id, seq, {pick('l_suppkey % 10', LAYERS)} AS layer, CASE l_suppkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '0' ELSE concat('L=', CAST(l_linenumber AS VARCHAR(9))) END AS label,
         CASE WHEN l_partkey % 6 = 0 THEN NULL ELSE l_tax END AS measurement FROM items_raw""",
-    "cad_texts": f"""SELECT doc_id % 20 AS file_id, doc_id AS seq, {pick('doc_id % 10', LAYERS)} AS layer, CASE WHEN doc_id % 7 = 0 THEN '' ELSE substring(text, 1, 60) END AS text FROM documents""",
+    "cad_texts": f"""SELECT doc_id % 20 AS file_id, doc_id AS seq, {pick('doc_id % 10', LAYERS)} AS layer, text FROM documents""",
     "sheets": f"SELECT doc_id % 50 AS job_id, doc_id AS seq, concat({pick('doc_id % 14', SHEETS)}, '-', CAST(doc_id AS VARCHAR(20)), '.pdf') AS filename, n_chars FROM documents",
     "messages": """SELECT concat('m', CAST(event_id - CASE WHEN event_id % 10 = 9 THEN 1 ELSE 0 END AS VARCHAR(20))) AS mid, user_id AS sender_id, CASE WHEN event_type = 'error' THEN '' ELSE concat(event_type, ' ', coalesce(props, '')) END AS text,
         event_id AS seq, ts, event_type, value FROM events""",
