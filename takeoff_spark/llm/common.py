@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 import re
@@ -96,20 +97,32 @@ def slices(batch: pa.RecordBatch, most: int = SLICE) -> Iterator[pa.RecordBatch]
         at = end
 
 
-def in_slices(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
-    """For mapInArrow: ``f`` gets slices of bounded size, and what a task kept in caches is freed at its end."""
+def release() -> None:
+    """Empty the caches and give freed memory back to the system: a worker that is used again would keep it into the next stage."""
+    for memo in list(_memos):
+        memo.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
+def released(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """For mapInArrow: ``f``, and ``release`` when the task ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from f(x for b in batches for x in slices(b))
+            yield from f(batches)
         finally:
-            for memo in list(_memos):
-                memo.clear()
-            pa.default_memory_pool().release_unused()
+            release()
 
     return run
 
 
+def in_slices(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``released`` with slices of bounded size for ``f``."""
+    return released(lambda batches: f(x for b in batches for x in slices(b)))
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
     """mapInArrow: ``make`` runs once a task, what it returns once a slice of bounded size."""
     from pyspark.sql.pandas.types import to_arrow_schema

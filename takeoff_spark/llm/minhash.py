@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, clean_text, hash64, keep_ids, map_rows, materialise, parts_of
+from .common import Memo, clean_text, hash64, keep_ids, map_rows, materialise, parts_of, released
 from .components import components
 
 REGISTERS = 128
@@ -147,7 +147,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame
                 keep = est >= least_estimate(threshold, na, nb)
                 yield pa.RecordBatch.from_arrays([t.column("a").filter(pa.array(keep)), t.column("b").filter(pa.array(keep)), pa.array(est[keep])], names=["a", "b", "est"])
 
-    return rows.mapInArrow(run, "a long, b long, est double")
+    return rows.mapInArrow(released(run), "a long, b long, est double")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -218,7 +218,7 @@ def _undecided(keys: DataFrame, reps: DataFrame, comps: DataFrame, threshold: fl
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(rep[seen]).astype(np.int64))], names=["doc_id"])
 
     groups = _dealt(keys, reps.select("rep", F.lit(REGISTERS // 4).alias("weight"), "n", "regs"), comps)
-    return groups.mapInArrow(run, "doc_id long").distinct()
+    return groups.mapInArrow(released(run), "doc_id long").distinct()
 
 
 def _sharable(ids: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -275,7 +275,7 @@ def _block_links(keys: DataFrame, members: DataFrame, comps: DataFrame, percent:
                     mark[own] = False
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
-    return _dealt(keys, members, comps).mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _dealt(keys, members, comps).mapInArrow(released(run), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

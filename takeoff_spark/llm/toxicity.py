@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, hash64, in_slices, map_rows, materialise, parts_of
+from .common import Memo, hash64, in_slices, map_rows, materialise, parts_of, release
 
 BUCKETS = 1 << 24
 WIDTHS = (1, 2, 3)
@@ -254,6 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, clean: int = 3300, toxic: int = 1650
     """
     known = materialise(known_labels(labels), "known")
     model = train(*training_texts(docs, known, clean, toxic, most_chars))
+    release()  # the driver's training took some hundred MB
     if len(model.emb) > 1:
         model.thresholds = thresholds(docs, known, model)
     return model
