@@ -166,16 +166,20 @@ class Codec:
             at = m.start()
         yield text[at:] if at else text
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Identifiers with begin and end, and for each the source byte where its span ends."""
-        ids, ends, before = [np.array([self.bos])], [np.array([0])], 0
+    def plain(self, text: str) -> Iterator[list[int]]:
+        """Identifiers of the text's chunks, without begin and end."""
         for k, chunk in enumerate(self.chunks(text)):
             if not k:
-                found = self.lib.encode(chunk)
+                yield self.lib.encode(chunk)
             elif chunk[0] == "\n":
-                found = self.lib.encode(chunk)[1:]  # without the blank that the library puts first
+                yield self.lib.encode(chunk)[1:]  # without the blank that the library puts first
             else:
-                found = self.lib.encode(chunk[1:])  # the blank that it puts first is the chunk's own
+                yield self.lib.encode(chunk[1:])  # the blank that it puts first is the chunk's own
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Identifiers with begin and end, and for each the source byte where its span ends."""
+        ids, ends, before = [np.array([self.bos])], [np.array([0])], 0
+        for k, (chunk, found) in enumerate(zip(self.chunks(text), self.plain(text), strict=True)):
             ids.append(np.array(found, np.int64))
             ends.append(self.laid(ids[-1], chunk, not k) + before)
             before += len(chunk.encode())

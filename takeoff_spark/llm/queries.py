@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_count, html_text, line_dedup, media, minhash, mixing, piece_codec, token_files, topk, toxicity
+from . import align, bpe_count, embed_dedup, html_text, line_dedup, media, minhash, mixing, piece_codec, source_audit, token_files, topk, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,7 +58,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_rates(table(spark, sf_dir, "documents"), mixing.label_domains(table(spark, sf_dir, "labels")), MIX)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_topk_search, op2_media_columns, op3_token_counts, op4_line_dedup, op5_sentencepiece, op6_minhash, op7_html_text, op8_token_files, op9_toxicity, op10_mixing)}
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_tokens(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_topk_search, op2_media_columns, op3_token_counts, op4_line_dedup, op5_sentencepiece, op6_minhash, op7_html_text, op8_token_files, op9_toxicity, op10_mixing, op11_embedding_dedup, op12_source_audit, op13_token_alignment)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_topk_search": """
@@ -74,4 +86,15 @@ ORACLE_SQL: dict[str, str] = {
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
         ) WHERE rank <= 5
     """,
+    "op11_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), l AS MATERIALIZED (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+        ), r AS (SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node WHERE r.root < l.b),
+        c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept, CAST(1 AS BIGINT) AS n_copies FROM embeddings JOIN c ON node = vec_id LEFT JOIN n ON a = vec_id
+    """,
+    "op12_source_audit": source_audit.AUDIT_SQL,
 }

@@ -27,12 +27,15 @@ from .common import Memo, clean_text, in_slices, map_rows, materialise, open_fs,
 
 SEQUENCE = 2048
 ROWS = 256  # sequences a batch
+FILE_BYTES = 64 << 20  # text of a file at most, about
 
 
 #: The byte-level pattern of the tokenizers library (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters that the two libraries' tables may class differently (letters of later Unicode versions lie there), and long blanks.
 OTHER = re.compile(r"[^\x00-\u052f]|\s{200}")
+#: White space besides " " and line ends, in either library's sense.
+BLANK = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 LONGEST = 2000  # characters of a word; longer ones are merged by the tokenizers library
 
 
@@ -43,13 +46,15 @@ class Encoder:
     Texts with characters that the two may class differently are looked up word by word in a bounded cache.
     """
 
-    def __init__(self, path: str, ranked: bool):
+    def __init__(self, path: str, ranked: bool, plain: bool = False):
+        """``plain``: strings of special tokens inside a text are ordinary text."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        self.lib.encode_special_tokens = plain
         self.dtype = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
-        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.special = [] if plain else [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.ranked, self.words = ranked, Memo(self.word)
         self.line_end = self.whole("\n")
         if ranked:
@@ -72,7 +77,7 @@ class Encoder:
         """Whether every white space is one blank or one line end between two other characters."""
         if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", " \n", "\n ", "\n\n")):
             return False
-        return len(text.split()) == text.count(" ") + text.count("\n") + 1
+        return not BLANK.search(text)
 
     def encode(self, text: str) -> bytes:
         """Identifiers as bytes."""
@@ -107,8 +112,8 @@ def merges_by_rank(path: str) -> bool:
 
 
 @lru_cache(2)
-def encoder(path: str, ranked: bool) -> Encoder:
-    return Encoder(path, ranked)
+def encoder(path: str, ranked: bool, plain: bool = False) -> Encoder:
+    return Encoder(path, ranked, plain)
 
 
 class SequenceWriter:
@@ -210,7 +215,7 @@ def write_tokens(docs: DataFrame, end_id: int = 0, length: int = SEQUENCE, model
         if out:
             out.close()
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(clean_text(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES))
     keyed = clean_text(docs).select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("m"))
     rows = keyed.repartitionByRange(n, "doc_id", "h", "m").sortWithinPartitions("doc_id", "h", "m").select("doc_id", "text").mapInArrow(in_slices(run), "doc_id long, part int, file string, number int")
     return materialise(rows, "token_rows"), folder
@@ -234,8 +239,7 @@ def read_tokens(rows: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in zip(*found, strict=True))], names=["doc_id", "part", "position", "n_tokens", "ids_crc32"])
 
     read = rows.mapInArrow(in_slices(run), "doc_id long, part int, position long, n_tokens long, ids_crc32 long")
-    # one row a written file: as many as shuffle partitions, whatever the input
-    return read.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("position")).alias("start"), "n_tokens", "ids_crc32")
+    return read.join(before, "part").select("doc_id", (F.col("before") + F.col("position")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_files(docs: DataFrame, end_id: int = 0, model: str | None = None) -> DataFrame:

@@ -122,3 +122,16 @@ def test_masks(docs):
     fs, path = open_fs(folder)
     got = {k: sum(pa.compute.sum(pa.compute.list_flatten(b.column(k)).cast("int64")).as_py() for r in rows.select("file").distinct().collect() for b in [pa.ipc.open_file(fs.open_input_file(f"{path}/{r.file}")).get_batch(0)]) for k in ("mask", "last")}
     assert got == {"mask": token_files(docs).agg({"n_tokens": "sum"}).first()[0], "last": 4}
+
+
+def test_ids_where_blanks_stand_beside_line_ends():
+    path = tokenizer_path("byte_bpe_50k.json")
+    own, lib = Encoder(path, True), Encoder(path, False)
+    blanks = [chr(c) for c in range(0x110000) if chr(c).isspace()] + ["᠎", "​", "⁠", "﻿"]
+    assert all(own.encode(t) == lib.whole(t) for t in ("“Hi”\n\xa0\xa0there", "中\n\xa0\xa0ß", "😀\x0cé\n\xa0"))
+    draw = random.Random(5)
+    pool = [*blanks, "\n", "\n", " ", " ", "中", "ß", "“", "a", "1", "."]
+    for _ in range(4000):
+        text = "".join(draw.choice(pool) for _ in range(draw.randint(1, 9)))
+        assert own.encode(text) == lib.whole(text), repr(text)
+        assert own.encode("中" + text) == lib.whole("中" + text), repr(text)
