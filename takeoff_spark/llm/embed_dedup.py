@@ -135,7 +135,7 @@ def compare(t: pa.Table, table: int, same: bool, first: int, cosine: float, coun
     return [u[some], links[some], root[some]]
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.93, hashes: int = 2, count: int = 4, miss: float = 1e-6, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.93, hashes: int = 3, count: int = 4, miss: float = 1e-6, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept and n_copies of every row; rows of one label are linked from ``cosine`` on.
 
     Rows with a null label, a null or empty vector, only zeros or null or non-finite components link with nothing, nor do
