@@ -18,6 +18,7 @@ from ..operators import takeoff as take
 from ..sources import io
 from ..sources.fixtures import DESCRIPTIONS, fixture, with_sql
 from ..streaming import messages as msg
+from ..streaming import sink
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -717,15 +718,29 @@ def x03(s, d):
 DEDUPED = "+ first AS (SELECT * FROM messages WHERE coalesce(text, '') <> '' QUALIFY row_number() OVER (PARTITION BY mid ORDER BY seq) = 1)"
 
 
+def stream_of(s: SparkSession, rows: DataFrame, folder: str, files: int | None = None, last: DataFrame | None = None) -> DataFrame:
+    """Rows of a table as a file stream; with ``files``, so many a batch. ``last``: rows that come after all others."""
+    at = {"ts": F.col("ts").cast("timestamp")}
+    rows = rows.withColumns(at)
+    rows.write.parquet(folder)
+    if last is not None:
+        last.withColumns(at).write.mode("append").parquet(folder)
+    reader = s.readStream.schema(rows.schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(folder)
+
+
+def heartbeat(rows: DataFrame, days: int) -> DataFrame:
+    """A row of nulls but for a time ``days`` after the last one, so that the watermark passes all that came before."""
+    late = (F.max("ts") + F.expr(f"interval {days} days")).alias("ts")
+    return rows.agg(late).select(*[F.col("ts") if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes])
+
+
 def run_stream(s: SparkSession, d: str, make: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """The messages as a file stream, run to its end into a table in the shared folder."""
     folder = work_folder(s)
-    payloads(s, d).write.parquet(f"{folder}/in")
-    stream = s.readStream.schema("seq long, ts timestamp, payload string").parquet(f"{folder}/in")
-    out = make(msg.messages(stream))
-    q = out.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(lambda df, i: df.write.mode("append").parquet(f"{folder}/out")).start()
-    q.awaitTermination()
-    return s.read.schema(out.schema).parquet(f"{folder}/out")
+    out = make(msg.messages(stream_of(s, payloads(s, d), f"{folder}/in")))
+    sink.append_once(out, f"{folder}/out", f"{folder}/state", mode).awaitTermination()
+    return sink.read_batches(s, f"{folder}/out", out.schema)
 
 
 @query("st01_message_stream", "messages", " SELECT seq, CAST(sender_id AS VARCHAR) AS sender_id, mid, text FROM messages WHERE text <> ''")
@@ -738,14 +753,34 @@ def st02(s, d):
     return run_stream(s, d, lambda m: msg.dedupe(m, "60 days"), "append").select("mid")
 
 
-@query("st03_daily_quota", "messages", DEDUPED + " SELECT seq, mid, CAST(row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY seq) AS INTEGER) AS day_rank, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY seq) <= 200 AS sent FROM first")
+QUOTA_SQL = DEDUPED + ", ranked AS (SELECT seq, mid, ts, sender_id, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY seq) AS day_rank FROM first WHERE sender_id <> 3 UNION ALL SELECT seq, mid, ts, sender_id, NULL FROM first WHERE sender_id = 3)"
+
+
+@query("st03_daily_quota", "messages", QUOTA_SQL + " SELECT seq, mid, day_rank, coalesce(day_rank <= 200, FALSE) AS sent FROM ranked")
 def st03(s, d):
-    return msg.daily_quota(fixture(s, d, "messages")).select("seq", "mid", "day_rank", "sent")
+    return msg.daily_quota(fixture(s, d, "messages"), own_id="3").select("seq", "mid", "day_rank", "sent")
+
+
+@query("st03_daily_quota_stream", "messages", QUOTA_SQL + " SELECT seq, mid, coalesce(day_rank <= 5, FALSE) AS sent FROM ranked")
+def st03_stream(s, d):
+    folder = work_folder(s)
+    events = io.read_message_events(payloads(s, d))
+    mixed = lambda rows: rows.repartition(6, F.xxhash64("seq", F.lit("any order")))
+    first = msg.once(stream_of(s, mixed(events), f"{folder}/in", 2, heartbeat(events, 100)), "40 days")
+    sink.append_once(first, f"{folder}/first", f"{folder}/state1").awaitTermination()
+    rows = sink.read_batches(s, f"{folder}/first", first.schema)
+    out = msg.quota_stream(stream_of(s, mixed(rows), f"{folder}/again", 2, heartbeat(rows, 100)), 5, own_id="3", delay="40 days")
+    sink.append_once(out, f"{folder}/out", f"{folder}/state2").awaitTermination()
+    return sink.read_batches(s, f"{folder}/out", out.schema)
 
 
 @query("st04_daily_counters", "messages", " SELECT CAST(ts AS DATE) AS day, count(*) AS messages FROM messages WHERE text <> '' GROUP BY 1")
 def st04(s, d):
-    return msg.daily_counters(msg.messages(payloads(s, d)))
+    folder = work_folder(s)
+    events = io.read_message_events(payloads(s, d))
+    days = msg.daily_counters(stream_of(s, events, f"{folder}/in", last=heartbeat(events, 40)), "15 days")
+    sink.append_once(days, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return sink.read_batches(s, f"{folder}/out", days.schema)
 
 
 @query("st05_sender_history")
@@ -754,15 +789,26 @@ def st05(s, d):
     return out.select("sender_id", F.size("texts").alias("n"), F.array_join("texts", "\n").alias("texts"))
 
 
-@query("st06_post_due")
+POSTS_SQL = """WITH RECURSIVE times AS (SELECT DISTINCT user_id AS sender_id, epoch(date_trunc('second', ts)) AS t FROM events),
+    taken AS (SELECT sender_id, min(t) AS posted FROM times GROUP BY sender_id UNION ALL SELECT sender_id, posted FROM (SELECT k.sender_id, (SELECT min(t) FROM times x WHERE x.sender_id = k.sender_id AND x.t >= k.posted + 86400) AS posted FROM taken k) WHERE posted IS NOT NULL)
+    SELECT {0} AS sender_id, CAST(posted AS BIGINT) AS posted FROM taken"""
+
+
+@query("st06_post_due", "", POSTS_SQL.format("sender_id"))
 def st06(s, d):
     return msg.posts_due(fixture(s, d, "messages"))
 
 
+@query("st06_post_due_stream", "", POSTS_SQL.format("CAST(sender_id AS VARCHAR)"))
+def st06_stream(s, d):
+    folder = work_folder(s)
+    out = msg.posts_due_stream(io.read_message_events(stream_of(s, payloads(s, d), f"{folder}/in")))
+    sink.append_once(out, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return sink.read_batches(s, f"{folder}/out", out.schema)
+
+
 @query("st07_activity_append", "messages", " SELECT count(*) AS n, 'message' AS action FROM messages WHERE text <> ''")
 def st07(s, d):
     folder = work_folder(s)
-    payloads(s, d).write.parquet(f"{folder}/in")
-    stream = s.readStream.schema("seq long, ts timestamp, payload string").parquet(f"{folder}/in")
-    msg.append_activity(msg.messages(stream), f"{folder}/log", f"{folder}/state").awaitTermination()
-    return s.read.parquet(f"{folder}/log").groupBy("action").agg(F.count("*").alias("n"))
+    msg.append_activity(msg.messages(stream_of(s, payloads(s, d), f"{folder}/in")), f"{folder}/log", f"{folder}/state").awaitTermination()
+    return sink.read_batches(s, f"{folder}/log", "ts timestamp, action string, details string").groupBy("action").agg(F.count("*").alias("n"))
