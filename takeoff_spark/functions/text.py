@@ -1,14 +1,30 @@
 """Text and key expressions (Column to Column)."""
 
+import sys
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..rules import GENERIC_WORDS, KEY_SEPARATORS, MARKED, PLAIN, SEARCH_STOP_WORDS
+from ..rules import GENERIC_WORDS, KEY_SEPARATORS, SEARCH_STOP_WORDS
+
+
+@cache
+def letters_with_marks() -> tuple[str, str]:
+    """All letters that decompose into one letter and marks, and these letters."""
+    found = {}
+    for code in range(128, sys.maxunicode + 1):
+        if unicodedata.decomposition(c := chr(code)):
+            plain = [x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn"]
+            if len(plain) == 1 and plain[0] != c:
+                found[c] = plain[0]
+    return "".join(found), "".join(found.values())
 
 
 def fold_accents(c: Column, ascii_only: bool = False) -> Column:
-    """Lower case without combining marks; ``ascii_only`` deletes what is still not ASCII."""
-    out = F.translate(F.lower(c), MARKED, PLAIN)
+    """Lower case without marks, whether a letter and its marks are one character or several; ``ascii_only`` deletes what is still not ASCII."""
+    out = F.regexp_replace(F.translate(F.lower(c), *letters_with_marks()), "\\p{Mn}", "")
     return F.regexp_replace(out, "[^\\x00-\\x7F]", "") if ascii_only else out
 
 

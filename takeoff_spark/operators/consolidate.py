@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,43 +45,50 @@ def consolidate_exact(items: DataFrame) -> DataFrame:
     return rows.withColumn("seq", F.row_number().over(order).cast("bigint")).drop("head", "old")
 
 
-def _families(rows: pd.DataFrame) -> pd.DataFrame:
-    """Greedy first-fit families of one job's items, bucket by bucket, in order."""
-    rows = rows.sort_values("seq")
-    buckets: dict = {}
-    for i, (d, q, seq) in enumerate(zip(rows.discipline.fillna(""), rows.q, rows.seq, strict=True)):
-        buckets.setdefault((d, q) if q >= 2 else seq, []).append(i)
-    nouns, tokens = rows.noun.tolist(), [frozenset(k.split()) for k in rows.key]
-    family = [0] * len(rows)
-    count = 0
-    for members in buckets.values():
-        heads: list[tuple[int, int]] = []
-        for i in members:
-            for head, number in heads:
-                if (nouns[i] and nouns[i] == nouns[head]) or len(tokens[i] & tokens[head]) >= 2:
-                    family[i] = number
-                    break
-            else:
-                count += 1
-                family[i] = count
-                heads.append((i, count))
-    return rows.assign(family=family)[["job_id", "seq", "family"]]
+#: One bucket's descriptions in order, each to the first family whose first description shares its noun or two of its words, else to a new one.
+FAMILIES = """aggregate(found, struct(cast(array() AS array<struct<head:bigint,noun:string,words:array<string>>>) AS heads, cast(array() AS array<bigint>) AS heads_of),
+    (s, x) -> struct(
+        if(exists(s.heads, h -> (x.noun <> '' AND h.noun = x.noun) OR size(array_intersect(h.words, x.words)) >= 2), s.heads, concat(s.heads, array(struct(x.first AS head, x.noun AS noun, x.words AS words)))) AS heads,
+        concat(s.heads_of, array(coalesce(get(filter(s.heads, h -> (x.noun <> '' AND h.noun = x.noun) OR size(array_intersect(h.words, x.words)) >= 2), 0).head, x.first))) AS heads_of),
+    s -> s.heads_of)"""
+
+
+def families(rows: DataFrame) -> DataFrame:
+    """Greedy first-fit families in (job, bucket), bucket being discipline and quantity: noun and key to ``head``, the seq of the family's first row, and ``start``, the bucket's first.
+
+    Rows of equal noun and key are one description here, as they join the same family; so a fold holds the
+    distinct descriptions of a bucket, however often they repeat. Those without a noun and two words match nothing.
+    """
+    words = F.array_distinct(F.split("key", " "))
+    bucket = ["job_id", "discipline", "q"]
+    one = rows.groupBy(*bucket, "noun", "key").agg(F.min("seq").alias("first"))
+    lists = one.where((F.col("noun") != "") | (F.size(words) >= 2)).groupBy(*bucket).agg(F.array_sort(F.collect_list(F.struct("first", "noun", "key", words.alias("words")))).alias("found"))
+    pairs = F.explode(F.arrays_zip("found", F.expr(FAMILIES).alias("head"))).alias("p")
+    return lists.select(*bucket, pairs).select(*bucket, F.col("p.found.noun").alias("noun"), F.col("p.found.key").alias("key"), F.col("p.head").alias("head"))
 
 
 def consolidate_similar(items: DataFrame) -> DataFrame:
-    """Second pass: items of one job, discipline and quantity (2 or more) that share a noun or two key words become one row."""
-    rows = items.withColumns({"q": F.round(F.coalesce("quantity", F.lit(0.0)), 2), "key": description_key(F.col("description")), "noun": primary_noun(F.col("description"))})
-    families = rows.select("job_id", "seq", "discipline", "q", "key", "noun").groupBy("job_id").applyInPandas(_families, "job_id long, seq long, family long")
-    w = Window.partitionBy("job_id", "family")
-    joined = rows.join(families, ["job_id", "seq"])
-    units = F.transform(F.array_sort(F.collect_list(F.struct("seq", "unit")).over(w)), lambda x: x["unit"])
-    joined = joined.withColumns({"n": F.count("*").over(w), "units": units, "place": F.row_number().over(w.orderBy(F.desc(F.length("description")), "seq"))}).where("place = 1")
+    """Second pass: items of one job, discipline and quantity (2 or more) that share a noun or two key words become one row.
+
+    Families come in the order of their bucket's first item, then of their own. Only aggregations with partial sums and
+    joins by key: no task gets a job or a family as a whole.
+    """
+    rows = items.withColumns({"own": F.col("discipline"), "discipline": F.coalesce("discipline", F.lit("")), "q": F.round(F.coalesce("quantity", F.lit(0.0)), 2), "key": description_key(F.col("description")), "noun": primary_noun(F.col("description"))})
+    bucket = ["job_id", "discipline", "q"]
+    many = rows.where("q >= 2")
+    starts = many.groupBy(*bucket).agg(F.min("seq").alias("start"))
+    joined = rows.join(families(many), [*bucket, "noun", "key"], "left").join(starts, bucket, "left")
+    joined = joined.withColumns({"head": F.coalesce("head", "seq"), "start": F.coalesce("start", "seq")})
+    kept = F.struct("item_num", "description", "unit", "quantity", "q", "observations", "ref_sheet", "confidence", F.col("own").alias("discipline"))
+    by_unit = joined.groupBy("job_id", "start", "head", "unit").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max(F.struct(F.length("description").alias("size"), (-F.col("seq")).alias("place"), kept.alias("row"))).alias("best"))
+    units = F.transform(F.array_sort(F.collect_list(F.struct("first", "unit"))), lambda x: x["unit"])
+    merged = by_unit.groupBy("job_id", "start", "head").agg(F.sum("n").alias("n"), units.alias("units"), F.max("best")["row"].alias("row")).select("job_id", "start", "head", "n", "units", "row.*")
     one = F.col("n") == 1
-    different = F.array_sort(F.array_distinct("units"))
+    different = F.array_sort(F.array_compact("units"))
     chosen = best_unit(F.col("units"), F.col("description"))
     note = F.when(F.size(different) > 1, F.concat(F.lit("Fundido de "), F.col("n").cast("string"), F.lit(" entradas com units divergentes ("), F.array_join(different, "/"), F.lit(")"))).otherwise(F.concat(F.lit("Fundido de "), F.col("n").cast("string"), F.lit(" entradas com mesma qty")))
-    out = joined.select("job_id", "item_num", "description", F.when(one, F.col("unit")).otherwise(chosen).alias("unit"), F.when(one, F.col("quantity")).otherwise(F.col("q")).alias("quantity"), F.when(one, F.col("observations")).otherwise(F.concat_ws(" | ", F.nullif("observations", F.lit("")), note)).alias("observations"), "ref_sheet", F.when(one, F.col("confidence")).otherwise("estimado").alias("confidence"), "discipline", F.col("family").alias("seq"))
-    return out
+    place = F.row_number().over(Window.partitionBy("job_id").orderBy("start", "head")).cast("bigint")
+    return merged.select("job_id", "item_num", "description", F.when(one, F.col("unit")).otherwise(chosen).alias("unit"), F.when(one, F.col("quantity")).otherwise(F.col("q")).alias("quantity"), F.when(one, F.col("observations")).otherwise(F.concat_ws(" | ", F.nullif("observations", F.lit("")), note)).alias("observations"), "ref_sheet", F.when(one, F.col("confidence")).otherwise("estimado").alias("confidence"), "discipline", place.alias("seq"))
 
 
 def check_counts(items: DataFrame) -> DataFrame:

@@ -17,12 +17,20 @@ from ..rules import BDI, CONTINGENCY
 LEVELS = ("familia", "grupo", "capitulo")
 
 
-def raw_densities(item_areas: DataFrame) -> DataFrame:
-    """Density rows of items with their project's area; rows of equal key upserted, the last stays."""
+def density_rows(item_areas: DataFrame) -> DataFrame:
+    """A density row of each item with its project's area, as parsed."""
     rows = item_areas.select("job_id", "seq", "typology", item_type_key(F.col("description")).alias("item_type"), F.when(F.coalesce("unit", F.lit("")) == "", "vb").otherwise(F.col("unit")).alias("unit"), F.round("quantity", 4).alias("qty"), "ref_area", density_ratio(F.col("quantity"), F.col("ref_area")).alias("density"), "familia_id", F.col("job_id").cast("string").alias("project_label"))
     return rows.where("density > 0")
 
 
+def raw_densities(item_areas: DataFrame) -> DataFrame:
+    """Density rows as stored: upserted by typology, item type, unit and project, of which the last row by seq stays."""
+    rows = density_rows(item_areas)
+    keys = ["typology", "item_type", "unit", "project_label"]
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "seq").alias("r")).select(*keys, "r.*")
+
+
 def benchmarks(raw: DataFrame, catalog: DataFrame, levels: tuple = LEVELS) -> DataFrame:
     """Per typology, level, id and unit over projects: mean, deviation, least, most and number of the projects' summed densities."""
     rows = raw.where("familia_id is not null and density > 0").join(catalog.select("familia_id", "grupo_id", "capitulo_id"), "familia_id", "left")

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import classify, geometry
 from ..functions.numbers import rounded
 from ..functions.text import layer_base_name
-from ..rules import CATEGORIES
+from ..rules import AREA_NAMES, LENGTH_NAMES
 
 
 def with_factor(entities: DataFrame, files: DataFrame) -> DataFrame:
@@ -81,30 +81,42 @@ def categorize(entities: DataFrame) -> DataFrame:
     return entities.select(*entities.columns, F.explode(categories_of(F.col("layer"), F.col("name"))).alias("category"))
 
 
+def named_blocks(blocks: DataFrame) -> DataFrame:
+    """Countable blocks of a file by name: how many, and the layer of the first."""
+    ok = blocks.where(classify.is_countable(F.col("name"), F.col("layer")))
+    return ok.groupBy("file_id", "name").agg(F.count("*").alias("n"), F.min_by("layer", "seq").alias("layer"))
+
+
 def uncategorized(blocks: DataFrame) -> DataFrame:
-    """Countable blocks in no category by layer or name."""
-    rows = blocks.where(classify.is_countable(F.col("name"), F.col("layer")))
-    return rows.where(F.size(categories_of(F.col("layer"), F.col("name"))) == 0)
+    """Countable blocks that are in no category, by their name or first layer: to verify."""
+    rows = named_blocks(blocks).where(F.size(categories_of(F.col("layer"), F.col("name"))) == 0)
+    return rows.select("file_id", "name", "layer", "n", F.lit("verificar").alias("confidence"))
+
+
+def _by_category(rows: DataFrame, value: str, names: tuple, unit: str) -> DataFrame:
+    """Sums of a value by the categories of the layer, with the names that rows of the budget have."""
+    prefix, special = names
+    word = F
+    for k, v in special.items():
+        word = word.when(F.col("category") == k, v)
+    sums = rows.select("file_id", value, F.explode(classify.categories(F.col("layer"))).alias("category")).groupBy("file_id", "category").agg(rounded(F.sum(value), 2).alias("quantity"))
+    return sums.select("file_id", "category", word.otherwise(F.concat(F.lit(prefix), "category")).alias("description"), "quantity", F.lit(unit).alias("unit"))
 
 
 def takeoff_items(blocks: DataFrame, lines: DataFrame, files: DataFrame, areas: DataFrame | None = None, dims: DataFrame | None = None) -> DataFrame:
     """Budget rows of a file: blocks (un) by the categories of their name and first layer, lengths (m) and areas (m²) by
     category of the layer, dimensions with quantity 0, blocks of no category to verify.
 
-    areas: file_id, layer, area in square metres; dims: file_id, label, metres.
+    areas: file_id, layer, area in square metres; dims: file_id, label.
     """
-    ok = blocks.where(classify.is_countable(F.col("name"), F.col("layer")))
-    named = ok.groupBy("file_id", "name").agg(F.count("*").cast("double").alias("quantity"), F.min_by("layer", "seq").alias("layer"))
-    counted = named.select("file_id", F.explode_outer(categories_of(F.col("layer"), F.col("name"))).alias("category"), F.col("name").alias("description"), "quantity", F.lit("un").alias("unit"))
-    by_category = lambda rows, value, word, unit: rows.select("file_id", value, F.explode(classify.categories(F.col("layer"))).alias("category")).groupBy("file_id", "category").agg(rounded(F.sum(value), 2).alias("quantity")).select("file_id", "category", F.concat(F.lit(word + " "), "category").alias("description"), "quantity", F.lit(unit).alias("unit"))
-    out = counted.unionByName(by_category(line_lengths(lines, files), "length", "Comprimento", "m"))
+    counted = named_blocks(blocks).select("file_id", F.explode_outer(categories_of(F.col("layer"), F.col("name"))).alias("category"), F.col("name").alias("description"), F.col("n").cast("double").alias("quantity"), F.lit("un").alias("unit"))
+    out = counted.unionByName(_by_category(line_lengths(lines, files), "length", LENGTH_NAMES, "m"))
     if areas is not None:
-        out = out.unionByName(by_category(areas.where("area > 0"), "area", "Área", "m²"))
+        out = out.unionByName(_by_category(areas.where("area > 0"), "area", AREA_NAMES, "m²"))
     out = out.withColumn("confidence", F.when(F.col("category").isNull(), "verificar").otherwise("confirmado"))
     if dims is not None:
-        text = F.concat(F.lit("Cota: "), "label", F.when(F.col("metres").isNotNull(), F.concat(F.lit(" = "), F.format_string("%.3f", "metres"), F.lit(" m"))).otherwise(""))
-        out = out.unionByName(dims.select("file_id", F.lit(None).cast("string").alias("category"), text.alias("description"), F.lit(0.0).alias("quantity"), F.lit("un").alias("unit"), F.lit("verificar").alias("confidence")))
-    return out.withColumn("discipline", F.when(F.col("category").isNotNull(), classify.category_discipline(F.col("category"))))
+        out = out.unionByName(dims.select("file_id", F.lit(None).cast("string").alias("category"), F.concat(F.lit("Cota: "), "label").alias("description"), F.lit(0.0).alias("quantity"), F.lit("m").alias("unit"), F.lit("verificar").alias("confidence")))
+    return out.withColumn("discipline", F.when(F.col("category").isNotNull(), classify.category_discipline(F.col("category"))).otherwise(""))
 
 
 def prefer_new_phase(layers: DataFrame) -> DataFrame:

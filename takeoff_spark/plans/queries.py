@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from ..operators import consolidate as con
 from ..operators import density as den
 from ..operators import report as rep
 from ..operators import takeoff as take
-from ..sources import io
+from ..sources import io, store
 from ..sources.fixtures import DESCRIPTIONS, fixture, with_sql
 from ..streaming import messages as msg
 from ..streaming import sink
@@ -28,7 +29,7 @@ def query(name: str, needs: str = "", sql: str = ""):
     def keep(f):
         QUERIES[name] = f
         if sql:
-            ORACLE_SQL[name] = (with_sql(*needs.split()) + ("," if needs and sql.lstrip().startswith("+") else "") + sql.lstrip().removeprefix("+")) if needs else sql
+            ORACLE_SQL[name] = (with_sql(*needs.split(), materialized=True) + ("," if needs and sql.lstrip().startswith("+") else "") + sql.lstrip().removeprefix("+")) if needs else sql
         return f
 
     return keep
@@ -98,13 +99,23 @@ def scalar(name: str, needs: str, make: Callable[[], dict], sql: dict, keys: str
 
 # Scalars
 
-scalar("p01_fold_accents", "budget_items", lambda: {"marks": text.fold_accents(F.col("description")), "plain": text.fold_accents(F.concat("description", F.lit(" m²x a—b")), True)}, {"marks": "strip_accents(lower(description))", "plain": "regexp_replace(strip_accents(lower(concat(description, ' m²x a—b'))), '[^\\x00-\\x7F]', '', 'g')"})
-scalar("p02_item_type_key", "budget_items", lambda: {"item_type": text.item_type_key(F.col("description"))}, {"item_type": ITEM_KEY.format("description")})
-scalar("p03_description_key", "budget_items", lambda: {"key": text.description_key(F.col("description"))}, {"key": key_sql("description")})
-scalar("p04_primary_noun", "budget_items", lambda: {"noun": text.primary_noun(F.col("description"))}, {"noun": noun_sql("description")})
+#: The descriptions with letters and marks apart, as file names of some systems have them, and letters of other languages.
+DECOMPOSED = "concat(description, ' \u0161a\u015f \u0151 \u01d7 a\u0308\u0301')"
+for _letter in "áãâéêíóôõúç":
+    DECOMPOSED = f"replace({DECOMPOSED}, '{_letter}', '{unicodedata.normalize('NFD', _letter)}')"
+scalar("p01_fold_accents", "budget_items", lambda: {"marks": text.fold_accents(F.col("description")), "plain": text.fold_accents(F.concat("description", F.lit(" m²x a—b")), True), "apart": text.fold_accents(F.expr(DECOMPOSED))}, {"marks": "strip_accents(lower(description))", "apart": f"strip_accents(lower({DECOMPOSED}))", "plain": "regexp_replace(strip_accents(lower(concat(description, ' m²x a—b'))), '[^\\x00-\\x7F]', '', 'g')"})
+scalar("p02_item_type_key", "budget_items", lambda: {"item_type": text.item_type_key(F.col("description")), "apart": text.item_type_key(F.expr(DECOMPOSED))}, {"item_type": ITEM_KEY.format("description"), "apart": ITEM_KEY.format(DECOMPOSED)})
+
+
+@query("p03_description_key", "budget_items", f"""+ k AS MATERIALIZED (SELECT description, {key_sql('description')} AS key, {key_sql(DECOMPOSED)} AS apart FROM (SELECT DISTINCT description FROM budget_items)) SELECT job_id, seq, key, apart FROM budget_items JOIN k USING (description)""")
+def p03(s, d):
+    return items(s, d).select("job_id", "seq", text.description_key(F.col("description")).alias("key"), text.description_key(F.expr(DECOMPOSED)).alias("apart"))
+
+
+scalar("p04_primary_noun", "budget_items", lambda: {"noun": text.primary_noun(F.col("description")), "apart": text.primary_noun(F.expr(DECOMPOSED))}, {"noun": noun_sql("description"), "apart": noun_sql(DECOMPOSED)})
 STOP = "(" + ", ".join(f"'{w}'" for w in rules.SEARCH_STOP_WORDS) + ")"
 KEYWORDS = "list_filter(string_split_regex(regexp_replace(regexp_replace(strip_accents(lower({0})), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda t: length(t) >= 4 AND t NOT IN " + STOP + ")[1:5]"
-scalar("p05_search_keywords", "budget_items", lambda: {"words": F.array_join(text.search_keywords(F.col("description")), " ")}, {"words": f"coalesce(array_to_string({KEYWORDS.format('description')}, ' '), '')"})
+scalar("p05_search_keywords", "budget_items", lambda: {"words": F.array_join(text.search_keywords(F.col("description")), " "), "apart": F.array_join(text.search_keywords(F.expr(DECOMPOSED)), " ")}, {"words": f"coalesce(array_to_string({KEYWORDS.format('description')}, ' '), '')", "apart": f"coalesce(array_to_string({KEYWORDS.format(DECOMPOSED)}, ' '), '')"})
 MTEXT = r"\\[fF][^;]*;|\\[cC][0-9]+;|\\[LlOoKk]|\\[Pp]|\\[SsQqHhWwTt][^;]*;|\\~|[{}]"
 scalar("p06_strip_mtext", "cad_texts", lambda: {"plain": text.strip_mtext(F.concat(F.lit("{\\fArial|b0;\\C256; "), "text", F.lit("\\P\\H1.5x;x}")))}, {"plain": f"trim(regexp_replace(regexp_replace(concat('{{\\fArial|b0;\\C256; ', text, '\\P\\H1.5x;x}}'), '{MTEXT}', ' ', 'g'), '[ \\t]+', ' ', 'g'))"}, "file_id, seq")
 scalar("p07_layer_base_name", "cad_blocks", lambda: {"base": text.layer_base_name(F.col("layer"))}, {"base": "nullif(trim(regexp_replace(layer, '^[^|]*[|]', '')), '')"}, "file_id, seq")
@@ -275,19 +286,28 @@ def s03(s, d):
 @query("s04_upsert_by_key", "price_catalog", """ SELECT codigo, CASE WHEN max(seq) >= 100000000 THEN 'repetido' ELSE max_by(descricao, seq) END AS descricao, max_by(unidade, seq) AS unidade FROM price_catalog GROUP BY codigo""")
 def s04(s, d):
     rows = fixture(s, d, "price_catalog").select("codigo", "descricao", "unidade", "seq")
-    return rep.upsert(rows.where("seq % 2 = 0 and seq < 100000000").drop("seq"), rows, ["codigo"], "seq")
+    path = f"{work_folder(s)}/catalog"
+    store.create(rows.where("seq % 2 = 0 and seq < 100000000").drop("seq"), path, ["codigo"])
+    store.upsert_stored(s, path, rows, ["codigo"], "seq")
+    return store.stored(s, path)
 
 
 @query("s05_patch_by_key", "catalog_familia", " SELECT id, CASE WHEN id % 3 = 0 THEN 'novo' ELSE name END AS name, grupo_id FROM catalog_familia")
 def s05(s, d):
     fam = fixture(s, d, "catalog_familia").select("id", "name", "grupo_id")
-    return rep.patch(fam, fam.select("id", F.when(F.col("id") % 3 == 0, "novo").alias("name")), "id")
+    path = f"{work_folder(s)}/familia"
+    store.create(fam, path, ["id"])
+    store.patch_stored(s, path, fam.where("id % 2 = 1 OR id % 3 = 0").select("id", F.when(F.col("id") % 3 == 0, "novo").alias("name")), "id")
+    return store.stored(s, path)
 
 
-@query("s06_append_facts", "sender_log", " SELECT sender_id, seq, substring(text, 1, 2000) AS question, nullif(CASE WHEN role = 'user' THEN '' ELSE role END, '') AS error FROM sender_log")
+@query("s06_append_facts", "sender_log", " SELECT sender_id, seq, substring(text, 1, 2000) AS question, nullif(CASE WHEN role = 'user' THEN '' ELSE role END, '') AS error, 'user' AS source, 'p1' AS project_id, CASE WHEN seq % 2 = 0 THEN 'a' ELSE 'b' END AS run FROM sender_log")
 def s06(s, d):
     log = fixture(s, d, "sender_log").select("sender_id", "seq", F.col("text").alias("question"), F.when(F.col("role") == "user", "").otherwise(F.col("role")).alias("error"))
-    return io.fact_rows(log)
+    path, stamps = f"{work_folder(s)}/facts", {"source": "user", "project_id": "p1"}
+    for run, rest in (("a", 0), ("b", 1), ("b", 1)):  # the second run twice
+        store.append_stored(log.where(F.col("seq") % 2 == rest), path, run, stamps)
+    return s.read.parquet(path)
 
 
 def work_folder(s: SparkSession) -> str:
@@ -357,10 +377,11 @@ def j05(s, d):
     return den.fuzzy_match(items(s, d), revised)
 
 
-RAW_SQL = f"""+ raw AS (SELECT job_id, seq, typology, {ITEM_KEY.format('description')} AS item_type, unit, round(quantity / ref_area, 6) AS density, familia_id, CAST(job_id AS VARCHAR) AS project_label FROM item_areas WHERE ref_area > 0 AND quantity / ref_area > 0 AND quantity / ref_area <= 100),
+RAW_SQL = f"""+ parsed AS (SELECT job_id, seq, typology, {ITEM_KEY.format('description')} AS item_type, unit, round(quantity / ref_area, 6) AS density, familia_id, CAST(job_id AS VARCHAR) AS project_label FROM item_areas WHERE ref_area > 0 AND quantity / ref_area > 0 AND quantity / ref_area <= 100),
+    raw AS (SELECT * FROM parsed QUALIFY row_number() OVER (PARTITION BY typology, item_type, unit, project_label ORDER BY seq DESC) = 1),
     lv AS (SELECT r.*, k.level, k.level_id FROM raw r LEFT JOIN catalog USING (familia_id), LATERAL (SELECT 'familia' AS level, r.familia_id AS level_id UNION ALL SELECT 'grupo', grupo_id UNION ALL SELECT 'capitulo', capitulo_id) k WHERE r.familia_id IS NOT NULL AND k.level_id IS NOT NULL AND density > 0),
     sums AS (SELECT typology, level, level_id, unit, project_label, sum(density) AS d FROM lv GROUP BY ALL),
-    bench AS (SELECT typology, level, level_id, unit, CAST(round(round(CAST(avg(d) AS DECIMAL(30, 12)), 12), 6) AS DOUBLE) AS mean, CAST(round(round(CAST(coalesce(stddev_samp(d), 0) AS DECIMAL(30, 12)), 12), 6) AS DOUBLE) AS stddev, CAST(round(round(CAST(min(d) AS DECIMAL(30, 12)), 12), 6) AS DOUBLE) AS min_value, CAST(round(round(CAST(max(d) AS DECIMAL(30, 12)), 12), 6) AS DOUBLE) AS max_value, count(*) AS n_projects, concat(level, ':', level_id) AS item_type FROM sums GROUP BY typology, level, level_id, unit)"""
+    bench AS MATERIALIZED (SELECT typology, level, level_id, unit, CAST(round(round(CAST(avg(d) AS DECIMAL(30, 12)), 12), 6) AS DOUBLE) AS mean, CAST(round(round(CAST(coalesce(stddev_samp(d), 0) AS DECIMAL(30, 12)), 12), 6) AS DOUBLE) AS stddev, CAST(round(round(CAST(min(d) AS DECIMAL(30, 12)), 12), 6) AS DOUBLE) AS min_value, CAST(round(round(CAST(max(d) AS DECIMAL(30, 12)), 12), 6) AS DOUBLE) AS max_value, count(*) AS n_projects, concat(level, ':', level_id) AS item_type FROM sums GROUP BY typology, level, level_id, unit)"""
 BENCH_SQL = CATALOG_SQL + ", " + RAW_SQL.lstrip("+")
 BENCH = "item_areas " + CATALOG
 
@@ -426,9 +447,9 @@ def j10(s, d):
     return take.categorize(fixture(s, d, "cad_blocks")).select("file_id", "seq", "category")
 
 
-@query("j11_uncategorized_blocks", "cad_blocks", f" SELECT file_id, seq, name FROM cad_blocks WHERE {COUNTABLE} AND len({CATEGORIZED}) = 0")
+@query("j11_uncategorized_blocks", "cad_blocks", f"+ named AS (SELECT file_id, name, arg_min(layer, seq) AS layer, count(*) AS n FROM cad_blocks WHERE {COUNTABLE} GROUP BY file_id, name) SELECT file_id, name, layer, n, 'verificar' AS confidence FROM named WHERE len({CATEGORIZED}) = 0")
 def j11(s, d):
-    return take.uncategorized(fixture(s, d, "cad_blocks")).select("file_id", "seq", "name")
+    return take.uncategorized(fixture(s, d, "cad_blocks"))
 
 
 @query("j12_project_reference_area", "budget_items projects", " SELECT i.job_id, seq, typology, coalesce(project_name, concat('job_', i.job_id)) AS project_label, coalesce(nullif(layout_area, 0), total_area, 0) AS ref_area FROM budget_items i LEFT JOIN projects p ON i.job_id = p.job_id")
@@ -464,7 +485,7 @@ def a03(s, d):
     return den.calibration_factors(calib(s, d))
 
 
-CONSOLIDATED = f"""+ k AS (SELECT *, {key_sql('description')} AS key, round(quantity, 2) AS q FROM budget_items), w AS (SELECT *, count(*) OVER g AS n, max(q) OVER g AS most, min(q) OVER g AS least, round(sum(q) OVER g, 2) AS total, min(seq) OVER g AS head,
+CONSOLIDATED = f"""+ keys AS MATERIALIZED (SELECT description, {key_sql('description')} AS key FROM (SELECT DISTINCT description FROM budget_items)), k AS (SELECT *, round(quantity, 2) AS q FROM budget_items JOIN keys USING (description)), w AS (SELECT *, count(*) OVER g AS n, max(q) OVER g AS most, min(q) OVER g AS least, round(sum(q) OVER g, 2) AS total, min(seq) OVER g AS head,
     row_number() OVER (PARTITION BY job_id, key, unit ORDER BY length(description) DESC, seq) AS place FROM k WINDOW g AS (PARTITION BY job_id, key, unit)),
     pass1 AS (SELECT job_id, item_num, CASE WHEN n >= 4 AND most < 2 THEN concat(trim(split_part(split_part(split_part(split_part(split_part(description, ' - ', 1), ' — ', 1), ' departamento ', 1), ' deptos ', 1), ' da sala ', 1)), ' (várias variantes)') ELSE description END AS description,
     unit, CASE WHEN n >= 4 AND most < 2 THEN total ELSE quantity END AS quantity, CASE WHEN n >= 4 AND most < 2 THEN 'estimado' ELSE confidence END AS confidence, discipline, row_number() OVER (PARTITION BY job_id ORDER BY head, seq) AS seq FROM w WHERE place = 1 OR (NOT (n >= 4 AND most < 2) AND most <> least))"""
@@ -511,17 +532,17 @@ def a11(s, d):
     return take.unit_sanity(fixture(s, d, "cad_lines"), fixture(s, d, "cad_files"))
 
 
-def by_category_sql(rows: str, value: str, word: str, unit: str) -> str:
-    return f"""SELECT file_id, category, concat('{word} ', category), CAST(round(round(CAST(sum({value}) AS DECIMAL(30, 8)), 8), 2) AS DOUBLE), '{unit}', 'confirmado' FROM (SELECT file_id, {value}, unnest({categories_sql('layer')}) AS category FROM {rows}) WHERE {value} > 0 GROUP BY file_id, category"""
+def by_category_sql(rows: str, value: str, words: tuple, unit: str) -> str:
+    return f"""SELECT file_id, category, CASE category {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in words[1].items())} ELSE concat('{words[0]}', category) END, CAST(round(round(CAST(sum({value}) AS DECIMAL(30, 8)), 8), 2) AS DOUBLE), '{unit}', 'confirmado' FROM (SELECT file_id, {value}, unnest({categories_sql('layer')}) AS category FROM {rows}) WHERE {value} > 0 GROUP BY file_id, category"""
 
 
-@query("a12_takeoff_items", "cad_blocks cad_lines cad_dims cad_files", f""", {POINTS}, ok AS (SELECT * FROM cad_blocks WHERE {COUNTABLE}), named AS (SELECT file_id, name, arg_min(layer, seq) AS layer, CAST(count(*) AS DOUBLE) AS quantity FROM ok GROUP BY file_id, name),
+@query("a12_takeoff_items", "cad_blocks cad_lines cad_dims cad_files", f""", {POINTS.replace(" AS (", " AS MATERIALIZED (", 1)}, ok AS (SELECT * FROM cad_blocks WHERE {COUNTABLE}), named AS MATERIALIZED (SELECT file_id, name, arg_min(layer, seq) AS layer, CAST(count(*) AS DOUBLE) AS quantity FROM ok GROUP BY file_id, name),
     measured AS (SELECT file_id, layer, {LENGTH_SQL} AS length FROM cad_lines JOIN cad_files USING (file_id)), hatched AS (SELECT p.file_id, CASE WHEN p.seq % 2 = 0 THEN 'A-PISO' ELSE 'FOR-GESSO' END AS layer, abs(sum(p.x * q.y - q.x * p.y)) / 2 AS area FROM poly p JOIN poly q ON p.seq = q.seq AND q.i = (p.i + 1) % 32 GROUP BY p.file_id, p.seq),
     dims AS (SELECT file_id, CASE WHEN d.measurement IS NOT NULL THEN coalesce(nullif(label, ''), 'cota') ELSE label END AS label, round(d.measurement * factor, 3) AS metres FROM cad_dims d JOIN (SELECT file_id, {FACTOR} AS factor FROM cad_files) USING (file_id) WHERE CASE WHEN d.measurement IS NOT NULL THEN abs(d.measurement * factor) >= 0.001 ELSE coalesce(label, '') NOT IN ('', '0') END)
-    SELECT *, {DISCIPLINE_SQL} AS discipline FROM (
+    SELECT *, coalesce({DISCIPLINE_SQL}, '') AS discipline FROM (
     SELECT file_id, unnest({CATEGORIZED}) AS category, name AS description, quantity, 'un' AS unit, 'confirmado' AS confidence FROM named UNION ALL SELECT file_id, NULL, name, quantity, 'un', 'verificar' FROM named WHERE len({CATEGORIZED}) = 0
-    UNION ALL {by_category_sql('measured', 'length', 'Comprimento', 'm')} UNION ALL {by_category_sql('hatched', 'area', 'Área', 'm²')}
-    UNION ALL SELECT file_id, NULL, concat('Cota: ', label, coalesce(' = ' || printf('%.3f', metres) || ' m', '')), 0.0, 'un', 'verificar' FROM dims)""")
+    UNION ALL {by_category_sql('measured', 'length', rules.LENGTH_NAMES, 'm')} UNION ALL {by_category_sql('hatched', 'area', rules.AREA_NAMES, 'm²')}
+    UNION ALL SELECT file_id, NULL, concat('Cota: ', label), 0.0, 'm', 'verificar' FROM dims)""")
 def a12(s, d):
     areas = polylines(s, d).select("file_id", F.when(F.col("seq") % 2 == 0, "A-PISO").otherwise("FOR-GESSO").alias("layer"), geometry.polygon_area(F.array("points")).alias("area"))
     return take.takeoff_items(fixture(s, d, "cad_blocks"), fixture(s, d, "cad_lines"), fixture(s, d, "cad_files"), areas, p37(s, d))
@@ -573,9 +594,9 @@ def a20(s, d):
     return cat.catalog_outline(full_catalog(s, d))
 
 
-@query("a21_run_summary", BENCH, BENCH_SQL + " SELECT count(*) AS parsed, count(familia_id) AS classified, string_agg(DISTINCT typology, ',' ORDER BY typology) AS typologies FROM raw")
+@query("a21_run_summary", BENCH, BENCH_SQL + " SELECT count(*) AS parsed, count(familia_id) AS classified, string_agg(DISTINCT typology, ',' ORDER BY typology) AS typologies FROM parsed")
 def a21(s, d):
-    return den.raw_densities(fixture(s, d, "item_areas")).agg(F.count("*").alias("parsed"), F.count("familia_id").alias("classified"), F.array_join(F.array_sort(F.collect_set("typology")), ",").alias("typologies"))
+    return den.density_rows(fixture(s, d, "item_areas")).agg(F.count("*").alias("parsed"), F.count("familia_id").alias("classified"), F.array_join(F.array_sort(F.collect_set("typology")), ",").alias("typologies"))
 
 
 @query("a22_cad_digest")
@@ -586,8 +607,7 @@ def a22(s, d):
 # Windows, lists, sets
 
 
-@query("w01_fill_section", "budget_items", """ SELECT b.job_id, b.seq * 2 AS seq, b.item_num AS a, array_to_string(list_transform(string_split(lower(h.discipline), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS discipline
-    FROM budget_items b JOIN budget_items h ON h.job_id = b.job_id AND h.seq = (b.seq - 1) // 10 * 10 + 1""")
+@query("w01_fill_section", "budget_items", """ SELECT job_id, seq * 2 AS seq, item_num AS a, array_to_string(list_transform(string_split(lower(first_value(discipline) OVER (PARTITION BY job_id, (seq - 1) // 10 ORDER BY seq)), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS discipline FROM budget_items""")
 def w01(s, d):
     return den.fill_section(cells(s, d)).where("discipline is not null").select("job_id", "seq", "a", "discipline")
 
@@ -675,7 +695,8 @@ def u03(s, d):
     return take.categorize(fixture(s, d, "cad_blocks")).select("file_id", "name", "category").distinct()
 
 
-@query("u04_token_overlap", "budget_revised", f" SELECT b.job_id, b.seq, CAST(len(list_intersect({key_tokens('b.description')}, {key_tokens('r.description')})) AS INTEGER) AS shared FROM budget_items b JOIN budget_revised r ON b.job_id = r.job_id AND b.seq = r.seq")
+@query("u04_token_overlap", "budget_revised", f"""+ t AS MATERIALIZED (SELECT description, {key_tokens('description')} AS tokens FROM (SELECT description FROM budget_items UNION SELECT description FROM budget_revised))
+    SELECT b.job_id, b.seq, CAST(len(list_intersect(x.tokens, y.tokens)) AS INTEGER) AS shared FROM budget_items b JOIN budget_revised r ON b.job_id = r.job_id AND b.seq = r.seq JOIN t x ON x.description = b.description JOIN t y ON y.description = r.description""")
 def u04(s, d):
     r = fixture(s, d, "budget_revised").select("job_id", "seq", F.col("description").alias("other"))
     return items(s, d).join(r, ["job_id", "seq"]).select("job_id", "seq", text.token_overlap(text.description_tokens(F.col("description")), text.description_tokens(F.col("other"))).alias("shared"))

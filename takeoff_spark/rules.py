@@ -9,9 +9,9 @@ KEY_SEPARATORS = (" - ", " — ", " / ", " departamento ", " deptos ", " do dept
 VARIANT_SEPARATORS = (" - ", " — ", " departamento ", " deptos ", " da sala ")
 SEARCH_STOP_WORDS = "de do da em com para tipo modelo novo nova existente conforme execucao fornecimento instalacao".split()
 
-#: Latin letters with marks and their plain forms.
-MARKED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyy"
+# Names of lengths and areas by category, others are the prefix and the category.
+LENGTH_NAMES = ("Comprimento linear — ", {"paredes": "Parede drywall nova", "demolicao": "Demolição de parede existente"})
+AREA_NAMES = ("Área — ", {"pintura": "Pintura (área hachurada)", "piso": "Piso (área hachurada)", "forro": "Forro (área hachurada)"})
 
 FIXED_UNITS = ("vb", "%", "mês", "mes", "dia", "h")
 COUNT_WORDS = (

@@ -70,8 +70,8 @@ SQL = {
 NEEDS = {"budget_items": ["items_raw"], "budget_revised": ["budget_items"], "item_areas": ["budget_items", "projects"], "cad_files": ["projects"], "cad_lines": ["items_raw"], "cad_blocks": ["items_raw"], "cad_dims": ["items_raw"]}
 
 
-def with_sql(*names: str) -> str:
-    """A WITH clause that defines the named adapters and what they need."""
+def with_sql(*names: str, materialized: bool = False) -> str:
+    """A WITH clause that defines the named adapters and what they need; ``materialized``: as the oracle may write it."""
     order: list[str] = []
 
     def add(name: str) -> None:
@@ -82,7 +82,7 @@ def with_sql(*names: str) -> str:
 
     for n in names:
         add(n)
-    return "WITH " + ",\n".join(f"{n} AS ({SQL[n]})" for n in order)
+    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' * materialized}({SQL[n]})" for n in order)
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -66,4 +66,4 @@ def test_takeoff_takes_areas_dimensions_and_null_layers(spark):
     dims = spark.createDataFrame([(1, 1, "cota", 3.25)], "file_id long, seq long, label string, metres double")
     got = {(r.description, r.quantity, r.unit, r.confidence) for r in takeoff.takeoff_items(blocks, lines, files, areas, dims).collect()}
     assert ("porta_1", 2.0, "un", "confirmado") in got and ("zzz", 1.0, "un", "verificar") in got
-    assert any(u == "m²" and q == 3.5 for _, q, u, _ in got) and ("Cota: cota = 3.250 m", 0.0, "un", "verificar") in got
+    assert any(u == "m²" and q == 3.5 for _, q, u, _ in got) and ("Cota: cota", 0.0, "m", "verificar") in got
