@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..rules import ANNOTATION_NAMES, ANNOTATION_PATTERN, CATEGORIES, CATEGORY_DISCIPLINE, OPENING_PATTERN, SHEET_PATTERNS, SHEET_PRIORITY, UTILITY_LAYERS, XREF_PATTERN
+from ..rules import ANNOTATION_NAMES, ANNOTATION_PATTERN, CATEGORIES, CATEGORY_DISCIPLINE, NAME_SEPARATORS, OPENING_PATTERN, SHEET_PATTERNS, SHEET_PRIORITY, UTILITY_LAYERS, XREF_PATTERN
 
 
 def sheet_type(name: Column) -> Column:
@@ -23,7 +23,7 @@ def sheet_priority(kind: Column) -> Column:
 
 def categories(name: Column) -> Column:
     """All categories of which a token of the name starts with a keyword, in table order."""
-    tokens = F.split(F.upper(F.coalesce(name, F.lit(""))), r"[-_\s./\\|:]+")
+    tokens = F.split(F.upper(F.coalesce(name, F.lit(""))), NAME_SEPARATORS)
 
     def starts(keys: str):
         return lambda t: t.rlike("^(" + "|".join(keys.split()) + ")")

@@ -14,8 +14,10 @@ def unit_factor(code: Column, measurement: Column) -> Column:
     return out.when(measurement == 0, 0.3048).otherwise(0.001)
 
 
-def line_length(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    return F.sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))
+def line_length(x1: Column, y1: Column, x2: Column, y2: Column, dz: Column | None = None) -> Column:
+    """Length in the plane, or in space where ``dz`` is given (null counts as 0)."""
+    flat = (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)
+    return F.sqrt(flat if dz is None else flat + F.coalesce(dz, F.lit(0.0)) * F.coalesce(dz, F.lit(0.0)))
 
 
 def _segment(p: Column, q: Column, bulge: Column) -> Column:

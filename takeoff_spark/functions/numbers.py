@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..rules import COUNT_WORDS, FIXED_UNITS, LINEAR_WORDS, PRICE_LEAST, PRICE_SHEET, SURFACE_WORDS, UNIT_MISMATCHES, UNIT_PRIORITY, UNIT_RANGES
+from ..rules import COUNT_WORDS, FIXED_UNITS, LINEAR_WORDS, MISMATCH_REASONS, PRICE_LEAST, PRICE_SHEET, SURFACE_WORDS, UNIT_MISMATCHES, UNIT_PRIORITY, UNIT_RANGES
 
 
 def rounded(c: Column, n: int) -> Column:
@@ -95,6 +95,24 @@ def line_total(q: Column, material: Column, labour: Column) -> Column:
     return F.nullif(q, F.lit(0.0)) * (F.coalesce(material, F.lit(0.0)) + F.coalesce(labour, F.lit(0.0)))
 
 
+def implausible_text(unit: Column, q: Column, discipline: Column, area: Column) -> Column:
+    """What is said of the first failing rule; null where all hold."""
+    u = F.when(F.coalesce(unit, F.lit("")) == "", "vb").otherwise(unit)
+    code, amount = implausible(unit, q, discipline, area), F.coalesce(q, F.lit(0.0))
+    most = F
+    for name, (_, top) in UNIT_RANGES.items():
+        most = most.when(u == name, str(top))
+    odd = F
+    for (name, wrong), reason in MISMATCH_REASONS.items():
+        odd = odd.when((discipline == name) & (u == wrong), reason)
+    whole = lambda c: F.bround(c, 0).cast("decimal(38,0)").cast("string")
+    large = F.concat(F.lit("área "), F.format_string("%.1f", amount), F.lit(" m² é maior que 1.5× área da laje ("), whole(area), F.lit(" m²) — possível dupla contagem"))
+    return (
+        F.when(code == "high", F.concat(whole(amount), F.lit(" "), u, F.lit(" é alto demais pro tipo (max típico "), most, F.lit(")")))
+        .when(code == "negative", F.concat(amount.cast("string"), F.lit(" "), u, F.lit(" é negativo"))).when(code == "mismatch", odd.otherwise("")).when(code == "area", large)
+    )
+
+
 def sheets_of_file(name: Column, pages: Column, layouts: Column) -> Column:
     """Sheets by file type: PDF pages, DXF paper layouts other than the model, else one."""
     ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import fold_accents, search_keywords
+from .report import patch
 
 def denormalize_catalog(familia: DataFrame, grupo: DataFrame, capitulo: DataFrame) -> DataFrame:
     """One row per familia with its grupo and capitulo (left joins)."""
@@ -83,6 +87,53 @@ def classify_items(items: DataFrame, catalog: DataFrame) -> DataFrame:
     return items.join(found, ["description", "unit"], "left").withColumn("confidence_score", F.coalesce("confidence_score", F.lit(0.0)))
 
 
+PREDICTED = "key string, familia_code string, confidence double, attributes map<string,string>, reasoning string"
+
+
+def predict_in_batches(rows: DataFrame, predict: Callable[[list[dict]], list[dict]], size: int = 20) -> DataFrame:
+    """What ``predict`` says of rows (key, description, unit), ``size`` of them a call.
+
+    ``predict`` takes a list of dicts and gives dicts with key, familia_code, confidence and, if it likes, attributes and
+    reasoning, in any order. Keys that it leaves out, and what isn't asked for, count as unsure: null family, confidence
+    0. Confidence is kept within 0 to 1, reasoning cut to 200 characters. An error of the predictor fails the task, which is tried again.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at in range(0, len(f), size):
+                batch = f.iloc[at : at + size].to_dict("records")
+                said = {str(r.get("key", "")).strip(): r for r in predict(batch)}
+                out = []
+                for b in batch:
+                    r = said.get(b["key"].strip(), {})
+                    code = r.get("familia_code") or None
+                    out.append((b["key"], code, min(1.0, max(0.0, float(r.get("confidence") or 0))), {str(k): str(v) for k, v in (r.get("attributes") or {}).items()}, str(r.get("reasoning") or "")[:200]))
+                yield pd.DataFrame(out, columns=["key", "familia_code", "confidence", "attributes", "reasoning"])
+
+    return rows.select("key", "description", "unit").mapInPandas(run, PREDICTED)
+
+
+def classify_with(items: DataFrame, catalog: DataFrame, predict: Callable[[list[dict]], list[dict]], size: int = 20) -> DataFrame:
+    """Adds what a predictor says of each distinct description (first 200 characters) and unit, and the ids of its familia; an unknown code has none.
+
+    Descriptions of fewer than three characters aren't asked about: null, 0, no attributes.
+    """
+    d, u = F.substring(F.lower(F.trim(F.coalesce("description", F.lit("")))), 1, 200), F.lower(F.coalesce("unit", F.lit("")))
+    rows = items.withColumn("key", F.sha2(F.concat_ws("|", d, u), 256)).withColumn("asked", F.length(d) >= 3)
+    distinct = rows.where("asked").groupBy("key").agg(F.min("description").alias("description"), F.min("unit").alias("unit"))
+    ids = catalog.select("familia_code", "familia_id", "grupo_id", "capitulo_id")
+    said = predict_in_batches(distinct, predict, size).join(ids, "familia_code", "left")
+    none = F.create_map().cast("map<string,string>")
+    return rows.join(said, "key", "left").drop("key", "asked").withColumns({"confidence": F.coalesce("confidence", F.lit(0.0)), "attributes": F.coalesce("attributes", none), "reasoning": F.coalesce("reasoning", F.lit(""))})
+
+
+def classify_codes(codes: DataFrame, catalog: DataFrame, predict: Callable[[list[dict]], list[dict]], size: int = 20) -> DataFrame:
+    """Price rows (codigo, descricao, unidade, familia_id) of which those without a familia were asked about, in batches; what is unsure or unknown stays open."""
+    asked = codes.where("familia_id IS NULL").select(F.col("codigo").alias("key"), F.col("descricao").alias("description"), F.coalesce("unidade", F.lit("")).alias("unit"))
+    said = predict_in_batches(asked, predict, size).join(catalog.select("familia_code", "familia_id"), "familia_code").select(F.col("key").alias("codigo"), "familia_id")
+    return patch(codes, said, "codigo")
+
+
 def pending(rows: DataFrame, order: Column, n: int | None = None) -> DataFrame:
     """Rows without a familia, oldest first; ``n`` limits the batch."""
     out = rows.where("familia_id is null").orderBy(order)

@@ -41,10 +41,24 @@ def sum_by_layer(rows: DataFrame, value: str) -> DataFrame:
     return rows.groupBy("file_id", "layer").agg(rounded(F.sum(value), 3).alias(value), F.count("*").alias("n"))
 
 
-def block_counts(blocks: DataFrame) -> DataFrame:
-    """Per file and countable block: number, first layer, smallest and largest position."""
+def block_counts(blocks: DataFrame, extents: DataFrame, files: DataFrame) -> DataFrame:
+    """Per file and countable block: number, first layer and, of openings, median width and height in metres.
+
+    extents: block, w, h in drawing units (``block_bbox``). A size is its extent times the insert's scale and the file's factor, and
+    counts where both sides lie between 0.1 and 10 m; without one both are 0. Positions: ``block_positions``.
+    """
+    rows = with_factor(blocks.where(classify.is_countable(F.col("name"), F.col("layer"))), files).join(extents.select(F.col("block").alias("name"), F.col("w").alias("bw"), F.col("h").alias("bh")), "name", "left")
+    scale = lambda c: F.when(F.coalesce(F.col(c), F.lit(0.0)) == 0, 1.0).otherwise(F.col(c))
+    w, h = F.abs(F.col("bw") * scale("xscale") * F.col("factor")), F.abs(F.col("bh") * scale("yscale") * F.col("factor"))
+    sized = classify.is_opening(F.col("name")) & (w > 0.1) & (w < 10) & (h > 0.1) & (h < 10)
+    middle = lambda c: rounded(F.coalesce(F.median(F.when(sized, c)), F.lit(0.0)), 2)
+    return rows.groupBy("file_id", "name").agg(F.count("*").alias("n"), F.min_by("layer", "seq").alias("layer"), middle(w).alias("width_m"), middle(h).alias("height_m"))
+
+
+def block_positions(blocks: DataFrame) -> DataFrame:
+    """Where each countable block of a file stands, in order: a row each, as a name may stand anywhere a million times."""
     rows = blocks.where(classify.is_countable(F.col("name"), F.col("layer")))
-    return rows.groupBy("file_id", "name").agg(F.count("*").alias("n"), F.min_by("layer", "seq").alias("layer"), rounded(F.min("x"), 2).alias("min_x"), rounded(F.max("x"), 2).alias("max_x"), rounded(F.median("xscale"), 2).alias("median_scale"), F.first(classify.is_opening(F.col("name"))).alias("opening"))
+    return rows.select("file_id", "name", "seq", rounded(F.col("x"), 2).alias("x"), rounded(F.col("y"), 2).alias("y"))
 
 
 def block_bbox(points: DataFrame) -> DataFrame:
@@ -128,9 +142,36 @@ def prefer_new_phase(layers: DataFrame) -> DataFrame:
     return old.join(new, ["file_id", "suffix"], "left_anti").unionByName(rows.where(~F.col("layer").startswith("LEV-"))).drop("suffix")
 
 
-def digest(blocks: DataFrame, lines: DataFrame, files: DataFrame) -> DataFrame:
-    """One text per file: layers, block counts, lengths by layer."""
-    layers = distinct_layers(lines).groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_list("layer")), ", ").alias("layers"))
-    counts = block_counts(blocks).groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "name"))), lambda x: F.concat(x["name"], F.lit(": "), (-x["o"]).cast("string"))), ", ").alias("blocks"))
-    lengths = sum_by_layer(line_lengths(lines, files), "length").groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("layer", F.lit(": "), F.round("length", 1).cast("string")))), ", ").alias("lengths"))
-    return layers.join(counts, "file_id", "full").join(lengths, "file_id", "full").select("file_id", F.concat_ws("\n", F.concat(F.lit("Layers: "), "layers"), F.concat(F.lit("Blocos: "), "blocks"), F.concat(F.lit("Comprimentos: "), "lengths")).alias("digest"))
+def digest(layers: DataFrame, counts: DataFrame, lengths: DataFrame, areas: DataFrame, texts: DataFrame, dims: DataFrame, most_texts: int = 50) -> DataFrame:
+    """One text per file, in seven sections: layers, openings with their sizes, other blocks, lengths, areas, texts and dimensions.
+
+    layers: file_id, layer as drawn; counts: ``block_counts``; lengths and areas: file_id, layer and length or area;
+    texts: file_id, layer, text; dims: file_id, seq, label, metres. A section without rows is left out.
+    """
+    line = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    two = lambda c: F.format_string("%.2f", rounded(c, 2))
+
+    def section(rows: DataFrame, place: int, title, order, text) -> DataFrame:
+        lists = rows.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct(*order, text.alias("line")))).alias("found"))
+        return lists.select("file_id", F.lit(place).alias("place"), line(title, "\n", F.array_join(F.transform("found", lambda x: line("  ", x["line"])), "\n")).alias("section"))
+
+    sized = F.col("width_m") > 0
+    by_count = [(-F.col("n")).alias("o"), F.col("name")]
+    area = rounded(F.col("width_m") * F.col("height_m"), 2)
+    opening = line(F.col("name"), ": ", F.col("n").cast("string"), " un | ", two(F.col("width_m")), " m × ", two(F.col("height_m")), " m = ", two(area), " m²")
+    per_layer = lambda rows, value: rows.groupBy("file_id", "layer").agg(F.sum(value).alias("v"))
+    said = texts.withColumn("text", F.trim("text")).where(F.length("text") > 2).select("file_id", "layer", "text").distinct()
+    said = said.withColumn("r", F.row_number().over(Window.partitionBy("file_id", "layer").orderBy("text"))).where(F.col("r") <= most_texts)
+    parts = [
+        section(distinct_layers(layers), 1, "Layers", [], F.col("layer")),
+        section(counts.where(sized), 2, "Esquadrias", by_count, opening),
+        section(counts.where(~sized), 3, "Blocos", by_count, line(F.col("name"), ": ", F.col("n").cast("string"), " un")),
+        section(per_layer(lengths, "length"), 4, "Comprimentos por layer", [F.col("layer")], line(F.col("layer"), ": ", two(F.col("v")), " m")),
+        section(per_layer(areas, "area"), 5, "Áreas por layer", [F.col("layer")], line(F.col("layer"), ": ", two(F.col("v")), " m²")),
+        section(said, 6, "Textos", [F.col("layer"), F.col("text")], line("[", F.col("layer"), "] ", F.col("text"))),
+        section(dims, 7, "Cotas", [F.col("seq")], line(F.col("label"), F.when(F.col("metres").isNotNull(), line(": ", F.format_string("%.3f", "metres"), " m")).otherwise(""))),
+    ]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "section"))), lambda x: x["section"]), "\n").alias("digest"))

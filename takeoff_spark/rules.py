@@ -9,6 +9,17 @@ KEY_SEPARATORS = (" - ", " — ", " / ", " departamento ", " deptos ", " do dept
 VARIANT_SEPARATORS = (" - ", " — ", " departamento ", " deptos ", " da sala ")
 SEARCH_STOP_WORDS = "de do da em com para tipo modelo novo nova existente conforme execucao fornecimento instalacao".split()
 
+# Fixed value: an object with objects one level deep, as answers are searched for one.
+NESTED_OBJECT = r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"
+# Fixed value: what parts the words of a layer or block name.
+NAME_SEPARATORS = r"[-_\s./\\|:]+"
+# What is said of a discipline in a unit that doesn't suit it.
+MISMATCH_REASONS = {
+    ("Iluminação", "m²"): "luminárias se contam em 'un', não em área", ("Iluminação", "m"): "luminárias se contam em 'un', não em metros",
+    ("Pisos e Rodapés", "un"): "piso é superfície, deve ser m² — exceção: elementos pontuais como grelhas", ("Forros", "un"): "forro é superfície, deve ser m²",
+    ("Ar-Condicionado", "m²"): "equipamentos de AC são unidades, não área", ("Incêndio e Segurança", "m²"): "sprinklers/detectores são unidades", ("Portas e Ferragens", "m²"): "portas são unidades, não área",
+}
+
 # Names of lengths and areas by category, others are the prefix and the category.
 LENGTH_NAMES = ("Comprimento linear — ", {"paredes": "Parede drywall nova", "demolicao": "Demolição de parede existente"})
 AREA_NAMES = ("Área — ", {"pintura": "Pintura (área hachurada)", "piso": "Piso (área hachurada)", "forro": "Forro (área hachurada)"})

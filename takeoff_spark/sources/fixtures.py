@@ -54,18 +54,18 @@ SQL = {
     "cad_files": "SELECT job_id AS file_id, CASE job_id % 6 WHEN 0 THEN 0 WHEN 1 THEN 4 WHEN 2 THEN 5 WHEN 3 THEN 6 WHEN 4 THEN 2 ELSE 99 END AS insunits, CAST(job_id % 2 AS INT) AS measurement FROM projects",
     "cad_lines": f"""SELECT job_id AS file_id, seq, {pick('l_suppkey % 10', LAYERS)} AS layer, l_extendedprice / 10 AS x1, CAST(l_quantity AS DOUBLE) AS y1, l_extendedprice / 10 + l_quantity * 100 AS x2, l_tax * 1000 AS y2,
         CAST(l_quantity AS DOUBLE) AS radius, (l_discount * 3600) % 360 AS start_deg, (l_tax * 3600) % 360 AS end_deg FROM items_raw""",
-    "cad_blocks": f"""SELECT job_id AS file_id, seq, {pick('l_partkey % 16', BLOCKS)} AS name, {pick('l_suppkey % 10', LAYERS)} AS layer, l_extendedprice AS x, CAST(l_quantity AS DOUBLE) AS y, 1 + l_discount AS xscale FROM items_raw""",
+    "cad_blocks": f"""SELECT job_id AS file_id, seq, {pick('l_partkey % 16', BLOCKS)} AS name, {pick('l_suppkey % 10', LAYERS)} AS layer, l_extendedprice AS x, CAST(l_quantity AS DOUBLE) AS y, 1 + l_discount AS xscale, 1 + l_tax AS yscale, CAST(l_linenumber * 150 AS DOUBLE) AS ex, CAST(l_partkey % 15 * 150 AS DOUBLE) AS ey FROM items_raw""",
     "cad_dims": f"""SELECT job_id AS file_id, seq, {pick('l_suppkey % 10', LAYERS)} AS layer, CASE l_suppkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '0' ELSE concat('L=', CAST(l_linenumber AS VARCHAR(9))) END AS label,
         CASE WHEN l_partkey % 6 = 0 THEN NULL ELSE l_tax END AS measurement FROM items_raw""",
     "cad_texts": f"""SELECT doc_id % 20 AS file_id, doc_id AS seq, {pick('doc_id % 10', LAYERS)} AS layer, text FROM documents""",
     "sheets": f"SELECT doc_id % 50 AS job_id, doc_id AS seq, concat({pick('doc_id % 14', SHEETS)}, '-', CAST(doc_id AS VARCHAR(20)), '.pdf') AS filename, n_chars FROM documents",
     "messages": """SELECT concat('m', CAST(event_id - CASE WHEN event_id % 10 = 9 THEN 1 ELSE 0 END AS VARCHAR(20))) AS mid, user_id AS sender_id, CASE WHEN event_type = 'error' THEN '' ELSE concat(event_type, ' ', coalesce(props, '')) END AS text,
         event_id AS seq, ts, event_type, value FROM events""",
-    "sender_log": "SELECT conv_id % 20 AS sender_id, conv_id * 1000 + turn AS seq, role, text FROM conversations",
+    "sender_log": "SELECT conv_id % 20 AS sender_id, conv_id * 1000 + turn AS seq, role, text, CAST('2024-01-01' AS TIMESTAMP) + CAST((conv_id % 7) * 100 + turn AS INT) * INTERVAL '1' HOUR AS ts FROM conversations",
     "agent_runs": """SELECT CASE WHEN user_id % 13 = 0 THEN NULL ELSE user_id END AS job_id, event_id % 8 + 1 AS iterations, CAST(floor(value * 100) AS BIGINT) AS duration_ms, CASE WHEN event_type = 'error' THEN 'error' END AS error, ts AS created_at, event_id AS seq FROM events""",
     "profiles": """SELECT c_custkey AS user_id, substring(concat('55119', CAST(100000000 + c_custkey AS VARCHAR(20))), 1, CAST(9 + c_custkey % 4 AS INT)) AS whatsapp, substring(concat('12345', CAST(1000000000 + c_custkey AS VARCHAR(20))), 1, CASE c_custkey % 3 WHEN 0 THEN 10 WHEN 1 THEN 11 ELSE 14 END) AS tax_id,
         concat('code', CAST(c_custkey % 30 AS VARCHAR(9))) AS beta_code FROM customer""",
-    "invite_codes": """SELECT concat('CODE', CAST(n_nationkey AS VARCHAR(9))) AS code, n_nationkey % 4 <> 3 AS active, n_nationkey % 6 AS used_projects, 4 AS max_projects FROM nation""",
+    "invite_codes": """SELECT concat('CODE', CAST(n_nationkey AS VARCHAR(9))) AS code, n_nationkey % 4 <> 3 AS active, n_nationkey % 6 AS used_projects, 4 AS max_projects, CASE n_nationkey % 3 WHEN 0 THEN NULL WHEN 1 THEN CAST('2024-06-01' AS TIMESTAMP) ELSE CAST('2025-06-01' AS TIMESTAMP) END AS expires_at FROM nation""",
 }
 NEEDS = {"budget_items": ["items_raw"], "budget_revised": ["budget_items"], "item_areas": ["budget_items", "projects"], "cad_files": ["projects"], "cad_lines": ["items_raw"], "cad_blocks": ["items_raw"], "cad_dims": ["items_raw"]}
 
