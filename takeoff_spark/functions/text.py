@@ -7,7 +7,7 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..rules import GENERIC_WORDS, KEY_SEPARATORS, SEARCH_STOP_WORDS
+from ..rules import GENERIC_WORDS, KEY_SEPARATORS, MTEXT_CODES, SEARCH_STOP_WORDS
 
 
 @cache
@@ -65,8 +65,7 @@ def search_keywords(c: Column) -> Column:
 
 def strip_mtext(c: Column) -> Column:
     """Drawing text without its format codes, blanks collapsed."""
-    codes = r"\\[fF][^;]*;|\\[cC][0-9]+;|\\[LlOoKk]|\\[Pp]|\\[SsQqHhWwTt][^;]*;|\\~|[{}]"
-    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), codes, " "), "[ \\t]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), MTEXT_CODES, " "), "[ \\t]+", " "))
 
 
 def layer_base_name(c: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -81,41 +82,91 @@ def calibration(matched: DataFrame) -> DataFrame:
     return rows.select("job_id", "seq", "item_type", F.coalesce(F.nullif("discipline", F.lit("")), F.col("m.discipline")).alias("discipline"), F.coalesce(F.nullif("unit", F.lit("")), F.col("m.unit")).alias("unit"), F.round(ai, 4).alias("ai_quantity"), F.round(real, 4).alias("real_quantity"), rounded((ai - real) / real * 100, 2).alias("deviation_pct"), rounded(real / ai, 4).alias("correction_factor"), "stage")
 
 
-def _fuzzy(original: pd.DataFrame, revised: pd.DataFrame) -> pd.DataFrame:
-    """One project: rows in order; a matched row takes its revised row's number, a row left over the best one whose number isn't taken yet."""
+@lru_cache(50_000)
+def _ratio(a: str, b: str) -> float:
+    return difflib.SequenceMatcher(None, a, b).ratio()
+
+
+@F.pandas_udf(DoubleType())
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Gestalt similarity of two lower-cased texts, a batch at a time."""
+    return pd.Series([_ratio((x or "").lower(), (y or "").lower()) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def prefix_marks(texts: pd.Series, least: float = 0.7) -> list[list[str]]:
+    """For each text the rarest of its marks, of which two texts with a ratio above ``least`` share one for sure.
+
+    Marks are a character and how often it was seen in the text so far. A ratio above ``least`` asks for more common marks
+    than least / 2 of both lengths, so for at least that share of either text, as the other one has that many characters; in
+    one order for all (late occurrences first, as they are rare), the first marks beyond the others must meet.
+    """
+    out = []
+    for t in texts:
+        seen: dict[str, int] = {}
+        marks = []
+        for c in t:
+            seen[c] = n = seen.get(c, 0) + 1
+            marks.append((-n, c))
+        common = int(len(t) * least / (2 - least)) + 1  # more than that share
+        out.append([f"{c}{-n}" for n, c in sorted(marks)[: max(0, len(t) - common + 1)]])
+    return out
+
+
+def similar_texts(left: DataFrame, right: DataFrame, key: str, least: float = 0.7) -> DataFrame:
+    """(key, a, b, ratio) of the distinct lower-cased texts of one key whose gestalt similarity is above ``least``.
+
+    left: key, a; right: key, b. Candidates come from an equi-join on key and rare marks (``prefix_marks``), are bounded by
+    their lengths, and are scored once a key (a worker remembers pairs that other keys have, too). Empty texts are no candidates.
+    """
+
+    @F.pandas_udf("array<string>")
+    def marks(t: pd.Series) -> pd.Series:
+        return pd.Series(prefix_marks(t, least))
+
+    def marked(rows: DataFrame, c: str) -> DataFrame:
+        return rows.select(key, c).where(F.length(c) > 0).distinct().select(key, c, F.explode(marks(F.col(c))).alias("mark"))
+
+    n, m = F.length("a"), F.length("b")
+    pairs = marked(left, "a").join(marked(right, "b"), [key, "mark"]).where(2 * F.least(n, m) > least * (n + m)).select(key, "a", "b").distinct()
+    return pairs.withColumn("ratio", sequence_ratio(F.col("a"), F.col("b"))).where(F.col("ratio") > least)
+
+
+def _greedy(key, rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    """One project's candidates: rows in order; a matched row takes its number, another one the best revised row whose number isn't taken yet, the first one of equals."""
+    options: dict[str, list] = {}
+    for p in pairs.sort_values(["ratio", "place"], ascending=[True, False]).itertuples():
+        options.setdefault(p.text, []).append(p)
     out, taken = [], set()
-    pool = [(r.item_num, (r.description or "").lower(), r.quantity) for r in revised.sort_values("seq").itertuples()]
-    for o in original.sort_values("seq").itertuples():
-        if o.matched:
-            taken.add(o.matched_num)
+    for r in rows.sort_values("seq").itertuples():
+        if r.matched:
+            taken.add(r.matched_num)
             continue
-        a, best, ratio = (o.description or "").lower(), None, 0.7
-        matcher = difflib.SequenceMatcher(None, "", "")
-        matcher.set_seq1(a)
-        for r in pool:
-            if r[0] in taken or 2 * min(len(a), len(r[1])) <= ratio * (len(a) + len(r[1])):
-                continue
-            matcher.set_seq2(r[1])
-            if matcher.real_quick_ratio() > ratio and matcher.quick_ratio() > ratio and (x := matcher.ratio()) > ratio:
-                best, ratio = r, x
-        if best:
-            taken.add(best[0])
-            out.append((o.job_id, o.seq, best[0], float(best[2]), round(ratio, 6)))
+        open_ = options.get(r.a, [])
+        while open_ and open_[-1].number in taken:  # a number that is taken stays taken
+            open_.pop()
+        if open_:
+            best = open_.pop()
+            taken.add(best.number)
+            out.append((r.job_id, r.seq, best.number, float(best.amount), round(best.ratio, 6)))
     return pd.DataFrame(out, columns=["job_id", "seq", "revised_num", "revised_quantity", "ratio"])
 
 
 def fuzzy_match(original: DataFrame, revised: DataFrame) -> DataFrame:
-    """Third stage, per project: leftovers by text similarity above 0.7, each revised number once. Order matters, so a project is one group."""
-    matched = compare_budgets(original, revised)
-    left = matched.select("job_id", "seq", "description", F.col("stage").isNotNull().alias("matched"), F.col("m.item_num").alias("matched_num"))
-    right = revised.select("job_id", "seq", "item_num", "description", "quantity")
-    return left.groupBy("job_id").cogroup(right.groupBy("job_id")).applyInPandas(_fuzzy, "job_id long, seq long, revised_num string, revised_quantity double, ratio double")
-
+    """Third stage, per project: leftovers by text similarity above 0.7, each revised number once.
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Gestalt similarity of two lower-cased texts, a batch at a time."""
-    return pd.Series([difflib.SequenceMatcher(None, (x or "").lower(), (y or "").lower()).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    Similar texts are found and scored by joins; the order-dependent step of a project then only looks up: it sees its leftovers, the
+    first revised row of each number and text that is similar to one, and where each number was matched first.
+    """
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    matched = compare_budgets(original, revised)
+    rows = matched.select("job_id", "seq", low(F.col("description")).alias("a"), F.col("stage").isNotNull().alias("matched"), F.col("m.item_num").alias("matched_num"))
+    pool = revised.select("job_id", "item_num", low(F.col("description")).alias("b"), "quantity", F.col("seq").alias("rev_seq"))
+    pool = pool.groupBy("job_id", "item_num", "b").agg(F.min_by("quantity", "rev_seq").alias("quantity"), F.min("rev_seq").alias("rev_seq"))
+    similar = similar_texts(rows.where("NOT matched"), pool, "job_id")
+    options = similar.join(pool, ["job_id", "b"]).select(F.col("job_id").alias("job"), F.col("a").alias("text"), "ratio", F.col("item_num").alias("number"), F.col("quantity").alias("amount"), F.col("rev_seq").alias("place"))
+    left = rows.where("NOT matched").select("job_id", "seq", "a", "matched", "matched_num")
+    taking = rows.where("matched").groupBy("job_id", "matched_num").agg(F.min("seq").alias("seq")).select("job_id", "seq", F.lit("").alias("a"), F.lit(True).alias("matched"), "matched_num")
+    return left.unionByName(taking).groupBy("job_id").cogroup(options.groupBy("job")).applyInPandas(_greedy, "job_id long, seq long, revised_num string, revised_quantity double, ratio double")
 
 
 def calibration_factors(rows: DataFrame) -> DataFrame:

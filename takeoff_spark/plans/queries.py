@@ -124,8 +124,7 @@ scalar("p04_primary_noun", "budget_items", lambda: {"noun": text.primary_noun(F.
 STOP = "(" + ", ".join(f"'{w}'" for w in rules.SEARCH_STOP_WORDS) + ")"
 KEYWORDS = "list_filter(string_split_regex(regexp_replace(regexp_replace(strip_accents(lower({0})), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda t: length(t) >= 4 AND t NOT IN " + STOP + ")[1:5]"
 scalar("p05_search_keywords", "budget_items", lambda: {"words": F.array_join(text.search_keywords(F.col("description")), " "), "apart": F.array_join(text.search_keywords(F.expr(DECOMPOSED)), " ")}, {"words": f"coalesce(array_to_string({KEYWORDS.format('description')}, ' '), '')", "apart": f"coalesce(array_to_string({KEYWORDS.format(DECOMPOSED)}, ' '), '')"})
-MTEXT = r"\\[fF][^;]*;|\\[cC][0-9]+;|\\[LlOoKk]|\\[Pp]|\\[SsQqHhWwTt][^;]*;|\\~|[{}]"
-scalar("p06_strip_mtext", "cad_texts", lambda: {"plain": text.strip_mtext(F.concat(F.lit("{\\fArial|b0;\\C256; "), "text", F.lit("\\P\\H1.5x;x}")))}, {"plain": f"trim(regexp_replace(regexp_replace(concat('{{\\fArial|b0;\\C256; ', text, '\\P\\H1.5x;x}}'), '{MTEXT}', ' ', 'g'), '[ \\t]+', ' ', 'g'))"}, "file_id, seq")
+scalar("p06_strip_mtext", "cad_texts", lambda: {"plain": text.strip_mtext(F.concat(F.lit("{\\fArial|b0;\\C256; "), "text", F.lit("\\P\\H1.5x;x}")))}, {"plain": f"trim(regexp_replace(regexp_replace(concat('{{\\fArial|b0;\\C256; ', text, '\\P\\H1.5x;x}}'), '{rules.MTEXT_CODES}', ' ', 'g'), '[ \\t]+', ' ', 'g'))"}, "file_id, seq")
 scalar("p07_layer_base_name", "cad_blocks", lambda: {"base": text.layer_base_name(F.col("layer"))}, {"base": "nullif(trim(regexp_replace(layer, '^[^|]*[|]', '')), '')"}, "file_id, seq")
 scalar("p08_preview_text", "sender_log", lambda: {"short": text.preview(F.col("text"), 80), "reply": text.preview(F.col("text"), 1000, True)}, {"short": "substring(text, 1, 80)", "reply": "CASE WHEN length(text) > 1000 THEN concat(substring(text, 1, 997), '...') ELSE text END"}, "sender_id, seq")
 scalar("p09_month_from_filename", "sheets", lambda: {"month": text.month_from_filename(F.concat(F.lit("ref_20"), F.lpad((10 + F.col("seq") % 15).cast("string"), 2, "0"), F.lit("-"), F.lpad((1 + F.col("seq") % 12).cast("string"), 2, "0"), F.lit(".xlsx")))}, {"month": "make_date(2010 + seq % 15, 1 + seq % 12, 1)"}, "job_id, seq")
@@ -854,6 +853,13 @@ def x03(s, d):
     return names.select("codigo", F.round(den.sequence_ratio(F.col("descricao"), F.lit(DESCRIPTIONS[9])), 6).alias("ratio"))
 
 
+@query("x03_similar_descriptions")
+def x03_similar(s, d):
+    rows = items(s, d).select(F.lit(1).alias("all"), F.lower("description").alias("a"))
+    names = fixture(s, d, "price_catalog").select(F.lit(1).alias("all"), F.lower("descricao").alias("b"))
+    return den.similar_texts(rows, names, "all", 0.7).select("a", "b", F.round("ratio", 6).alias("ratio"))
+
+
 # Messages
 
 DEDUPED = "+ first AS (SELECT * FROM messages WHERE coalesce(text, '') <> '' QUALIFY row_number() OVER (PARTITION BY mid ORDER BY seq) = 1)"

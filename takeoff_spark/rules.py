@@ -11,6 +11,8 @@ SEARCH_STOP_WORDS = "de do da em com para tipo modelo novo nova existente confor
 
 # Fixed value: an object with objects one level deep, as answers are searched for one.
 NESTED_OBJECT = r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"
+# Fixed value: format codes of drawing text (font, colour, lines, paragraph, stacking and sizes, hard blank, braces).
+MTEXT_CODES = r"\\[fF][^;]*;|\\[cC][0-9]+;|\\[LlOoKk]|\\[Pp]|\\[SsQqHhWwTt][^;]*;|\\~|[{}]"
 # Fixed value: what parts the words of a layer or block name.
 NAME_SEPARATORS = r"[-_\s./\\|:]+"
 # What is said of a discipline in a unit that doesn't suit it.

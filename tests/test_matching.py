@@ -1,6 +1,7 @@
 """Revision compare, answers in JSON, counts and take-off against small cases."""
 
 import difflib
+import random
 
 from pyspark.sql import functions as F
 
@@ -67,3 +68,14 @@ def test_takeoff_takes_areas_dimensions_and_null_layers(spark):
     got = {(r.description, r.quantity, r.unit, r.confidence) for r in takeoff.takeoff_items(blocks, lines, files, areas, dims).collect()}
     assert ("porta_1", 2.0, "un", "confirmado") in got and ("zzz", 1.0, "un", "verificar") in got
     assert any(u == "m²" and q == 3.5 for _, q, u, _ in got) and ("Cota: cota", 0.0, "m", "verificar") in got
+
+
+def test_similar_texts_against_all_pairs(spark):
+    draw = random.Random(6)
+    texts = sorted({"".join(draw.choices("abcde é", k=draw.randint(0, 12))) for _ in range(120)} | {"porta de vidro", "porta de vidro azul", "aaaa", "aaaaaaa", "abab" * 60, "abab" * 61})
+    rows = [(i % 3, t) for i, t in enumerate(texts)]
+    for least in (0.7, 0.5):
+        want = {(j, a, b, x) for j, a in rows for k, b in rows if j == k and a and b and (x := difflib.SequenceMatcher(None, a, b).ratio()) > least}
+        got = density.similar_texts(spark.createDataFrame(rows, "job long, a string"), spark.createDataFrame(rows * 2, "job long, b string"), "job", least)
+        found = [tuple(r) for r in got.select("job", "a", "b", "ratio").collect()]
+        assert len(found) == len(want) and {*found} == want
