@@ -3,24 +3,25 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from ..functions.numbers import density_ratio, rounded
 from ..functions.text import item_type_key
-from ..rules import BDI, CONTINGENCY
+from ..rules import ALERT_NOTE, ALERT_TEXT, ALERT_WORDS, BDI, CONTINGENCY, LEVEL_LABELS
 
 LEVELS = ("familia", "grupo", "capitulo")
 
 
 def density_rows(item_areas: DataFrame) -> DataFrame:
     """A density row of each item with its project's area, as parsed."""
-    rows = item_areas.select("job_id", "seq", "typology", item_type_key(F.col("description")).alias("item_type"), F.when(F.coalesce("unit", F.lit("")) == "", "vb").otherwise(F.col("unit")).alias("unit"), F.round("quantity", 4).alias("qty"), "ref_area", density_ratio(F.col("quantity"), F.col("ref_area")).alias("density"), "familia_id", F.col("job_id").cast("string").alias("project_label"))
+    rows = item_areas.select("job_id", "seq", "typology", "description", item_type_key(F.col("description")).alias("item_type"), F.when(F.coalesce("unit", F.lit("")) == "", "vb").otherwise(F.col("unit")).alias("unit"), F.round("quantity", 4).alias("qty"), "ref_area", density_ratio(F.col("quantity"), F.col("ref_area")).alias("density"), "familia_id", F.col("job_id").cast("string").alias("project_label"))
     return rows.where("density > 0")
 
 
@@ -42,9 +43,10 @@ def benchmarks(raw: DataFrame, catalog: DataFrame, levels: tuple = LEVELS) -> Da
 
 
 def density_alerts(items: DataFrame, bench: DataFrame, catalog: DataFrame, least_projects: int = 2) -> DataFrame:
-    """Adds level, mean, density and alert (high, low or null) from the most specific benchmark with enough projects.
+    """Adds level, mean, stddev, n_projects, density, alert (high, low or null) and its reason as text, from the most specific benchmark with enough projects.
 
-    items: typology, familia_id, unit, quantity, ref_area. One join on exploded levels would multiply the items;
+    items: typology, familia_id, unit, quantity, ref_area, confidence, observations. An alert sets the confidence to
+    estimado and is noted after what the observations say. One join on exploded levels would multiply the items;
     three joins with the benchmark table don't; Spark broadcasts it where its measured size allows.
     """
     rows = items.join(catalog.select("familia_id", "grupo_id", "capitulo_id"), "familia_id", "left").withColumn("u", F.trim("unit"))
@@ -58,7 +60,68 @@ def density_alerts(items: DataFrame, bench: DataFrame, catalog: DataFrame, least
     high = F.when(sd == 0, 2.5 * mean).otherwise(mean + 2 * sd)
     low = F.when(sd == 0, mean / 2.5).otherwise(mean - 2 * sd)
     alert = F.when(~(mean > 0), None).when((F.col("density") > high) | ((top > 0) & (F.col("density") > 1.5 * top)), "high").when((low > 0) & (F.col("density") < low), "low")
-    return rows.withColumn("density", density).withColumn("alert", alert).withColumns({"level": F.col("b.level"), "mean": mean, "confidence": F.when(F.col("alert").isNotNull(), "estimado").otherwise(F.col("confidence"))}).drop("b", "u", *[f"b_{x}" for x in LEVELS])
+    rows = rows.withColumns({"density": density, "alert": alert, "level": F.col("b.level"), "mean": mean, "stddev": sd, "n_projects": F.col("b.n_projects")})
+    rows = rows.withColumn("reason", alert_reason()).drop("b", "u", *[f"b_{x}" for x in LEVELS])
+    found = F.col("alert").isNotNull()
+    note = F.trim(F.concat(F.coalesce("observations", F.lit("")), F.lit(ALERT_NOTE), F.col("reason")), F.lit(" |"))
+    return rows.withColumns({"confidence": F.when(found, "estimado").otherwise(F.col("confidence")), "observations": F.when(found, note).otherwise(F.col("observations"))})
+
+
+def alert_reason() -> Column:
+    """The text of an alert, from the columns that ``density_alerts`` adds; null without one."""
+    fixed = lambda c, n: F.format_string(f"%.{n}f", rounded(c, n))
+    d, m = F.col("density"), F.col("mean")
+    label = F.element_at(F.create_map(*[F.lit(x) for kv in LEVEL_LABELS.items() for x in kv]), F.col("level"))
+    text = {k: F.format_string(ALERT_TEXT, fixed(d, 3), F.coalesce(F.trim("unit"), F.lit("")), fixed(d / m if k == "high" else m / d, 1), F.lit(more), label, fixed(m, 3), fixed(F.col("stddev"), 3), F.col("n_projects").cast("string"), F.lit(cause)) for k, (more, cause) in ALERT_WORDS.items()}
+    return F.when(F.col("alert") == "high", text["high"]).when(F.col("alert") == "low", text["low"])
+
+
+def _typologies(where: Column | None = None) -> Column:
+    kept = F.col("typology") if where is None else F.when(where, F.col("typology"))
+    return F.array_join(F.array_sort(F.collect_set(kept)), ",").alias("typologies")
+
+
+def _side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two results of one row each as one row."""
+    return a.unionByName(b, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in (*a.columns, *b.columns)])
+
+
+def ingest_summary(parsed: DataFrame, bench: DataFrame) -> DataFrame:
+    """One row: density rows parsed and classified, their typologies, and the benchmarks of each level and together."""
+    rows = parsed.agg(F.count("*").alias("parsed"), F.count("familia_id").alias("classified"), _typologies())
+    counts = bench.agg(*[F.count_if(F.col("level") == x).alias(f"benchmarks_{x}") for x in LEVELS], F.count("*").alias("benchmarks"))
+    return _side_by_side(rows, counts)
+
+
+def reclassified(raw: DataFrame, catalog: DataFrame, classify: Callable[[DataFrame], DataFrame], typology: str | None = None, only_unclassified: bool = True, limit: int | None = None) -> DataFrame:
+    """Stored density rows with the familia that ``classify`` finds for those picked; adds picked and found.
+
+    Picked: rows of ``typology`` (null: any), without a familia if ``only_unclassified``, the first ``limit`` by seq if given.
+    ``classify`` takes rows with description and unit and adds familia_code. Rows without a description are picked, but
+    not classified; a row of which no familia is found keeps what it had. Each picked row is classified once, the others aren't read for it.
+    """
+    wanted = F.lit(True)
+    if typology:
+        wanted = wanted & F.coalesce(F.col("typology") == typology, F.lit(False))
+    if only_unclassified:
+        wanted = wanted & F.col("familia_id").isNull()
+    rows = raw.withColumn("picked", wanted)
+    if limit:
+        first = rows.where("picked").orderBy("seq", "job_id").limit(limit).select("job_id", "seq", F.lit(True).alias("among"))
+        rows = rows.join(first, ["job_id", "seq"], "left").withColumn("picked", F.coalesce("among", F.lit(False))).drop("among")
+    asked = F.col("picked") & (F.coalesce("description", F.lit("")) != "")
+    ids = catalog.select("familia_code", F.col("familia_id").alias("new_id"))
+    said = classify(rows.where(asked)).join(ids, "familia_code", "left").withColumn("found", F.col("new_id").isNotNull())
+    said = said.withColumn("familia_id", F.coalesce("new_id", "familia_id"))
+    return said.select(*rows.columns, "found").unionByName(rows.where(~asked).withColumn("found", F.lit(False)))
+
+
+def reclassify_summary(rows: DataFrame, catalog: DataFrame) -> DataFrame:
+    """One row about ``reclassified`` rows: picked, classified, skipped, typologies with new familias, and how many benchmarks these have now."""
+    empty = F.coalesce("description", F.lit("")) == ""
+    sums = rows.agg(F.count_if("picked").alias("raws_total"), F.count_if("found").alias("classified"), F.count_if(F.col("picked") & empty).alias("skipped"), _typologies(F.col("found")))
+    touched = rows.where("found").select("typology").distinct()
+    return _side_by_side(sums, benchmarks(rows.join(touched, "typology", "left_semi"), catalog).agg(F.count("*").alias("benchmarks")))
 
 
 def _last(rows: DataFrame, key: str, prefix: str) -> DataFrame:

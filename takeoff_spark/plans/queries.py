@@ -429,11 +429,18 @@ def j05(s, d):
     return den.fuzzy_match(items(s, d), revised)
 
 
-RAW_SQL = f"""+ parsed AS (SELECT job_id, seq, typology, {ITEM_KEY.format('description')} AS item_type, unit, round(quantity / ref_area, 6) AS density, familia_id, CAST(job_id AS VARCHAR) AS project_label FROM item_areas WHERE ref_area > 0 AND quantity / ref_area > 0 AND quantity / ref_area <= 100),
-    raw AS (SELECT * FROM parsed QUALIFY row_number() OVER (PARTITION BY typology, item_type, unit, project_label ORDER BY seq DESC) = 1),
-    lv AS (SELECT r.*, k.level, k.level_id FROM raw r LEFT JOIN catalog USING (familia_id), LATERAL (SELECT 'familia' AS level, r.familia_id AS level_id UNION ALL SELECT 'grupo', grupo_id UNION ALL SELECT 'capitulo', capitulo_id) k WHERE r.familia_id IS NOT NULL AND k.level_id IS NOT NULL AND density > 0),
+STORED_SQL = f"""+ parsed AS (SELECT job_id, seq, typology, description, {ITEM_KEY.format('description')} AS item_type, unit, round(quantity / ref_area, 6) AS density, familia_id, CAST(job_id AS VARCHAR) AS project_label FROM item_areas WHERE ref_area > 0 AND quantity / ref_area > 0 AND quantity / ref_area <= 100),
+    raw AS (SELECT * FROM parsed QUALIFY row_number() OVER (PARTITION BY typology, item_type, unit, project_label ORDER BY seq DESC) = 1)"""
+
+
+def benchmark_sql(rows: str) -> str:
+    """CTEs up to ``bench``: benchmarks of all levels over density rows."""
+    return f""", lv AS (SELECT r.*, k.level, k.level_id FROM {rows} r LEFT JOIN catalog USING (familia_id), LATERAL (SELECT 'familia' AS level, r.familia_id AS level_id UNION ALL SELECT 'grupo', grupo_id UNION ALL SELECT 'capitulo', capitulo_id) k WHERE r.familia_id IS NOT NULL AND k.level_id IS NOT NULL AND density > 0),
     sums AS (SELECT typology, level, level_id, unit, project_label, sum(density) AS d FROM lv GROUP BY ALL),
     bench AS MATERIALIZED (SELECT typology, level, level_id, unit, CAST(round(round(CAST(avg(d) AS DECIMAL(30, 12)), 12), 6) AS DOUBLE) AS mean, CAST(round(round(CAST(coalesce(stddev_samp(d), 0) AS DECIMAL(30, 12)), 12), 6) AS DOUBLE) AS stddev, CAST(round(round(CAST(min(d) AS DECIMAL(30, 12)), 12), 6) AS DOUBLE) AS min_value, CAST(round(round(CAST(max(d) AS DECIMAL(30, 12)), 12), 6) AS DOUBLE) AS max_value, count(*) AS n_projects, concat(level, ':', level_id) AS item_type FROM sums GROUP BY typology, level, level_id, unit)"""
+
+
+RAW_SQL = STORED_SQL + benchmark_sql("raw")
 BENCH_SQL = CATALOG_SQL + ", " + RAW_SQL.lstrip("+")
 BENCH = "item_areas " + CATALOG
 
@@ -442,15 +449,32 @@ def bench(s: SparkSession, d: str, levels: tuple = den.LEVELS) -> DataFrame:
     return den.benchmarks(den.raw_densities(fixture(s, d, "item_areas")), full_catalog(s, d), levels)
 
 
-@query("j06_density_alerts", BENCH, BENCH_SQL + """, picked AS (SELECT i.job_id, i.seq, i.quantity, i.ref_area, coalesce(f.level, g.level, c.level) AS level, CASE WHEN f.level IS NOT NULL THEN f.mean WHEN g.level IS NOT NULL THEN g.mean ELSE c.mean END AS mean,
+def fixed_sql(c: str, n: int) -> str:
+    """A number with n places, rounded as ``numbers.rounded`` does."""
+    return f"printf('%.{n}f', CAST(round(round(CAST({c} AS DECIMAL(30, {n + 6})), {n + 6}), {n}) AS DOUBLE))"
+
+
+def alert_sql() -> str:
+    level = "CASE level " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.LEVEL_LABELS.items()) + " END"
+    cases = ""
+    for kind, (more, cause) in rules.ALERT_WORDS.items():
+        factor = "density / mean" if kind == "high" else "mean / density"
+        values = [fixed_sql("density", 3), "coalesce(unit, '')", fixed_sql(factor, 1), f"'{more}'", level, fixed_sql("mean", 3), fixed_sql("sd", 3), "n", f"'{cause}'"]
+        cases += f" WHEN alert = '{kind}' THEN format('{rules.ALERT_TEXT.replace('%s', '{}')}', {', '.join(values)})"
+    return f"CASE{cases} END"
+
+
+@query("j06_density_alerts", BENCH, BENCH_SQL + """, picked AS (SELECT i.job_id, i.seq, trim(i.unit) AS unit, i.confidence, i.observations, i.quantity, i.ref_area, CASE WHEN f.level IS NOT NULL THEN f.n_projects WHEN g.level IS NOT NULL THEN g.n_projects ELSE c.n_projects END AS n, coalesce(f.level, g.level, c.level) AS level, CASE WHEN f.level IS NOT NULL THEN f.mean WHEN g.level IS NOT NULL THEN g.mean ELSE c.mean END AS mean,
     CASE WHEN f.level IS NOT NULL THEN f.stddev WHEN g.level IS NOT NULL THEN g.stddev ELSE c.stddev END AS sd, CASE WHEN f.level IS NOT NULL THEN f.max_value WHEN g.level IS NOT NULL THEN g.max_value ELSE c.max_value END AS top
     FROM item_areas i LEFT JOIN catalog k USING (familia_id) LEFT JOIN bench f ON f.level = 'familia' AND f.level_id = i.familia_id AND f.typology = i.typology AND f.unit = i.unit AND f.n_projects >= 2
     LEFT JOIN bench g ON g.level = 'grupo' AND g.level_id = k.grupo_id AND g.typology = i.typology AND g.unit = i.unit AND g.n_projects >= 2 LEFT JOIN bench c ON c.level = 'capitulo' AND c.level_id = k.capitulo_id AND c.typology = i.typology AND c.unit = i.unit AND c.n_projects >= 2)
-    SELECT job_id, seq, level, round(quantity / ref_area, 6) AS density, CASE WHEN mean > 0 THEN CASE WHEN quantity / ref_area > CASE WHEN sd = 0 THEN 2.5 * mean ELSE mean + 2 * sd END OR (top > 0 AND quantity / ref_area > 1.5 * top) THEN 'high'
-        WHEN CASE WHEN sd = 0 THEN mean / 2.5 ELSE mean - 2 * sd END > 0 AND quantity / ref_area < CASE WHEN sd = 0 THEN mean / 2.5 ELSE mean - 2 * sd END THEN 'low' END END AS alert FROM picked""")
+    , judged AS (SELECT *, quantity / ref_area AS density, CASE WHEN mean > 0 THEN CASE WHEN quantity / ref_area > CASE WHEN sd = 0 THEN 2.5 * mean ELSE mean + 2 * sd END OR (top > 0 AND quantity / ref_area > 1.5 * top) THEN 'high'
+        WHEN CASE WHEN sd = 0 THEN mean / 2.5 ELSE mean - 2 * sd END > 0 AND quantity / ref_area < CASE WHEN sd = 0 THEN mean / 2.5 ELSE mean - 2 * sd END THEN 'low' END END AS alert FROM picked),
+    told AS (SELECT *, """ + alert_sql() + """ AS reason FROM judged)
+    SELECT job_id, seq, level, round(density, 6) AS density, alert, reason, n AS n_projects, CASE WHEN alert IS NULL THEN confidence ELSE 'estimado' END AS confidence, CASE WHEN alert IS NULL THEN observations ELSE trim(concat(coalesce(observations, ''), '""" + rules.ALERT_NOTE + """', reason), ' |') END AS observations FROM told""")
 def j06(s, d):
     out = den.density_alerts(fixture(s, d, "item_areas"), bench(s, d), full_catalog(s, d))
-    return out.select("job_id", "seq", "level", F.round("density", 6).alias("density"), "alert")
+    return out.select("job_id", "seq", "level", F.round("density", 6).alias("density"), "alert", "reason", "n_projects", "confidence", "observations")
 
 
 FACTORS_SQL = MATCH_SQL + ", factors AS (SELECT item_type, discipline, unit, CAST(round(round(CAST(avg(correction_factor) AS DECIMAL(30, 12)), 12), 6) AS DOUBLE) AS avg_factor, count(*) AS data_points, CAST(round(round(CAST(avg(deviation_pct) AS DECIMAL(30, 12)), 12), 6) AS DOUBLE) AS avg_deviation, CAST(round(round(CAST(coalesce(stddev_samp(correction_factor), 0) AS DECIMAL(30, 12)), 12), 6) AS DOUBLE) AS stddev_factor, min(correction_factor) AS min_factor, max(correction_factor) AS max_factor FROM calib GROUP BY item_type, discipline, unit)"
@@ -671,9 +695,10 @@ def a20(s, d):
     return cat.catalog_outline(full_catalog(s, d))
 
 
-@query("a21_run_summary", BENCH, BENCH_SQL + " SELECT count(*) AS parsed, count(familia_id) AS classified, string_agg(DISTINCT typology, ',' ORDER BY typology) AS typologies FROM parsed")
+@query("a21_run_summary", BENCH, BENCH_SQL + f""", parts AS (SELECT {', '.join(f"count(*) FILTER (level = '{x}') AS benchmarks_{x}" for x in den.LEVELS)}, count(*) AS benchmarks FROM bench)
+    SELECT p.*, parts.* FROM (SELECT count(*) AS parsed, count(familia_id) AS classified, string_agg(DISTINCT typology, ',' ORDER BY typology) AS typologies FROM parsed) p, parts""")
 def a21(s, d):
-    return den.density_rows(fixture(s, d, "item_areas")).agg(F.count("*").alias("parsed"), F.count("familia_id").alias("classified"), F.array_join(F.array_sort(F.collect_set("typology")), ",").alias("typologies"))
+    return den.ingest_summary(den.density_rows(fixture(s, d, "item_areas")), bench(s, d))
 
 
 DIM_SQL = f"""dims AS (SELECT file_id, seq, CASE WHEN d.measurement IS NOT NULL THEN coalesce(nullif(label, ''), 'cota') ELSE label END AS label, round(d.measurement * factor, 3) AS metres FROM cad_dims d JOIN (SELECT file_id, {FACTOR} AS factor FROM cad_files) USING (file_id) WHERE CASE WHEN d.measurement IS NOT NULL THEN abs(d.measurement * factor) >= 0.001 ELSE coalesce(label, '') NOT IN ('', '0') END)"""
@@ -816,6 +841,30 @@ def x01(s, d):
     return cat.classify_items(items(s, d), full_catalog(s, d)).select("job_id", "seq", "familia_code", "confidence_score")
 
 
+# A third of the stored rows stand for those that nobody has classified yet.
+OPEN_SQL = ", stored AS (SELECT * EXCLUDE familia_id, CASE WHEN seq % 3 <> 0 THEN familia_id END AS familia_id FROM raw), todo AS (SELECT * FROM stored WHERE familia_id IS NULL AND coalesce(description, '') <> '')"
+RENEWED_SQL = """, renewed AS (SELECT t.* EXCLUDE familia_id, coalesce(c.familia_id, t.familia_id) AS familia_id, t.familia_id IS NULL AS picked, c.familia_id IS NOT NULL AS found FROM stored t
+    LEFT JOIN found f ON t.familia_id IS NULL AND t.description = f.description AND t.unit = f.unit LEFT JOIN catalog c ON c.familia_code = f.familia_code)"""
+
+
+def reopened(s: SparkSession, d: str) -> DataFrame:
+    raw = den.raw_densities(fixture(s, d, "item_areas")).withColumn("familia_id", F.when(F.col("seq") % 3 != 0, F.col("familia_id")))
+    catalog = full_catalog(s, d)
+    return den.reclassified(raw, catalog, lambda rows: cat.classify_items(rows, catalog))
+
+
+@query("a21_reclassified_rows", BENCH, CATALOG_SQL + ", " + STORED_SQL.lstrip("+") + OPEN_SQL + classified_sql("todo") + RENEWED_SQL + " SELECT job_id, seq, familia_id, picked, found FROM renewed")
+def a21_rows(s, d):
+    return reopened(s, d).select("job_id", "seq", "familia_id", "picked", "found")
+
+
+@query("a21_reclassify_summary", BENCH, CATALOG_SQL + ", " + STORED_SQL.lstrip("+") + OPEN_SQL + classified_sql("todo") + RENEWED_SQL + benchmark_sql("renewed") + """
+    SELECT (SELECT count(*) FILTER (picked) FROM renewed) AS raws_total, (SELECT count(*) FILTER (found) FROM renewed) AS classified, (SELECT count(*) FILTER (picked AND coalesce(description, '') = '') FROM renewed) AS skipped,
+        (SELECT coalesce(string_agg(DISTINCT typology, ',' ORDER BY typology), '') FROM renewed WHERE found) AS typologies, (SELECT count(*) FROM bench WHERE typology IN (SELECT typology FROM renewed WHERE found)) AS benchmarks""")
+def a21_reclassify(s, d):
+    return den.reclassify_summary(reopened(s, d), full_catalog(s, d))
+
+
 PRICED_SQL = ", priced AS (SELECT codigo, descricao AS description, coalesce(unidade, '') AS unit FROM master)"
 
 

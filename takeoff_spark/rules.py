@@ -76,3 +76,9 @@ PRICE_LEAST, PRICE_SHEET = 9700, 2000
 # Units that a history row may have, words of heading and total rows.
 HISTORY_UNITS = ("m", "m2", "m²", "un", "ml", "pc", "kg", "l", "h", "dia", "vb")
 HISTORY_HEADINGS = ("total geral", "subtotal", "soma", "resumo", "descrição", "descricao", "item", "discriminação")
+
+# Names of the catalog's levels in alerts, and the texts of an alert (placeholders: density, unit, factor, level, mean, deviation, projects).
+LEVEL_LABELS = {"familia": "família", "grupo": "grupo", "capitulo": "capítulo"}
+ALERT_TEXT = "densidade %s %s/m² é %s× %s que o típico (nível %s: %s ± %s, n=%s projetos) — possível %s"
+ALERT_WORDS = {"high": ("maior", "dupla contagem"), "low": ("menor", "subcontagem")}
+ALERT_NOTE = " | ⚠ Calibração: "
