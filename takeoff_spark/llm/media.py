@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_text, map_rows, materialise, open_fs, shared_dir
+from .common import clean_text, in_slices, map_rows, materialise, open_fs, shared_dir
 
 WIDTH = 64
 HEADER = 33  # signature, IHDR chunk
@@ -72,7 +72,7 @@ def feature_of(payload: bytes) -> str:
 
 
 class ShardWriter:
-    """Appends members to tar shards of at most ``most`` bytes; within its task a digest is stored once."""
+    """Appends members to tar shards, a new one once a shard has ``most`` bytes; a digest is stored once in each shard."""
 
     def __init__(self, folder: str, most: int = 256 << 20):
         self.folder, self.most, self.tar, self.seen = folder, most, None, {}
@@ -104,7 +104,10 @@ class ShardWriter:
 
 
 def write_media(docs: DataFrame) -> tuple[DataFrame, str]:
-    """Store every text; returns one row per document (doc_id, n_bytes, digest, shard, start, length) and the folder."""
+    """Store every text; returns one row per document (doc_id, n_bytes, digest, shard, start, length) and the folder.
+
+    Some 2 MB of text at a time, or one longer text, are in a task's memory.
+    """
     folder = f"{shared_dir(docs.sparkSession)}/media"
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.string()), ("shard", pa.string()), ("start", pa.int64()), ("length", pa.int64())])
 
@@ -118,7 +121,7 @@ def write_media(docs: DataFrame) -> tuple[DataFrame, str]:
             yield pa.RecordBatch.from_arrays([pa.array(x, y.type) for x, y in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], y.type) for y in schema], schema=schema)
         out.close()
 
-    rows = clean_text(docs).mapInArrow(run, "doc_id long, n_bytes long, digest string, shard string, start long, length long")
+    rows = clean_text(docs).mapInArrow(in_slices(run), "doc_id long, n_bytes long, digest string, shard string, start long, length long")
     return materialise(rows, "media_rows"), folder
 
 
