@@ -39,7 +39,7 @@ def encode_png(payload: bytes) -> bytes:
     lines = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
     raw = np.zeros((len(lines), WIDTH + 1), np.uint8)
     raw[:, 1:] = lines
-    return SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(lines), 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(raw.tobytes(), 1)) + _chunk(b"IEND", b"")
+    return SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(lines), 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(raw.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
 def read_header(head: bytes) -> tuple[int, int, int]:
