@@ -45,8 +45,8 @@ def benchmarks(raw: DataFrame, catalog: DataFrame, levels: tuple = LEVELS) -> Da
 def density_alerts(items: DataFrame, bench: DataFrame, catalog: DataFrame, least_projects: int = 2) -> DataFrame:
     """Adds level, mean, stddev, n_projects, density, alert (high, low or null) and its reason as text, from the most specific benchmark with enough projects.
 
-    items: typology, familia_id, unit, quantity, ref_area, confidence, observations. An alert sets the confidence to
-    estimado and is noted after what the observations say. One join on exploded levels would multiply the items;
+    items: typology, familia_id, unit, quantity, ref_area, confidence and, if there are any, observations. An alert sets the confidence
+    to estimado and is noted after what the observations say. One join on exploded levels would multiply the items;
     three joins with the benchmark table don't; Spark broadcasts it where its measured size allows.
     """
     rows = items.join(catalog.select("familia_id", "grupo_id", "capitulo_id"), "familia_id", "left").withColumn("u", F.trim("unit"))
@@ -63,8 +63,11 @@ def density_alerts(items: DataFrame, bench: DataFrame, catalog: DataFrame, least
     rows = rows.withColumns({"density": density, "alert": alert, "level": F.col("b.level"), "mean": mean, "stddev": sd, "n_projects": F.col("b.n_projects")})
     rows = rows.withColumn("reason", alert_reason()).drop("b", "u", *[f"b_{x}" for x in LEVELS])
     found = F.col("alert").isNotNull()
+    rows = rows.withColumn("confidence", F.when(found, "estimado").otherwise(F.col("confidence")))
+    if "observations" not in items.columns:
+        return rows
     note = F.trim(F.concat(F.coalesce("observations", F.lit("")), F.lit(ALERT_NOTE), F.col("reason")), F.lit(" |"))
-    return rows.withColumns({"confidence": F.when(found, "estimado").otherwise(F.col("confidence")), "observations": F.when(found, note).otherwise(F.col("observations"))})
+    return rows.withColumn("observations", F.when(found, note).otherwise(F.col("observations")))
 
 
 def alert_reason() -> Column:
