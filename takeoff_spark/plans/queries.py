@@ -25,11 +25,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(name: str, needs: str = "", sql: str = ""):
+def query(name: str, needs: str = "", sql: str = "", recursive: bool = False):
     def keep(f):
         QUERIES[name] = f
         if sql:
             ORACLE_SQL[name] = (with_sql(*needs.split(), materialized=True) + ("," if needs and sql.lstrip().startswith("+") else "") + sql.lstrip().removeprefix("+")) if needs else sql
+        if recursive:
+            ORACLE_SQL[name] = ORACLE_SQL[name].replace("WITH ", "WITH RECURSIVE ", 1)
         return f
 
     return keep
@@ -372,11 +374,17 @@ def work_folder(s: SparkSession) -> str:
     return f"{root.rstrip('/')}/{tempfile.mktemp(dir='', prefix='takeoff-')}"
 
 
-@query("s07_write_budget")
+RANK = "CASE discipline " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(rules.DISCIPLINES)) + f" ELSE {len(rules.DISCIPLINES)} END"
+NUMBERED_SQL = f"""+ f AS (SELECT *, {RANK} AS fixed FROM budget_items QUALIFY row_number() OVER (PARTITION BY job_id, substring(lower(trim(description)), 1, 50) ORDER BY seq) = 1),
+    g AS (SELECT *, CASE WHEN fixed = 16 THEN min(seq) OVER (PARTITION BY job_id, discipline) ELSE 0 END AS seen FROM f)"""
+ITEM_NUM_SQL = "concat(dense_rank() OVER (PARTITION BY job_id ORDER BY fixed, seen), '.', row_number() OVER (PARTITION BY job_id, discipline ORDER BY seq)) AS item_num"
+
+
+@query("s07_write_budget", "budget_items", NUMBERED_SQL + f" SELECT job_id, seq, {ITEM_NUM_SQL}, description, quantity FROM g")
 def s07(s, d):
     folder = work_folder(s)
     io.write_budget(con.number_items(con.first_description_wins(items(s, d))), folder)
-    return s.read.parquet(folder).select("job_id", "seq", "item_num", "description", "quantity")
+    return s.read.parquet(folder).select(F.col("job_id").cast("bigint").alias("job_id"), "seq", "item_num", "description", "quantity")
 
 
 def payloads(s: SparkSession, d: str) -> DataFrame:
@@ -572,7 +580,21 @@ def a04(s, d):
     return con.consolidate_exact(items(s, d)).select("job_id", "seq", "item_num", "description", "unit", "quantity", "confidence", "discipline")
 
 
-@query("a05_consolidate_similar")
+# First fit by rounds: in each the first open row of a bucket heads a family, and the open rows that match it join.
+SIMILAR_SQL = CONSOLIDATED + f""", named AS MATERIALIZED (SELECT description, {key_sql('description')} AS key, {noun_sql('description')} AS noun FROM (SELECT DISTINCT description FROM pass1)),
+    p AS MATERIALIZED (SELECT pass1.*, round(quantity, 2) AS q, noun, list_distinct(string_split(key, ' ')) AS words FROM pass1 JOIN named USING (description)),
+    fam AS (SELECT job_id, discipline, q, seq, noun, words, CAST(NULL AS BIGINT) AS head FROM p WHERE q >= 2
+        UNION ALL SELECT job_id, discipline, q, seq, noun, words, CASE WHEN seq = h.seq OR (noun <> '' AND noun = h.noun) OR len(list_intersect(words, h.words)) >= 2 THEN h.seq END
+        FROM (SELECT job_id, discipline, q, seq, noun, words, first_value(struct_pack(seq := seq, noun := noun, words := words)) OVER (PARTITION BY job_id, discipline, q ORDER BY seq) AS h FROM fam WHERE head IS NULL)),
+    headed AS (SELECT p.*, coalesce(f.head, p.seq) AS head, CASE WHEN p.q >= 2 THEN min(p.seq) OVER (PARTITION BY p.job_id, p.discipline, p.q) ELSE p.seq END AS start FROM p LEFT JOIN (SELECT job_id, seq, head FROM fam WHERE head IS NOT NULL) f ON p.job_id = f.job_id AND p.seq = f.seq),
+    merged AS (SELECT *, count(*) OVER v AS n, min(q) OVER v AS same, first_value(unit) OVER (PARTITION BY job_id, start, head ORDER BY seq) AS unit1, list(unit) OVER v AS units FROM headed WINDOW v AS (PARTITION BY job_id, start, head)
+        QUALIFY row_number() OVER (PARTITION BY job_id, start, head ORDER BY length(description) DESC, headed.seq) = 1),
+    asked AS (SELECT *, {unit_sql('description', 'unit1')} AS unit2 FROM merged)
+    SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY start, head) AS seq, item_num, description, CASE WHEN n = 1 THEN unit WHEN unit2 <> unit1 THEN unit2 {" ".join(f"WHEN list_contains(units, '{u}') THEN '{u}'" for u in rules.UNIT_PRIORITY)} ELSE unit1 END AS unit,
+    CASE WHEN n = 1 THEN quantity ELSE same END AS quantity, CASE WHEN n = 1 THEN confidence ELSE 'estimado' END AS confidence, discipline FROM asked"""
+
+
+@query("a05_consolidate_similar", "budget_items", SIMILAR_SQL, recursive=True)
 def a05(s, d):
     return con.consolidate_similar(con.consolidate_exact(items(s, d))).select("job_id", "seq", "item_num", "description", "unit", "quantity", "confidence", "discipline")
 
@@ -739,11 +761,7 @@ def w02(s, d):
     return con.first_description_wins(items(s, d)).select("job_id", "seq", "description", "discipline")
 
 
-RANK = "CASE discipline " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(rules.DISCIPLINES)) + f" ELSE {len(rules.DISCIPLINES)} END"
-
-
-@query("w03_number_items", "budget_items", f"""+ f AS (SELECT *, {RANK} AS fixed FROM budget_items QUALIFY row_number() OVER (PARTITION BY job_id, substring(lower(trim(description)), 1, 50) ORDER BY seq) = 1), g AS (SELECT *, CASE WHEN fixed = 16 THEN min(seq) OVER (PARTITION BY job_id, discipline) ELSE 0 END AS seen FROM f)
-    SELECT job_id, seq, concat(dense_rank() OVER (PARTITION BY job_id ORDER BY fixed, seen), '.', row_number() OVER (PARTITION BY job_id, discipline ORDER BY seq)) AS item_num FROM g""")
+@query("w03_number_items", "budget_items", NUMBERED_SQL + f" SELECT job_id, seq, {ITEM_NUM_SQL} FROM g")
 def w03(s, d):
     return con.number_items(con.first_description_wins(items(s, d))).select("job_id", "seq", "item_num")
 
@@ -979,10 +997,19 @@ def st04(s, d):
     return sink.read_batches(s, f"{folder}/out", days.schema)
 
 
-@query("st05_sender_history")
+HISTORY_SQL = " SELECT {0} AS sender_id, count(*) AS n, string_agg(text, chr(10) ORDER BY seq) AS texts FROM (SELECT * FROM messages WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY sender_id ORDER BY seq DESC) <= 20) GROUP BY sender_id"
+
+
+@query("st05_sender_history", "messages", HISTORY_SQL.format("sender_id"))
 def st05(s, d):
     out = run_stream(s, d, lambda m: msg.sender_history(m.withColumn("sender_id", F.col("sender_id").cast("long"))), "update")
-    return out.select("sender_id", F.size("texts").alias("n"), F.array_join("texts", "\n").alias("texts"))
+    return out.select("sender_id", F.size("texts").cast("bigint").alias("n"), F.array_join("texts", "\n").alias("texts"))
+
+
+@query("st05_sender_history_batch", "messages", HISTORY_SQL.format("CAST(sender_id AS VARCHAR)"))
+def st05_batch(s, d):
+    out = msg.sender_history(msg.messages(payloads(s, d)))
+    return out.select("sender_id", F.size("texts").cast("bigint").alias("n"), F.array_join("texts", "\n").alias("texts"))
 
 
 POSTS_SQL = """WITH RECURSIVE times AS (SELECT DISTINCT user_id AS sender_id, epoch(date_trunc('second', ts)) AS t FROM events),

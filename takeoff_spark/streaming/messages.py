@@ -202,19 +202,27 @@ def posts_due_stream(events: DataFrame, hours: int = 24, delay: str = "0 seconds
     return rows.groupBy("sender_id").applyInPandasWithState(post_step(hours * 3600), "sender_id string, posted long", "last long", "append", "EventTimeTimeout")
 
 
-def history_step(key, frames, state):
-    """Keyed state of one sender: its last 20 texts (used with applyInPandasWithState)."""
-    texts = list(state.get[0]) if state.exists else []
-    for f in frames:
-        texts += f.sort_values("seq").text.tolist()
-    texts = texts[-20:]
-    state.update((texts,))
-    yield pd.DataFrame({"sender_id": [key[0]], "texts": [texts]})
-
-
-def sender_history(events: DataFrame) -> DataFrame:
-    """Stream: each sender's last 20 texts after every batch."""
-    return events.groupBy("sender_id").applyInPandasWithState(history_step, "sender_id long, texts array<string>", "texts array<string>", "update", "NoTimeout")
+def history_of_sender(most: int):
+    """Keyed state of one sender: its ``most`` messages of the largest seq, in order of seq."""
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        for f in frames:  # one chunk at a time, so that a batch of one busy sender needs no more memory
+            last = f.sort_values("seq", kind="stable").tail(most)
+            held = sorted([*held, *zip(map(int, last.seq), last.text, strict=True)], key=lambda x: x[0])[-most:]
+        seqs, texts = [s for s, _ in held], [t for _, t in held]
+        state.update((seqs, texts))
+        yield pd.DataFrame({"sender_id": [key[0]], "seqs": [seqs], "texts": [texts]})
+
+    return step
+
+
+def sender_history(events: DataFrame, most: int = 20) -> DataFrame:
+    """Each sender's last ``most`` texts in order of seq. Stream: after every batch, whatever the order of arrival."""
+    if events.isStreaming:
+        return events.groupBy("sender_id").applyInPandasWithState(history_of_sender(most), "sender_id long, seqs array<long>, texts array<string>", "seqs array<long>, texts array<string>", "update", "NoTimeout").select("sender_id", "texts")
+    last = events.withColumn("r", F.row_number().over(Window.partitionBy("sender_id").orderBy(F.desc("seq")))).where(F.col("r") <= most)
+    return last.groupBy("sender_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("m")).select("sender_id", F.col("m.text").alias("texts"))
 
 
 def append_activity(events: DataFrame, path: str, checkpoint: str):

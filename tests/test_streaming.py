@@ -24,12 +24,12 @@ def table(spark, rows):
     return spark.createDataFrame(rows, msg.EVENT)
 
 
-def streamed(spark, path, parts, make):
+def streamed(spark, path, parts, make, mode="append"):
     """Each part is a batch; a row without text long after them ends all days."""
     for i, rows in enumerate([*parts, [(None, T0 + timedelta(days=400), None, None, None)]]):
         table(spark, rows).coalesce(1).write.mode("append").parquet(f"{path}/in")
     out = make(spark.readStream.schema(msg.EVENT).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"))
-    query = sink.append_once(out, f"{path}/out", f"{path}/state")
+    query = sink.append_once(out, f"{path}/out", f"{path}/state", mode)
     query.awaitTermination()
     return sink.read_batches(spark, f"{path}/out", out.schema), query
 
@@ -97,3 +97,18 @@ def test_a_batch_tried_again_repeats_no_row(spark, tmp_path):
         write(df, batch)
     assert sorted(r.x for r in sink.read_batches(spark, path, "x long").collect()) == [1, 2, 3]
     assert sink.read_batches(spark, f"{tmp_path}/none", "x long").count() == 0
+
+
+def test_history_stream_equals_batch_in_any_order(spark, tmp_path):
+    rows = [(i, T0 + timedelta(minutes=i), str(draw), f"m{i}", f"t{i}") for i, draw in enumerate(random.Random(5).choices([1, 1, 1, 2, 3, 4], k=150))]
+    want = {}
+    for seq, _, sender, _, text in rows:
+        want[int(sender)] = [*want.get(int(sender), []), text][-20:]
+    some = random.Random(6).sample(rows, len(rows))
+    longs = F.col("sender_id").cast("long")
+    streamed(spark, str(tmp_path), [some[:60], some[60:61], some[61:]], lambda m: msg.sender_history(m.where("text is not null").withColumn("sender_id", longs)), "update")
+    got = spark.read.parquet(f"{tmp_path}/out").groupBy("sender_id").agg(F.max_by("texts", "batch").alias("texts")).collect()
+    assert {r.sender_id: r.texts for r in got} == want
+    batch = msg.sender_history(table(spark, some).withColumn("sender_id", longs))
+    assert {r.sender_id: r.texts for r in batch.collect()} == want
+    assert msg.sender_history(table(spark, rows).where("false")).count() == 0
