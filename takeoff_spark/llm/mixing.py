@@ -22,11 +22,12 @@ def words_of(text: Column) -> Column:
     return F.split(F.translate(F.coalesce(text.cast("string"), F.lit("")), "\n\t\r\x0b\x0c", "     "), " ")
 
 
-def word_weights(docs: DataFrame, labelled: DataFrame, domains: list[str], per_domain: int = 1500, vocabulary: int = 4000) -> tuple[DataFrame, list[float]]:
-    """(word, w0, w1, ...): smoothed log-likelihoods of words by domain, less their mean, and the log priors.
+def word_weights(docs: DataFrame, labelled: DataFrame, domains: list[str], per_domain: int = 1500, smoothing: float = 3.0) -> tuple[DataFrame, list[float]]:
+    """(h, w0, w1, ...): for each word (by its hash) the logs of how much oftener a domain's documents have it than all, less their mean; and the log priors.
 
-    Fitted on at most ``per_domain`` labelled documents of each domain (those of the smallest id hash); the
-    ``vocabulary`` words that tell the domains apart best stay, so the table has a fixed bound.
+    Fitted on at most ``per_domain`` labelled documents of each domain (those of the smallest id hash), whole texts,
+    every word of theirs. ``smoothing`` is added to the documents found and expected, so rare words weigh little in
+    domains of any size.
     """
     known = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain")).where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     sample = None
@@ -37,21 +38,20 @@ def word_weights(docs: DataFrame, labelled: DataFrame, domains: list[str], per_d
     size = dict(sample.groupBy("domain").count().collect())
     total = dict(known.groupBy("domain").count().collect())
     seen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("domain", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).where("word != ''")
-    per = seen.groupBy("word").agg(*[F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(domains)])
-    logs = [F.log((F.col(f"n{k}") + 0.5) / (size.get(d, 0) + 1.0)) for k, d in enumerate(domains)]
+    per = seen.groupBy(F.xxhash64("word").alias("h")).agg(*[F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(domains)])
+    n, sampled = sum((F.col(f"n{k}") for k in range(1, len(domains))), F.col("n0")), max(1, sum(size.values()))
+    logs = [F.log((F.col(f"n{k}") + smoothing) / (n * (size.get(d, 0) / sampled) + smoothing)) for k, d in enumerate(domains)]
     mean = sum(logs[1:], logs[0]) / len(domains)
-    per = per.select("word", sum((F.col(f"n{k}") for k in range(1, len(domains))), F.col("n0")).alias("n"), *[(x - mean).alias(f"w{k}") for k, x in enumerate(logs)])
-    spread = F.greatest(*[F.abs(f"w{k}") for k in range(len(domains))]) if len(domains) > 1 else F.abs("w0")
-    per = per.where("n >= 4").orderBy((spread * F.sqrt("n")).desc(), "word").limit(vocabulary).drop("n")
     priors = [(total.get(d, 0) + 1.0) / (sum(total.values()) + len(domains)) for d in domains]
-    return materialise(per, "words"), [math.log(p) for p in priors]
+    return materialise(per.select("h", *[(x - mean).alias(f"w{k}") for k, x in enumerate(logs)]), "words"), [math.log(p) for p in priors]
 
 
 def memberships(docs: DataFrame, weights: DataFrame, priors: list[float]) -> DataFrame:
     """doc_id, tokens (words between blanks and line ends) and p0, p1, ...: posteriors, tempered by the root of the words known."""
     k = range(len(priors))
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode_outer(words_of(F.col("text"))).alias("word")).where("doc_id is not null")
-    hits = words.join(F.broadcast(weights), "word", "left")  # at most ``vocabulary`` rows
+    few = weights.count() <= 1_000_000  # numbers only, 8 bytes a domain and word; joined by a shuffle beyond
+    hits = words.withColumn("h", F.xxhash64("word")).join(F.broadcast(weights) if few else weights, "h", "left")
     sums = hits.groupBy("doc_id").agg(F.count_if(F.col("word") != "").alias("tokens"), F.count("w0").alias("known"), *[F.sum(f"w{i}").alias(f"s{i}") for i in k])
     logit = [F.lit(priors[i]) + F.coalesce(F.col(f"s{i}") / F.sqrt(F.greatest(F.col("known"), F.lit(1))), F.lit(0.0)) for i in k]
     sums = sums.select("doc_id", "tokens", *[x.alias(f"z{i}") for i, x in enumerate(logit)])
