@@ -12,15 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.report import patch, upsert
-from .io import fact_rows
+from .io import bucketed, fact_rows
 
 BUCKETS = 64
 
 
-def bucketed(rows: DataFrame, keys: list[str], buckets: int) -> DataFrame:
-    return rows.withColumn("bucket", F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(buckets)).cast("int"))
-
-
 def _write(rows: DataFrame, path: str, by: str, sort: list[str]) -> None:
     rows.repartition(by).sortWithinPartitions(by, *sort).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 

@@ -1,7 +1,7 @@
 """Stored tables under changes by key; benchmarks of rows that were upserted."""
 
 from takeoff_spark.operators import density
-from takeoff_spark.sources import store
+from takeoff_spark.sources import io, store
 
 
 def test_upsert_touches_only_its_buckets(spark, tmp_path):
@@ -33,3 +33,11 @@ def test_rows_of_one_key_are_upserted_before_the_sum(spark):
     catalog = spark.createDataFrame([(1, 1, 1)], "familia_id long, grupo_id long, capitulo_id long")
     got = density.benchmarks(density.raw_densities(spark.createDataFrame(rows, item)), catalog, ("familia",)).first()
     assert (got.mean, got.n_projects, got.max_value) == (0.1, 2, 0.1)
+
+
+def test_budgets_lie_in_few_folders_however_many_jobs(spark, tmp_path):
+    rows = [(j, i, f"{i}.{j}") for j in range(300) for i in (2, 1)]
+    io.write_budget(spark.createDataFrame(rows, "job_id long, seq long, item_num string"), f"{tmp_path}/b", buckets=8)
+    assert len([*tmp_path.glob("b/*=*")]) == 8
+    assert sorted((r.job_id, r.seq, r.item_num) for r in io.read_budget(spark, f"{tmp_path}/b", buckets=8).collect()) == sorted(rows)
+    assert [r.seq for r in io.read_budget(spark, f"{tmp_path}/b", 7, buckets=8).collect()] == [1, 2]
