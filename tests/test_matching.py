@@ -79,3 +79,11 @@ def test_similar_texts_against_all_pairs(spark):
         got = density.similar_texts(spark.createDataFrame(rows, "job long, a string"), spark.createDataFrame(rows * 2, "job long, b string"), "job", least)
         found = [tuple(r) for r in got.select("job", "a", "b", "ratio").collect()]
         assert len(found) == len(want) and {*found} == want
+
+
+def test_fuzzy_match_by_job_equals_over_all_texts(spark):
+    it, rev = queries.items(spark, DIR), queries.fixture(spark, DIR, "budget_revised").withColumns({"item_num": F.concat(F.lit("9"), "item_num"), "description": F.concat("description", F.lit(" rev"))})
+    few, by_job = ([tuple(r) for r in density.fuzzy_match(it, rev, n).orderBy("job_id", "seq").collect()] for n in (2_000, 3))
+    assert few == by_job and few
+    plan = density.fuzzy_match(it, rev)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroups" not in plan  # a group a job took milliseconds for each
