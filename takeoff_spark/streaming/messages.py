@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -69,31 +68,15 @@ def daily_quota(events: DataFrame, cap: int = 200, own_id: str | None = None, ag
     return rows.withColumn("sent", F.coalesce(F.col("day_rank") <= cap, F.lit(False))).drop("day", "own")
 
 
-def first_of_mid(delay: timedelta):
-    """Keyed state of one mid: its earliest event by seq, given out once the watermark is ``delay`` past that event."""
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            seq, ts, sender, text = state.get
-            state.remove()
-            yield pd.DataFrame({"seq": [seq], "ts": [ts], "sender_id": [sender], "mid": [key[0]], "text": [text]})
-            return
-        best = tuple(state.get) if state.exists else None
-        for f in frames:
-            r = f.loc[f.seq.idxmin()]
-            if best is None or r.seq < best[0]:
-                best = (int(r.seq), r.ts.to_pydatetime(), r.sender_id, r.text)
-        state.update(best)
-        at = int((pd.Timestamp(best[1]) + delay).timestamp() * 1000)
-        state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs() + 1))
-
-    return step
-
-
 def once(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Stream: of each mid the earliest event by seq, whatever the order of arrival within ``delay``; ids are forgotten after it."""
-    step = first_of_mid(pd.Timedelta(delay).to_pytimedelta())
-    return _said(events.withWatermark("ts", delay)).groupBy("mid").applyInPandasWithState(step, EVENT, "seq long, ts timestamp, sender_id string, text string", "append", "EventTimeTimeout")
+    """Stream: of each mid the earliest event by seq, whatever the order of arrival within ``delay``; ids are forgotten ``delay`` after their last event.
+
+    Spark's own session windows keep the earliest event of each id, so nothing runs in Python for every id.
+    """
+    rows = _said(events.withWatermark("ts", delay))
+    kept = F.struct("ts", "sender_id", "text")
+    best = rows.groupBy(F.session_window("ts", delay), "mid").agg(F.min("seq").alias("seq"), F.min_by(kept, "seq").alias("e"))
+    return best.select("seq", F.col("e.ts").alias("ts"), F.col("e.sender_id").alias("sender_id"), "mid", F.col("e.text").alias("text"))
 
 
 def quota_of_day(cap: int):

@@ -112,3 +112,9 @@ def test_history_stream_equals_batch_in_any_order(spark, tmp_path):
     batch = msg.sender_history(table(spark, some).withColumn("sender_id", longs))
     assert {r.sender_id: r.texts for r in batch.collect()} == want
     assert msg.sender_history(table(spark, rows).where("false")).count() == 0
+
+
+def test_first_of_an_id_asks_no_python(spark, tmp_path):
+    table(spark, events(5)).write.parquet(f"{tmp_path}/in")
+    plan = msg.once(spark.readStream.schema(msg.EVENT).parquet(f"{tmp_path}/in"), "30 days")._jdf.queryExecution().analyzed().toString()
+    assert "InPandas" not in plan and "session_window" in plan  # a call an id took a millisecond
