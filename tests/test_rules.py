@@ -1,6 +1,11 @@
 """Quirks of single rules."""
 
+import os
+import time
+
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from takeoff_spark.functions import classify, geometry, numbers, text
 from takeoff_spark.operators.density import density_alerts, sequence_ratio
@@ -48,3 +53,12 @@ def test_ratio_and_posts(spark):
     assert spark.range(1).select(sequence_ratio(F.lit("abcd"), F.lit("ABCD")).alias("r")).first().r == 1.0
     df = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 12:00:00"), (1, "2024-01-02 00:00:00")], "sender_id long, t string").select("sender_id", F.col("t").cast("timestamp").alias("ts"))
     assert posts_due(df).count() == 2
+
+
+def test_keys_and_classes_are_found_once_a_distinct_text(spark):
+    calls = text.per_value(lambda t: f"{os.getpid()} {time.monotonic_ns()}", StringType(), pa.string())
+    rows = spark.range(1000, numPartitions=1).select((F.col("id") % 4).cast("string").alias("t")).select("t", calls("t").alias("x"))
+    assert rows.distinct().count() == 4
+    names = [None, "", "A-WALL-INT", "xref1|A-PISO", "drywall\tLUM", "0", "ÁPISO", "piso_forro.tom"]
+    got = [r.c for r in spark.createDataFrame([(n,) for n in names], "n string").select(classify.categories(F.col("n")).alias("c")).collect()]
+    assert got == [[], [], ["paredes"], ["piso"], ["luminarias", "paredes", "portas"], [], [], ["forro", "piso", "eletrica"]]
