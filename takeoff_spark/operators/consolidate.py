@@ -45,50 +45,51 @@ def consolidate_exact(items: DataFrame) -> DataFrame:
     return rows.withColumn("seq", F.row_number().over(order).cast("bigint")).drop("head", "old")
 
 
-#: One bucket's descriptions in order, each to the first family whose first description shares its noun or two of its words, else to a new one.
-FAMILIES = """aggregate(found, struct(cast(array() AS array<struct<head:bigint,noun:string,words:array<string>>>) AS heads, cast(array() AS array<bigint>) AS heads_of),
+#: One bucket's descriptions in order, each to the first family whose first description shares its noun or two of its words, else to a new one: its head's place in the list.
+FAMILIES = """aggregate(transform(found, (x, i) -> struct(i + 1 AS at, x.noun AS noun, array_distinct(split(x.key, ' ')) AS words)), struct(cast(array() AS array<struct<at:int,noun:string,words:array<string>>>) AS heads, cast(array() AS array<int>) AS heads_of),
     (s, x) -> struct(
-        if(exists(s.heads, h -> (x.noun <> '' AND h.noun = x.noun) OR size(array_intersect(h.words, x.words)) >= 2), s.heads, concat(s.heads, array(struct(x.first AS head, x.noun AS noun, x.words AS words)))) AS heads,
-        concat(s.heads_of, array(coalesce(get(filter(s.heads, h -> (x.noun <> '' AND h.noun = x.noun) OR size(array_intersect(h.words, x.words)) >= 2), 0).head, x.first))) AS heads_of),
+        if(exists(s.heads, h -> (x.noun <> '' AND h.noun = x.noun) OR size(array_intersect(h.words, x.words)) >= 2), s.heads, concat(s.heads, array(x))) AS heads,
+        concat(s.heads_of, array(coalesce(get(filter(s.heads, h -> (x.noun <> '' AND h.noun = x.noun) OR size(array_intersect(h.words, x.words)) >= 2), 0).at, x.at))) AS heads_of),
     s -> s.heads_of)"""
+#: The lists of one bucket's families; ``found`` and ``heads`` say which entries there are and to which of them each belongs.
+SPLIT = "transform(array_distinct(heads), h -> filter(found, (x, i) -> heads[i] = h))"
 
 
 def families(rows: DataFrame) -> DataFrame:
-    """Greedy first-fit families in (job, bucket), bucket being discipline and quantity: noun and key to ``head``, the seq of the family's first row, and ``start``, the bucket's first.
+    """Greedy first-fit families in (job, bucket), bucket being discipline and quantity: a row each, as the list ``family`` of its entries in order.
 
-    Rows of equal noun and key are one description here, as they join the same family; so a fold holds the
-    distinct descriptions of a bucket, however often they repeat. Those without a noun and two words match nothing.
+    Rows of equal noun, key and unit are one entry here, as they join the same family; so a fold holds the distinct descriptions
+    of a bucket and their units, however often they repeat. An entry has its number of rows, their first seq and the best row.
+    What can't match anything (less than 2, or no noun and no two words) is a family for itself and in no list.
+    All groups lie within a job: rows that are dealt by job aren't shuffled again.
     """
-    words = F.array_distinct(F.split("key", " "))
-    bucket = ["job_id", "discipline", "q"]
-    one = rows.groupBy(*bucket, "noun", "key").agg(F.min("seq").alias("first"))
-    lists = one.where((F.col("noun") != "") | (F.size(words) >= 2)).groupBy(*bucket).agg(F.array_sort(F.collect_list(F.struct("first", "noun", "key", words.alias("words")))).alias("found"))
-    pairs = F.explode(F.arrays_zip("found", F.expr(FAMILIES).alias("head"))).alias("p")
-    return lists.select(*bucket, pairs).select(*bucket, F.col("p.found.noun").alias("noun"), F.col("p.found.key").alias("key"), F.col("p.head").alias("head"))
+    keys = ["job_id", "bucket", "q", "alone"]
+    match = (F.col("q") >= 2) & ((F.col("noun") != "") | (F.size(F.array_distinct(F.split("key", " "))) >= 2))
+    entries = rows.withColumn("alone", F.when(~match, F.col("seq"))).groupBy(*keys, "noun", "key", "unit").agg(F.min("seq").alias("first"), F.count("*").alias("n"), F.max(F.struct(F.length("description").alias("size"), (-F.col("seq")).alias("place"), "row")).alias("best"))
+    lists = entries.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("first", "noun", "key", "unit", "n", "best"))).alias("found"))
+    many = F.size("found") > 1
+    lists = lists.withColumn("heads", F.when(many, F.expr(FAMILIES)))
+    return lists.select("job_id", "bucket", "q", F.explode(F.when(many, F.expr(SPLIT)).otherwise(F.array("found"))).alias("family"))
 
 
 def consolidate_similar(items: DataFrame) -> DataFrame:
     """Second pass: items of one job, discipline and quantity (2 or more) that share a noun or two key words become one row.
 
-    Families come in the order of their bucket's first item, then of their own. Only aggregations with partial sums and
-    joins by key: no task gets a job or a family as a whole.
+    Families come in the order of their bucket's first item, then of their own. No task holds a job or a family as a whole, and
+    after ``consolidate_exact``, whose rows are dealt by job, nothing is shuffled.
     """
-    rows = items.withColumns({"own": F.col("discipline"), "discipline": F.coalesce("discipline", F.lit("")), "q": F.round(F.coalesce("quantity", F.lit(0.0)), 2), "key": description_key(F.col("description")), "noun": primary_noun(F.col("description"))})
-    bucket = ["job_id", "discipline", "q"]
-    many = rows.where("q >= 2")
-    starts = many.groupBy(*bucket).agg(F.min("seq").alias("start"))
-    joined = rows.join(families(many), [*bucket, "noun", "key"], "left").join(starts, bucket, "left")
-    joined = joined.withColumns({"head": F.coalesce("head", "seq"), "start": F.coalesce("start", "seq")})
-    kept = F.struct("item_num", "description", "unit", "quantity", "q", "observations", "ref_sheet", "confidence", F.col("own").alias("discipline"))
-    by_unit = joined.groupBy("job_id", "start", "head", "unit").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max(F.struct(F.length("description").alias("size"), (-F.col("seq")).alias("place"), kept.alias("row"))).alias("best"))
-    units = F.transform(F.array_sort(F.collect_list(F.struct("first", "unit"))), lambda x: x["unit"])
-    merged = by_unit.groupBy("job_id", "start", "head").agg(F.sum("n").alias("n"), units.alias("units"), F.max("best")["row"].alias("row")).select("job_id", "start", "head", "n", "units", "row.*")
+    row = F.struct("item_num", "description", "quantity", "observations", "ref_sheet", "confidence", "discipline")
+    rows = items.select("job_id", "seq", "unit", "description", F.coalesce("discipline", F.lit("")).alias("bucket"), F.round(F.coalesce("quantity", F.lit(0.0)), 2).alias("q"), description_key(F.col("description")).alias("key"), primary_noun(F.col("description")).alias("noun"), row.alias("row"))
+    entry = lambda c: F.transform("family", lambda x: x[c])
+    merged = families(rows).select("job_id", "bucket", "q", F.aggregate(entry("n"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"), F.array_min(entry("first")).alias("head"), F.array_distinct(entry("unit")).alias("units"), F.array_max(entry("best"))["row"].alias("row"))
+    start = F.when(F.col("q") >= 2, F.min("head").over(Window.partitionBy("job_id", "bucket", "q"))).otherwise(F.col("head"))
+    merged = merged.withColumn("start", start).select("job_id", "start", "head", "n", "q", "units", "row.*")
     one = F.col("n") == 1
     different = F.array_sort(F.array_compact("units"))
     chosen = best_unit(F.col("units"), F.col("description"))
     note = F.when(F.size(different) > 1, F.concat(F.lit("Fundido de "), F.col("n").cast("string"), F.lit(" entradas com units divergentes ("), F.array_join(different, "/"), F.lit(")"))).otherwise(F.concat(F.lit("Fundido de "), F.col("n").cast("string"), F.lit(" entradas com mesma qty")))
     place = F.row_number().over(Window.partitionBy("job_id").orderBy("start", "head")).cast("bigint")
-    return merged.select("job_id", "item_num", "description", F.when(one, F.col("unit")).otherwise(chosen).alias("unit"), F.when(one, F.col("quantity")).otherwise(F.col("q")).alias("quantity"), F.when(one, F.col("observations")).otherwise(F.concat_ws(" | ", F.nullif("observations", F.lit("")), note)).alias("observations"), "ref_sheet", F.when(one, F.col("confidence")).otherwise("estimado").alias("confidence"), "discipline", place.alias("seq"))
+    return merged.select("job_id", "item_num", "description", F.when(one, F.get("units", F.lit(0))).otherwise(chosen).alias("unit"), F.when(one, F.col("quantity")).otherwise(F.col("q")).alias("quantity"), F.when(one, F.col("observations")).otherwise(F.concat_ws(" | ", F.nullif("observations", F.lit("")), note)).alias("observations"), "ref_sheet", F.when(one, F.col("confidence")).otherwise("estimado").alias("confidence"), "discipline", place.alias("seq"))
 
 
 def check_counts(items: DataFrame) -> DataFrame:
