@@ -71,20 +71,25 @@ def catalog_outline(catalog: DataFrame, most_keywords: int = 6) -> DataFrame:
 
 
 def classify_items(items: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Adds familia_code and confidence by keyword overlap; the work runs once for each distinct (description, unit).
+    """Adds familia_code and confidence by keyword overlap; the work runs once for each distinct description.
 
     Hits: description words found among a familia's keywords and name words. Most hits win, then the code.
-    Confidence: hits by words, halved for another unit. No hit: null and 0.
+    Confidence: hits by words, halved for another unit. No hit: null and 0. Familias that have the same of the asked words
+    are one candidate, of which only the first code can win: descriptions meet as many candidates as there are such sets of words.
     """
     tokens = lambda c: F.filter(F.array_distinct(F.split(F.regexp_replace(fold_accents(c, True), "[^a-z0-9 ]", " "), " +")), lambda t: F.length(t) >= 4)
-    keys = items.select("description", "unit").distinct().where(F.length(F.trim("description")) >= 3)
-    keys = keys.withColumn("tokens", tokens(F.col("description"))).withColumn("n", F.size("tokens"))
+    texts = items.where(F.col("unit").isNotNull() & (F.length(F.trim("description")) >= 3)).select("description").distinct().withColumn("tokens", tokens(F.col("description"))).withColumn("n", F.size("tokens"))
+    asked = texts.select("description", "n", F.explode("tokens").alias("token"))
     known = catalog.select("familia_code", "typical_unit", F.explode(F.array_distinct(F.concat(tokens(F.array_join("keywords", " ")), tokens(F.col("familia_name"))))).alias("token"))
-    hits = keys.select("description", "unit", "n", F.explode("tokens").alias("token")).join(known, "token").groupBy("description", "unit", "n", "familia_code", "typical_unit").agg(F.count("*").alias("hits"))
-    best = hits.groupBy("description", "unit").agg(F.max_by(F.struct("familia_code", "hits", "n", "typical_unit"), F.struct("hits", (-F.regexp_extract("familia_code", "([0-9]+)$", 1).try_cast("bigint")).alias("o"))).alias("b"))
-    conf = F.round(F.col("b.hits") / F.col("b.n"), 4) * F.when(F.col("unit") == F.col("b.typical_unit"), 1.0).otherwise(0.5)
-    found = best.select("description", "unit", F.col("b.familia_code").alias("familia_code"), conf.alias("confidence_score"))
-    return items.join(found, ["description", "unit"], "left").withColumn("confidence_score", F.coalesce("confidence_score", F.lit(0.0)))
+    sets = known.join(asked.select("token").distinct(), "token", "left_semi").groupBy("familia_code", "typical_unit").agg(F.array_sort(F.collect_set("token")).alias("words"))
+    place = (-F.regexp_extract("familia_code", "([0-9]+)$", 1).try_cast("bigint")).alias("o")
+    first = sets.groupBy("words").agg(F.max(F.struct(place, "familia_code", "typical_unit")).alias("f"))
+    hits = asked.join(first.select("f", F.explode("words").alias("token")), "token").groupBy("description", "n", "f").agg(F.count("*").alias("hits"))
+    best = hits.groupBy("description", "n").agg(F.max(F.struct("hits", "f")).alias("b"))
+    said = best.select("description", F.struct("b.f.familia_code", "b.f.typical_unit", F.round(F.col("b.hits") / F.col("n"), 4).alias("share")).alias("said"))
+    conf = F.col("said.share") * F.when(F.col("unit") == F.col("said.typical_unit"), 1.0).otherwise(0.5)
+    known_unit = lambda c: F.when(F.col("unit").isNotNull(), c)
+    return items.join(said, "description", "left").withColumns({"familia_code": known_unit(F.col("said.familia_code")), "confidence_score": F.coalesce(known_unit(conf), F.lit(0.0))}).drop("said")
 
 
 PREDICTED = "key string, familia_code string, confidence double, attributes map<string,string>, reasoning string"

@@ -1,5 +1,6 @@
 """Steps whose cost must not grow faster than their input."""
 
+from takeoff_spark.operators.catalog import classify_items
 from takeoff_spark.plans.queries import QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -12,3 +13,18 @@ def plan(spark, name):
 def test_similar_items_are_shuffled_once(spark):
     text = plan(spark, "a05_consolidate_similar")
     assert text.count("Exchange") == 1 and "SortMergeJoin" not in text
+
+
+def test_familias_of_the_same_words_are_one_candidate(spark):
+    """Ten times the familias, the same rows where descriptions meet familias; the first code wins, a null unit meets none."""
+    items = spark.createDataFrame([(1, "Porta de madeira", "un"), (2, "Forro de madeira", "m"), (3, "Porta", None), (4, "xx", "un")], "seq long, description string, unit string")
+
+    def run(n):
+        catalog = spark.createDataFrame([(f"fam_{i}", "un" if i % 2 else "m", ["porta", "madeira"] if i % 3 else ["forro"], "nome") for i in range(n, 0, -1)], "familia_code string, typical_unit string, keywords array<string>, familia_name string")
+        df = classify_items(items, catalog).orderBy("seq")
+        got = [tuple(r) for r in df.select("seq", "familia_code", "confidence_score").collect()]
+        return got, "=[words#" in df._jdf.queryExecution().executedPlan().toString()
+
+    small, large = run(30), run(300)
+    assert small == large and large[1]
+    assert large[0] == [(1, "fam_1", 1.0), (2, "fam_1", 0.25), (3, None, 0.0), (4, None, 0.0)]
