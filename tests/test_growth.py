@@ -1,6 +1,9 @@
 """Steps whose cost must not grow faster than their input."""
 
+import pytest
+
 from takeoff_spark.operators.catalog import classify_items
+from takeoff_spark.operators.density import density_rows, raw_densities
 from takeoff_spark.plans.queries import QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -28,3 +31,17 @@ def test_familias_of_the_same_words_are_one_candidate(spark):
     small, large = run(30), run(300)
     assert small == large and large[1]
     assert large[0] == [(1, "fam_1", 1.0), (2, "fam_1", 0.25), (3, None, 0.0), (4, None, 0.0)]
+
+
+@pytest.mark.parametrize("name", ["a21_run_summary", "t04_rank_benchmarks"])
+def test_densities_are_rounded_once_and_upserted_without_a_sort(spark, name):
+    text = plan(spark, name)
+    assert "SortAggregate" not in text and text.count("E15") <= 2
+
+
+def test_densities_at_the_edges(spark):
+    rows = [(1, 1, 1.0, 2.0), (1, 2, 1e-6, 2.0), (1, 3, 0.9e-6, 2.0), (1, 4, 200.0, 2.0), (1, 5, 201.0, 2.0), (1, 6, 1.0, 0.0), (1, 7, None, 2.0), (1, 8, 1.0, None), (1, 9, -1.0, 2.0)]
+    items = spark.createDataFrame(rows, "job_id long, seq long, quantity double, ref_area double").selectExpr("*", "'x' typology", "concat('d', seq) description", "'un' unit", "1L familia_id")
+    got = {r.seq: r.density for r in density_rows(items).collect()}
+    assert got == {1: 0.5, 2: 1e-6, 4: 100.0}
+    assert {r.seq: (r.job_id, r.qty, r.description) for r in raw_densities(items).collect()} == {1: (1, 1.0, "d1"), 2: (1, 0.0, "d2"), 4: (1, 200.0, "d4")}
