@@ -57,3 +57,9 @@ def test_history_rows_at_the_edges(spark):
     rows = spark.createDataFrame([(1, k, v) for k, v in cells.items()], "job_id long, seq long, cells array<struct<s:string,d:double>>")
     got = {r.seq: (r.description, r.unit, r.quantity) for r in read_history_rows(rows).collect()}
     assert got == {1: ("Porta de vidro", "kg", 2.0), 3: ("Total geral das obras de reforma", None, 3.0), 7: ("Rodapé", "m²", 4.0)}
+
+
+def test_digest_counts_blocks_once_and_repeats_no_names(spark):
+    text = plan(spark, "a22_cad_digest")
+    assert text.count("partial_percentile") == 2  # width and height, in one pass
+    assert not [line for line in text.splitlines() if "Filter" in line and ("lum-R4" in line or "regexp_replace" in line)]
