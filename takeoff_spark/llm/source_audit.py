@@ -184,13 +184,17 @@ def audit(docs: DataFrame, least_docs: int = 3, ranks: int = 200) -> DataFrame:
     # How many terms have count a in one source and b in another; those that one lacks come from what each has alone
     side = lambda name: groups.select("lang", F.col("source").alias(name), F.col("total").alias(f"{name}_total"), F.col("own").alias(f"{name}_own"))
     pairs = side("source").join(side("item"), "lang").where("source <> item").join(langs, "lang")
-    both = kept.where(F.size("by") > 1).select("lang", "by", F.explode("by").alias("x")).select("lang", "x", F.explode("by").alias("y")).where("x.source <> y.source").groupBy("lang", F.col("x.source").alias("source"), F.col("y.source").alias("item"), F.col("x.n").alias("a"), F.col("y.n").alias("b")).agg(F.count("*").alias("terms"))
+    # (each pair of sources is counted one way round, and turned round afterwards).
+    further = F.filter("by", lambda y: y["source"] > F.col("x.source"))
+    both = kept.where(F.size("by") > 1).select("lang", "by", F.explode("by").alias("x")).select("lang", "x", F.explode(further).alias("y")).groupBy("lang", F.col("x.source").alias("source"), F.col("y.source").alias("item"), F.col("x.n").alias("a"), F.col("y.n").alias("b")).agg(F.count("*").alias("terms"))
     both = materialise(both, "both")
     zero, mark = F.lit(0).cast("long"), ["lang", "source", "item"]
     alone = each.groupBy("lang", "source", "n").agg(F.count("*").alias("terms"))
     mine = alone.join(pairs.select(*mark), ["lang", "source"]).select(*mark, F.col("n").alias("a"), zero.alias("b"), "terms")
     theirs = alone.withColumnRenamed("source", "item").join(pairs.select(*mark), ["lang", "item"]).select(*mark, zero.alias("a"), F.col("n").alias("b"), "terms")
-    less = both.select(*mark, F.explode(F.array(F.struct("a", "b", "terms"), F.struct("a", zero.alias("b"), (-F.col("terms")).alias("terms")), F.struct(zero.alias("a"), "b", (-F.col("terms")).alias("terms")), F.struct(zero.alias("a"), zero.alias("b"), "terms"))).alias("x")).select(*mark, "x.*")
+    ways = F.explode(F.array(F.struct("source", "item", "a", "b"), F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("b").alias("a"), F.col("a").alias("b")))).alias("w")
+    turned = both.select("lang", ways, "terms").select("lang", "w.*", "terms")
+    less = turned.select(*mark, F.explode(F.array(F.struct("a", "b", "terms"), F.struct("a", zero.alias("b"), (-F.col("terms")).alias("terms")), F.struct(zero.alias("a"), "b", (-F.col("terms")).alias("terms")), F.struct(zero.alias("a"), zero.alias("b"), "terms"))).alias("x")).select(*mark, "x.*")
     none = pairs.select(*mark, zero.alias("a"), zero.alias("b"), (F.col("v") - F.col("source_own") - F.col("item_own")).alias("terms"))
     cells = less.unionByName(mine).unionByName(theirs).unionByName(none).groupBy(*mark, "a", "b").agg(F.sum("terms").alias("terms")).where("terms <> 0")
     value = distance(share("a", "source_total", "v"), share("b", "item_total", "v"))

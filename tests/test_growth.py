@@ -2,6 +2,7 @@
 
 import pytest
 
+from takeoff_spark.llm import source_audit
 from takeoff_spark.operators.catalog import classify_items
 from takeoff_spark.operators.density import density_rows, raw_densities
 from takeoff_spark.plans.queries import QUERIES
@@ -63,3 +64,12 @@ def test_digest_counts_blocks_once_and_repeats_no_names(spark):
     text = plan(spark, "a22_cad_digest")
     assert text.count("partial_percentile") == 2  # width and height, in one pass
     assert not [line for line in text.splitlines() if "Filter" in line and ("lum-R4" in line or "regexp_replace" in line)]
+
+
+def test_pairs_of_sources_are_counted_one_way_round(spark, monkeypatch):
+    kept, save = {}, source_audit.materialise
+    monkeypatch.setattr(source_audit, "materialise", lambda df, name: kept.setdefault(name, save(df, name)))
+    rows = [("en", s, f"one two three {'four ' * i}") for i, s in enumerate("abc")] * 2
+    got = source_audit.audit(spark.createDataFrame(rows, "lang string, source string, text string")).where("part = 'pair'").collect()
+    assert {(r.source, r.item) for r in kept["both"].select("source", "item").distinct().collect()} == {("a", "b"), ("a", "c"), ("b", "c")}
+    assert len(got) == 6
