@@ -2,8 +2,8 @@
 
 Terms are counted in tasks by length-bucketed packing: a term of up to 8 bytes is one uint64 word, one of up to 16 is
 two; words are radix-sorted by 16-bit digits in numpy and runs are counted. Longer terms are sorted as bytes, in buckets of
-8 bytes of length. Spark adds up what the tasks counted; shares and divergences are integer
-arithmetic in Spark.
+8 bytes of length. What the tasks counted travels as packets of rows for each language, length and hash of the term, and is
+added up in the same way; shares and divergences are integer arithmetic in Spark.
 """
 
 from __future__ import annotations
@@ -14,13 +14,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from .common import in_slices, materialise
+from .common import in_slices, materialise, released
 
-#: Bytes of text after which a task counts what it holds, and distinct counts it keeps before it hands them on.
-HELD, KEPT = 8 << 20, 1_000_000
+#: Bytes of text after which a task counts what it holds, distinct counts it keeps before it hands them on, and bytes of text after which it does so at the latest (counts have 32 bits till then).
+HELD, KEPT, TOLD = 8 << 20, 1_000_000, 1 << 30
+#: Buckets of the terms of a language and length, and bytes of packets that a task adds up at once, about (a bucket at least).
+BUCKETS, MERGED = 1024, 8 << 20
 #: Parts of a whole.
 SCALE = 1_000_000_000
 
@@ -55,107 +58,180 @@ def run_counts(columns: list[np.ndarray], doc: np.ndarray, order: np.ndarray) ->
     return order[first], np.diff(np.append(first, len(order))), np.add.reduceat(other.astype(np.int64), first) if len(first) else first
 
 
-def packed(data: np.ndarray, start: np.ndarray, size: np.ndarray, words: int) -> list[np.ndarray]:
-    """Terms of up to 8 * words bytes as big-endian uint64 words, filled up with zeros."""
-    i = np.arange(8 * words)
-    inside = i < size[:, None]
-    cells = np.where(inside, data[np.minimum(start[:, None] + i, len(data) - 1)], 0).astype(np.uint8)
-    w = np.ascontiguousarray(cells).view(">u8").astype(np.uint64)
-    return [w[:, k] for k in range(words)]
+def packed(data: np.ndarray, start: np.ndarray, size: np.ndarray, words: int) -> np.ndarray:
+    """Terms of 8 * words bytes or up to 7 fewer as rows of big-endian uint64 words, filled up with zeros."""
+    eights = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(7, np.uint8)), 8)
+    out = np.empty((len(start), words), np.uint64)
+    for k in range(words):
+        out[:, k] = eights[start + 8 * k].view(">u8")[:, 0]
+    spare = (8 * (8 * words - size)).astype(np.uint64)
+    out[:, -1] = out[:, -1] >> spare << spare
+    return out
 
 
-def counted(texts: list[bytes], groups: np.ndarray) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]]:
-    """(group, term, occurrences, documents) of texts, by buckets of term length; ``groups``: a number for each text."""
+def as_bytes(words: np.ndarray) -> np.ndarray:
+    """Rows of words as byte strings; no term holds a zero byte."""
+    return np.ascontiguousarray(words.astype(">u8")).view(f"S{8 * words.shape[1]}")[:, 0]
+
+
+def term_order(words: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Stable order by term, then group: digits for short terms, bytes for longer ones."""
+    if words.shape[1] <= 2:
+        return radix_order([*words.T, groups])
+    return np.lexsort((groups, as_bytes(words)))
+
+
+def packed_counts(texts: list[bytes], groups: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(group, words of the term, occurrences, documents) of texts, terms of as many words at a time; ``groups``: a number for each text."""
     data = LOWER[np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)]
     inside = IN_TERM[data]
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     start, size = edge[::2], edge[1::2] - edge[::2]
     begins = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
     doc = np.searchsorted(begins, start, side="right") - 1
-    bucket = np.minimum((size - 1) // 8, 2)
-    for k in range(3):
-        at = np.flatnonzero(bucket == k)
-        if k < 2 and len(at):
-            words = packed(data, start[at], size[at], k + 1)
-            g = groups[doc[at]].astype(np.uint32)
-            keys = [g, *words]
-            first, n, docs = run_counts(keys, doc[at], radix_order(keys))
-            whole = np.stack([w[first] for w in words], axis=1).astype(">u8").tobytes()
-            each = 8 * (k + 1)
-            yield g[first], [whole[i : i + each].rstrip(b"\0") for i in range(0, len(whole), each)], n, docs
-        elif k == 2:
-            widths = (size[at] - 1) // 8
-            for w in np.unique(widths):
-                one = at[widths == w]
-                terms = np.array([data[s : s + n].tobytes() for s, n in zip(start[one].tolist(), size[one].tolist(), strict=True)], f"S{8 * (w + 1)}")
-                g = groups[doc[one]]
-                first, n, docs = run_counts([terms, g], doc[one], np.lexsort((doc[one], g, terms)))
-                yield g[first], terms[first].tolist(), n, docs
+    width = (size + 7) // 8
+    for w in np.flatnonzero(np.bincount(width)).tolist():
+        at = np.flatnonzero(width == w)
+        words, g = packed(data, start[at], size[at], w), groups[doc[at]].astype(np.uint32)
+        first, n, docs = run_counts([*words.T, g], doc[at], term_order(words, g))
+        yield g[first], words[first], n, docs
+
+
+def counted(texts: list[bytes], groups: np.ndarray) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]]:
+    """``packed_counts`` with terms as bytes."""
+    for g, words, n, docs in packed_counts(texts, groups):
+        yield g, as_bytes(words).tolist(), n, docs
+
+
+def added(groups: np.ndarray, words: np.ndarray, n: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of equal (term, group) added up, ordered by term, then group."""
+    order = term_order(words, groups)
+    groups, words, n, docs = (x[order] for x in (groups, words, n, docs))
+    new = np.ones(len(groups), bool)
+    new[1:] = (groups[1:] != groups[:-1]) | (words[1:] != words[:-1]).any(axis=1)
+    first = np.flatnonzero(new)
+    return groups[first], words[first], np.add.reduceat(n, first), np.add.reduceat(docs, first)
 
 
 class Tally:
-    """Counts of a task: texts wait until there are HELD bytes, counts until there are KEPT."""
+    """Counts of a task: texts wait until there are HELD bytes, counts until there are KEPT, or come from TOLD bytes."""
 
     def __init__(self):
-        self.groups: dict[tuple[str, str], int] = {}
-        self.names: list[tuple[str, str]] = []
+        self.groups: dict[int, int] = {}
+        self.names, self.langs, self.lang_of = [], {}, []
         self.texts, self.of, self.size = [], [], 0
-        self.counts: dict[tuple[int, bytes], list[int]] = {}
-        self.seen: set[int] = set()
+        self.counts: dict[int, list[tuple]] = {}
+        self.kept, self.told = 0, 0
 
-    def add(self, lang: str, source: str, text: bytes) -> None:
-        g = self.groups.setdefault((lang, source), len(self.groups))
+    def add(self, lang: str, group: int, text: bytes) -> None:
+        g = self.groups.setdefault(group, len(self.groups))
         if g == len(self.names):
-            self.names.append((lang, source))
-        self.seen.add(g)
+            self.names.append(group)
+            self.lang_of.append(self.langs.setdefault(lang, len(self.langs)))
         self.texts.append(text)
         self.of.append(g)
-        self.size += len(text)
+        self.size += len(text) + 1
 
     def count(self) -> None:
-        for group, terms, n, docs in counted(self.texts, np.array(self.of)) if self.texts else ():
-            for key, a, b in zip(zip(group.tolist(), terms, strict=True), n.tolist(), docs.tolist(), strict=True):
-                if have := self.counts.get(key):
-                    have[0] += a
-                    have[1] += b
-                else:
-                    self.counts[key] = [a, b]
+        for part in packed_counts(self.texts, np.array(self.of)) if self.texts else ():
+            self.counts.setdefault(part[1].shape[1], []).append(part)
+            self.kept += len(part[0])
+        self.told += self.size
         self.texts, self.of, self.size = [], [], 0
 
-    def rows(self, most: int = 50_000) -> Iterator[pa.RecordBatch]:
-        """What was counted, and a row without term for every group; starts anew."""
-        found = [(*self.names[g], None, 0, 0) for g in sorted(self.seen)] + [(*self.names[g], t, *c) for (g, t), c in self.counts.items()]
-        self.counts, self.seen, self.groups, self.names = {}, set(), {}, []
-        for i in range(0, len(found), most):
-            lang, source, term, n, docs = zip(*found[i : i + most], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(source), pa.array(term, pa.binary()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], names=["lang", "source", "term", "n", "docs"])
-
-
-def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences) and docs (documents with it) of every group; a group's row without term has null and zeros."""
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    def full(self) -> bool:
+        return self.kept >= KEPT or self.told >= TOLD
+
+    def packets(self, most: int = 500) -> Iterator[pa.RecordBatch]:
+        """What was counted, as packets (lang, width, bucket, rows of term, group and counts, byte by byte); starts anew."""
+        names, langs, of = np.array(self.names, np.int64).view(np.uint64), list(self.langs), np.array(self.lang_of, np.int64)
+        counts, self.counts, self.kept, self.told = self.counts, {}, 0, 0
+        for width in sorted(counts):
+            g, words, n, docs = added(*(np.concatenate(x) for x in zip(*counts.pop(width), strict=True)))
+            key = of[g] * BUCKETS + buckets(words)
+            order = np.argsort(key, kind="stable")
+            rows = np.empty((len(g), width + 2), np.uint64)
+            rows[:, :width], rows[:, width], rows[:, width + 1] = words[order], names[g[order]], (n << 32 | docs).view(np.uint64)[order]
+            keys, first = np.unique(key[order], return_index=True)
+            ends = np.append(first, len(rows)).tolist()
+            for i in range(0, len(keys), most):
+                some = keys[i : i + most]
+                parts = [rows[ends[k] : ends[k + 1]].view(np.uint8).T.tobytes() for k in range(i, i + len(some))]
+                yield pa.RecordBatch.from_arrays([pa.array([langs[k] for k in (some // BUCKETS).tolist()], pa.string()), pa.array(np.full(len(some), width, np.int32)), pa.array((some % BUCKETS).astype(np.int32)), pa.array(parts, pa.binary())], names=["lang", "width", "bucket", "rows"])
+
+
+def buckets(words: np.ndarray) -> np.ndarray:
+    """A bucket for each term."""
+    h = np.zeros(len(words), np.uint64)
+    for w in words.T:
+        h = (h ^ w) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)).astype(np.int64) % BUCKETS
+
+
+def term_packets(docs: DataFrame) -> DataFrame:
+    """Packets of the terms that tasks counted; docs: lang, g (a number for lang and source), text."""
 
     def run(batches):
         tally = Tally()
         for b in batches:
-            for lang, source, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                tally.add(lang, source, t.encode())
+            for lang, g, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                tally.add(lang, g, t)
                 if tally.size >= HELD:
                     tally.count()
-            if len(tally.counts) >= KEPT:
-                tally.count()
-                yield from tally.rows()
+                    if tally.full():
+                        yield from tally.packets()
         tally.count()
-        yield from tally.rows()
+        yield from tally.packets()
+
+    return docs.select("lang", "g", "text").mapInArrow(in_slices(run), "lang string, width int, bucket int, rows binary")
+
+
+def kept_terms(docs: DataFrame, least_docs: int) -> DataFrame:
+    """lang, term, whole (occurrences) and by (group and occurrences, ordered by group) of the terms in at least ``least_docs`` documents of their language."""
+    schema = StructType.fromDDL("lang string, term string, whole long, by array<struct<g: long, n: long>>")
+    out = to_arrow_schema(schema)
+
+    def terms(lang, width, packets):
+        m = np.concatenate([np.frombuffer(x, np.uint8).reshape(8 * (width + 2), -1).T for x in packets])
+        m = np.ascontiguousarray(m).view(np.uint64)
+        g, words, n, docs = added(m[:, width], m[:, :width], (m[:, -1] >> np.uint64(32)).astype(np.int64), (m[:, -1] & np.uint64(0xFFFFFFFF)).astype(np.int64))
+        new = np.ones(len(g), bool)
+        new[1:] = (words[1:] != words[:-1]).any(axis=1)
+        first = np.flatnonzero(new)
+        stay = np.add.reduceat(docs, first) >= least_docs
+        each = np.repeat(stay, np.diff(np.append(first, len(g))))
+        ends = np.append(0, np.cumsum(np.diff(np.append(first, len(g)))[stay]))
+        by = pa.StructArray.from_arrays([pa.array(g[each].view(np.int64)), pa.array(n[each])], names=["g", "n"])
+        term = pa.array(as_bytes(words[first[stay]]).tolist(), pa.binary()).cast(pa.string())
+        columns = [pa.array([lang] * len(term), pa.string()), term, pa.array(np.add.reduceat(n, first)[stay]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), by)]
+        t = pa.RecordBatch.from_arrays([c.cast(x.type) for c, x in zip(columns, out, strict=True)], schema=out)
+        for i in range(0, len(term), 20_000):
+            yield t.slice(i, 20_000)
+
+    def run(batches):
+        now, bucket, held, size = None, None, [], 0
+        for b in batches:
+            for lang, width, k, rows in zip(*(c.to_pylist() for c in b.columns[:3]), b.column(3), strict=True):
+                # several buckets at once while they are small
+                if held and ((lang, width) != now or (k != bucket and size >= MERGED)):
+                    yield from terms(*now, held)
+                    held, size = [], 0
+                now, bucket = (lang, width), k
+                held.append(rows.as_py())
+                size += len(held[-1])
+        if held:
+            yield from terms(*now, held)
 
-    schema = StructType([StructField("lang", StringType()), StructField("source", StringType()), StructField("term", BinaryType()), StructField("n", LongType()), StructField("docs", LongType())])
-    found = docs.select(text("lang").alias("lang"), text("source").alias("source"), text("text").alias("text")).mapInArrow(in_slices(run), schema)
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    keys = ["lang", "width", "bucket"]
+    return term_packets(docs).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(released(run), schema)
 
 
 def share(count: str, total: str, terms: str) -> str:
-    """SQL: parts of SCALE that a count has, one added to each of ``terms`` counts; decimals, so that nothing overflows."""
-    return f"(1 + (cast({SCALE} AS decimal(10, 0)) * cast({count} + 1 AS decimal(20, 0))) div cast({total} + {terms} AS decimal(20, 0)))"
+    """SQL: parts of SCALE that a count has, one added to each of ``terms`` counts; decimals where a long would overflow."""
+    plain = f"({SCALE}L * ({count} + 1L)) div ({total} + {terms})"
+    large = f"(cast({SCALE} AS decimal(10, 0)) * cast({count} + 1 AS decimal(20, 0))) div cast({total} + {terms} AS decimal(20, 0))"
+    return f"(1 + CASE WHEN {count} < 9000000000L THEN {plain} ELSE {large} END)"
 
 
 def distance(p: str, q: str) -> str:
@@ -171,38 +247,41 @@ def audit(docs: DataFrame, least_docs: int = 3, ranks: int = 200) -> DataFrame:
     Ties go to the smaller item by UTF-8. An empty table gives no rows. Any length of text is counted whole.
 
     Terms are pre-aggregated in tasks, so a hot source or term has a few rows a task; sources of a language are gathered by term
-    (as many as there are, whose square the result holds), and pairs of counts meet as numbers of terms that share them.
+    (as many as there are, whose square the result holds). A pair's sum runs over the terms that both sources have; terms that
+    one or both lack come from what each has alone and from the number of all terms.
     """
-    found = materialise(term_counts(docs), "terms")
-    by_term = found.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("whole"), F.collect_list(F.struct("source", "n")).alias("by"))
-    kept = materialise(by_term.where(F.col("docs") >= least_docs).select("lang", F.col("term").cast("string").alias("term"), "whole", "by"), "kept")
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    rows = docs.select(name("lang"), name("source"), name("text"))
+    found = materialise(rows.select("lang", "source").distinct().withColumn("g", F.monotonically_increasing_id()), "sources")
+    kept = materialise(kept_terms(rows.join(found, ["lang", "source"]), least_docs), "kept")
     langs = found.select("lang").distinct().join(kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("whole").alias("all_n")), "lang", "left").na.fill(0, ["v", "all_n"])
-    each = kept.select("lang", "term", "whole", F.inline("by"))
-    sums = each.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("own"))
-    groups = materialise(found.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").na.fill(0, ["total", "own"]).join(langs, "lang"), "groups")
-
-    # How many terms have count a in one source and b in another; those that one lacks come from what each has alone
-    side = lambda name: groups.select("lang", F.col("source").alias(name), F.col("total").alias(f"{name}_total"), F.col("own").alias(f"{name}_own"))
-    pairs = side("source").join(side("item"), "lang").where("source <> item").join(langs, "lang")
-    # (each pair of sources is counted one way round, and turned round afterwards).
-    further = F.filter("by", lambda y: y["source"] > F.col("x.source"))
-    both = kept.where(F.size("by") > 1).select("lang", "by", F.explode("by").alias("x")).select("lang", "x", F.explode(further).alias("y")).groupBy("lang", F.col("x.source").alias("source"), F.col("y.source").alias("item"), F.col("x.n").alias("a"), F.col("y.n").alias("b")).agg(F.count("*").alias("terms"))
-    both = materialise(both, "both")
-    zero, mark = F.lit(0).cast("long"), ["lang", "source", "item"]
-    alone = each.groupBy("lang", "source", "n").agg(F.count("*").alias("terms"))
-    mine = alone.join(pairs.select(*mark), ["lang", "source"]).select(*mark, F.col("n").alias("a"), zero.alias("b"), "terms")
-    theirs = alone.withColumnRenamed("source", "item").join(pairs.select(*mark), ["lang", "item"]).select(*mark, zero.alias("a"), F.col("n").alias("b"), "terms")
-    ways = F.explode(F.array(F.struct("source", "item", "a", "b"), F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("b").alias("a"), F.col("a").alias("b")))).alias("w")
-    turned = both.select("lang", ways, "terms").select("lang", "w.*", "terms")
-    less = turned.select(*mark, F.explode(F.array(F.struct("a", "b", "terms"), F.struct("a", zero.alias("b"), (-F.col("terms")).alias("terms")), F.struct(zero.alias("a"), "b", (-F.col("terms")).alias("terms")), F.struct(zero.alias("a"), zero.alias("b"), "terms"))).alias("x")).select(*mark, "x.*")
-    none = pairs.select(*mark, zero.alias("a"), zero.alias("b"), (F.col("v") - F.col("source_own") - F.col("item_own")).alias("terms"))
-    cells = less.unionByName(mine).unionByName(theirs).unionByName(none).groupBy(*mark, "a", "b").agg(F.sum("terms").alias("terms")).where("terms <> 0")
-    value = distance(share("a", "source_total", "v"), share("b", "item_total", "v"))
-    summed = cells.join(pairs, mark).groupBy(*mark).agg(F.sum(F.expr(f"terms * ({value})")).alias("value"))
-    pair = pairs.select(*mark).join(summed, mark, "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", zero).alias("value"))
-
-    stats = groups.select("lang", "source", "total", "v", "all_n")
-    shares = each.join(stats, ["lang", "source"]).select("lang", "source", F.col("term").alias("item"), F.expr(share("n", "total", "v")).alias("p"), F.expr(share("whole", "all_n", "v")).alias("q"))
+    each = kept.select("term", "whole", F.inline("by"))
+    sums = each.groupBy("g").agg(F.sum("n").alias("total"))
+    groups = found.join(sums, "g", "left").na.fill(0, ["total"]).join(langs, "lang")
+    # the share of a term that the source lacks
+    groups = materialise(groups.withColumn("lacking", F.expr(f"CASE WHEN v > 0 THEN {share('0L', 'total', 'v')} END")), "groups")
+
+    # f over all terms is f of both counts where both have the term; elsewhere f of one count or none, which what each has alone gives, less what it gives where both have the term
+    side = lambda x: groups.select(F.col("g").alias(x), F.col("total").alias(f"{x}_total"), F.col("v").alias(f"{x}_v"), F.col("lacking").alias(f"{x}0"))
+    own = lambda x: F.expr(share(f"{x}_n", f"{x}_total", f"{x}_v")).alias(f"{x}1")
+    one = kept.where(F.size("by") > 1).select("by", F.posexplode("by").alias("i", "e")).where(F.col("i") < F.size("by") - 1).select("by", "i", F.col("e.g").alias("x"), F.col("e.n").alias("x_n"))
+    one = one.join(side("x"), "x").select("x", own("x"), "x0", F.explode(F.slice("by", F.col("i") + 2, F.size("by"))).alias("e"))
+    both = one.select("x", "x1", "x0", F.col("e.g").alias("y"), F.col("e.n").alias("y_n")).join(side("y"), "y").select("x", "y", "x1", "x0", own("y"), "y0")
+    beyond = lambda x, y: F.sum(F.expr(f"{distance(f'{x}1', f'{y}1')} - {distance(f'{x}1', f'{y}0')} - {distance(f'{x}0', f'{y}1')} + {distance(f'{x}0', f'{y}0')}"))
+    both = both.groupBy("x", "y").agg(beyond("x", "y").alias("there"), beyond("y", "x").alias("back"))
+    both = materialise(both.select(F.explode(F.array(F.struct("x", "y", F.col("there").alias("value")), F.struct(F.col("y").alias("x"), F.col("x").alias("y"), F.col("back").alias("value")))).alias("p")).select("p.*"), "both")
+    pairs = groups.select("lang", F.col("g").alias("x"), F.col("v"), F.col("lacking").alias("x0")).join(groups.select("lang", F.col("g").alias("y"), F.col("lacking").alias("y0")), "lang").where("x <> y")
+    alone = materialise(each.groupBy("g", "n").agg(F.count("*").alias("terms")).join(groups, "g").select("lang", "g", "lacking", "terms", F.expr(share("n", "total", "v")).alias("p")), "alone")
+    others = groups.select("lang", F.col("g").alias("other"), F.col("lacking").alias("q"))
+    alone = alone.join(others, "lang").where("g <> other")
+    mine = alone.groupBy(F.col("g").alias("x"), F.col("other").alias("y")).agg(F.sum(F.expr(f"terms * ({distance('p', 'q')} - {distance('lacking', 'q')})")).alias("value"))
+    theirs = alone.groupBy(F.col("other").alias("x"), F.col("g").alias("y")).agg(F.sum(F.expr(f"terms * ({distance('q', 'p')} - {distance('q', 'lacking')})")).alias("value"))
+    none = pairs.select("x", "y", F.expr(f"CASE WHEN v > 0 THEN v * ({distance('x0', 'y0')}) ELSE 0L END").alias("value"))
+    summed = both.unionByName(mine).unionByName(theirs).unionByName(none).groupBy("x", "y").agg(F.sum("value").alias("value"))
+    named = lambda c, g: found.select(*(["lang"] if g == "x" else []), F.col("source").alias(c), F.col("g").alias(g))
+    pair = summed.join(named("source", "x"), "x").join(named("item", "y"), "y").select("lang", "source", F.lit("pair").alias("part"), "item", "value")
+
+    shares = each.join(groups, "g").select("lang", "source", F.col("term").alias("item"), F.expr(share("n", "total", "v")).alias("p"), F.expr(share("whole", "all_n", "v")).alias("q"))
     term = shares.where("p > q").select("lang", "source", F.lit("term").alias("part"), "item", F.expr(distance("p", "q")).alias("value"))
     ranked = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     top = term.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= ranks)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
@@ -96,6 +97,41 @@ def test_terms_by_length(monkeypatch):
     assert got == {k: (n[k], d[k]) for k in n}
 
 
+def test_tasks_keep_counts_as_words(monkeypatch):
+    """A counted term costs its words and three numbers, not Python objects; what is handed on in several goes adds up."""
+    tally, n = source_audit.Tally(), 300_000
+    words = np.random.default_rng(1).integers(97, 123, (n, 8), np.uint8)
+    text = np.hstack([words, np.full((n, 1), 32, np.uint8)]).tobytes()
+    tracemalloc.start()
+    try:
+        tally.add("en", 7, text)
+        tally.count()
+        assert tracemalloc.get_traced_memory()[0] < 64 * n
+    finally:
+        tracemalloc.stop()
+    monkeypatch.setattr(source_audit, "BUCKETS", 3)
+    got, want, tally = Counter(), Counter(), source_audit.Tally()
+    for i in range(60):
+        (lang, group), terms = ("en", 5 << 33) if i % 3 else ("de", 9), [f"{'w' * (k % 30)}x" for k in range(i)] * 2
+        tally.add(lang, group, " ".join(terms).encode())
+        want.update({(lang, group, t, "n"): c for t, c in Counter(terms).items()} | {(lang, group, t, "docs"): 1 for t in terms})
+        if i % 7 == 6:
+            tally.count()
+        for b in tally.packets() if i in (20, 59) and not tally.count() else ():
+            for lang, width, bucket, rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                m = np.ascontiguousarray(np.frombuffer(rows, np.uint8).reshape(8 * (width + 2), -1).T).view(np.uint64)
+                assert bucket < 3
+                for t, g, both in zip(source_audit.as_bytes(m[:, :width]).tolist(), m[:, width].tolist(), m[:, -1].tolist(), strict=True):
+                    got.update({(lang, g, t.decode(), "n"): both >> 32, (lang, g, t.decode(), "docs"): both & 0xFFFFFFFF})
+    assert got == want
+
+
+def test_shares_of_large_counts(spark):
+    counts = [0, 8_999_999_999, 9_000_000_000, 10**13]
+    got = spark.createDataFrame([(c,) for c in counts], "c long").selectExpr(source_audit.share("c", "20000000000000L", "7L") + " AS p").collect()
+    assert [r.p for r in got] == [1 + 10**9 * (c + 1) // (20_000_000_000_000 + 7) for c in counts]
+
+
 # Alignment
 
 
