@@ -75,3 +75,11 @@ def test_lists_of_files(spark, names):
     assert [(r.sheets, r.files, [(b.type, b.sheets) for b in r.breakdown]) for r in rows] == ([(6, 4, [("pdf", 3), ("dxf", 1), ("dxf", 1), ("?", 1)])] if names else [])
     kinds = report.file_type_counts(files.where("filename LIKE '%.%'")).collect()
     assert [(r.summary, dict(r.file_types)) for r in kinds] == ([("2 DXF, 1 PDF", {"dxf": 2, "pdf": 1})] if names else [])
+
+
+def test_digest_has_every_text_of_a_layer(spark):
+    said = [f"texto {i:03d}" for i in range(120)]
+    texts = spark.createDataFrame([(1, "A", t) for t in said] + [(1, "A", " texto 007 "), (1, "A", "ab"), (1, None, "sem layer"), (2, "B", None)], "file_id long, layer string, text string")
+    none = {k: spark.createDataFrame([], f"file_id long, {v}") for k, v in {"layers": "layer string", "counts": "name string, n long, width_m double, height_m double", "lengths": "layer string, length double", "areas": "layer string, area double", "dims": "seq long, label string, metres double"}.items()}
+    got = {r.file_id: r.digest for r in takeoff.digest(texts=texts, **none).collect()}
+    assert got == {1: "\n".join(["Textos", *(f"  [A] {t}" for t in said)])}
